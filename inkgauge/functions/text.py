@@ -47,7 +47,7 @@ def preview_text(text: Column, n: int = 100) -> Column:
 def sentences(text: Column) -> Column:
     """Non-blank pieces between runs of `.!?`, with white space collapsed."""
     pieces = F.split(collapse_ws(text), P.SENTENCE_END)
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -135,7 +135,7 @@ def terms(text: Column, stopwords: list[str] | None = None) -> Column:
 
 def fixed_decimals(value: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, rounding half to even."""
-    return F.format_number(value, "0." + "0" * digits if digits else "0")
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def as_percent(probability: Column) -> Column:

@@ -120,12 +120,9 @@ def mlp_head_forward(df: DataFrame, head: MlpHead, inputs: Column, output: str =
     @F.pandas_udf(ST.ArrayType(ST.DoubleType()))
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            known = batch.notna()
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            if known.any():
-                x = np.stack(batch[known].to_numpy()).astype(np.float64)
-                out[known] = list(head.forward(x))
-            yield out
+            known = batch.dropna()
+            scores = head.forward(np.stack(known.to_numpy())) if len(known) else []
+            yield pd.Series(list(scores), index=known.index, dtype=object).reindex(batch.index)
 
     return df.withColumn(output, logits(inputs.cast("array<double>")))
 
@@ -180,6 +177,7 @@ def source_held_out(
     k: int = tfidf.VOCABULARY_SIZE,
     c: float = 1.0,
     max_iter: int = 1000,
+    tol: float = 1e-4,
 ) -> DataFrame:
     """Per held-out source: refit vocabulary and classifier without it, then test on it.
 
@@ -212,7 +210,7 @@ def source_held_out(
             _features(part, own_vocab, terms) for part in splits.holdout_rows(ready, name, by)
         )
         train = train.persist()
-        model = fit_logistic(train, c, max_iter)
+        model = fit_logistic(train, c, max_iter, tol)
         train.unpersist()
         m = binary_metrics(predict(model, test)).first()
         rows.append((*sizes, "ok", m["accuracy"], m["precision"], m["recall"], m["f1"]))
