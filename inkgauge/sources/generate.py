@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.functions.columns import pick, portable_hash
+from inkgauge.functions.columns import let, pick, portable_hash
 from inkgauge.operators.cleaning import dedup_exact
 from inkgauge.operators.splits import SEED, sample_n
 
@@ -33,11 +33,12 @@ _SLOT = re.compile(r"\{(\w+)\}")
 
 
 def _replace_first(text: Column, target: str, value: Column) -> Column:
-    at = F.instr(text, target)
-    return F.when(
-        at > 0,
-        F.concat(F.substr(text, F.lit(1), at - 1), value, F.substr(text, at + len(target))),
-    ).otherwise(text)
+    def replaced(t: Column) -> Column:
+        at = F.instr(t, target)
+        rest = F.substr(t, at + len(target))
+        return F.when(at > 0, F.concat(F.substr(t, F.lit(1), at - 1), value, rest)).otherwise(t)
+
+    return let(text, replaced)
 
 
 def fill_templates(
