@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -24,6 +26,8 @@ from inkgauge.operators import splits, tfidf
 from inkgauge.operators.metrics import binary_metrics
 from inkgauge.session import stored
 
+ROWS_PER_PARTITION = 2000
+
 
 def fit_logistic(
     df: DataFrame,
@@ -32,12 +36,15 @@ def fit_logistic(
     tol: float = 1e-6,
     features: str = "features",
     label: str = "label",
+    n: int | None = None,
 ) -> LogisticRegressionModel:
     """L2 logistic regression that minimises |w|^2/2 + c * sum(loss), intercept unpenalised.
 
-    Spark divides the loss by the number of rows, hence the regularisation of 1/(c*n).
+    Spark divides the loss by the number of rows `n`, hence the regularisation of 1/(c*n).
     """
-    n = df.count()
+    n = df.count() if n is None else n
+    # a fit is many short jobs; few rows in many partitions would only add scheduling
+    few = max(1, n // ROWS_PER_PARTITION)
     return LogisticRegression(
         featuresCol=features,
         labelCol=label,
@@ -47,7 +54,7 @@ def fit_logistic(
         fitIntercept=True,
         maxIter=max_iter,
         tol=tol,
-    ).fit(df)
+    ).fit(df.coalesce(few))
 
 
 def predict(model, df: DataFrame, pred: str = "pred", prob: str = "prob") -> DataFrame:
@@ -121,8 +128,8 @@ def mlp_head_forward(df: DataFrame, head: MlpHead, inputs: Column, output: str =
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             known = batch.dropna()
-            scores = head.forward(np.stack(known.to_numpy())) if len(known) else []
-            yield pd.Series(list(scores), index=known.index, dtype=object).reindex(batch.index)
+            scores = iter(head.forward(np.stack(known.to_numpy())) if len(known) else [])
+            yield pd.Series([next(scores) if ok else None for ok in batch.notna()], dtype=object)
 
     return df.withColumn(output, logits(inputs.cast("array<double>")))
 
@@ -178,11 +185,13 @@ def source_held_out(
     c: float = 1.0,
     max_iter: int = 1000,
     tol: float = 1e-4,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Per held-out source: refit vocabulary and classifier without it, then test on it.
 
     `df` has split, label, text and both features. The term statistics of all folds come from
-    one grouped count; the driver only loops over the fits, one per source.
+    one grouped count; the driver only starts the fits, one per source and
+    `parallelism` at a time.
     """
     spark = df.sparkSession
     ready = stored(
@@ -195,25 +204,24 @@ def source_held_out(
     stats = tfidf.term_stats(splits.train_pool(ready), [by], terms)
     vocab = stored(tfidf.held_out_vocab(stored(stats, "held-out-terms"), by, k), "held-out-vocab")
 
-    rows = []
-    for fold in folds:
+    def run(fold: Row) -> tuple:
         name = fold["held_out_source"]
         classes = {r["label"] for r in labels if r[by] != name and r["n"]}
         sizes = (name, fold["train_samples"], fold["test_samples"])
         if len(classes) < 2:
-            rows.append((*sizes, "single_class", None, None, None, None))
-            continue
+            return (*sizes, "single_class", None, None, None, None)
         own_vocab = tfidf.from_vocabulary(
             vocab.where(F.col("held_out_source") == name), fold["train_samples"]
         )
         train, test = (
             _features(part, own_vocab, terms) for part in splits.holdout_rows(ready, name, by)
         )
-        train = train.persist()
-        model = fit_logistic(train, c, max_iter, tol)
-        train.unpersist()
+        model = fit_logistic(train, c, max_iter, tol, n=fold["train_samples"])
         m = binary_metrics(predict(model, test)).first()
-        rows.append((*sizes, "ok", m["accuracy"], m["precision"], m["recall"], m["f1"]))
+        return (*sizes, "ok", m["accuracy"], m["precision"], m["recall"], m["f1"])
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = list(pool.map(inheritable_thread_target(run), folds))
     return spark.createDataFrame(
         rows,
         "held_out_source string, train_samples long, test_samples long, status string, "
