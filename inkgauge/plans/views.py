@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions.columns import sigmoid
 from inkgauge.operators import cleaning, models, ngram_model, splits, style, tfidf
-from inkgauge.session import stored, work_path
+from inkgauge.session import spread, stored, work_path
 from inkgauge.sources import generate, readers, sinks
 
 DECIMALS = 6
@@ -37,7 +37,7 @@ class Views:
         return f"{self.sf_dir}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return spread(self.spark.read.parquet(self.path(name)))
 
     # corpus
 
