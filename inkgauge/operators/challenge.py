@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,20 @@ def evaluate_challenge(
     return metrics(by_model(scored, models), ["model"], decimals)
 
 
-def challenge_preview(scored: DataFrame, n: int = 100, key: str = "doc_id") -> DataFrame:
+def challenge_preview(
+    df: DataFrame, score: Callable[[DataFrame], DataFrame], n: int = 100, key: str = "doc_id"
+) -> DataFrame:
+    """The first `n` rows of the challenge with the predictions that `score` adds.
+
+    The rows are chosen before they are edited and scored.
+    """
     columns = [
         "source", "label", "original_text", "text",
         "hybrid_pred", "hybrid_prob", "baseline_pred", "baseline_prob",
     ]
-    present = [c for c in columns if c in scored.columns]
-    return scored.orderBy(key).limit(n).select(key, *present)
+    first = df.where(F.col("label") == 1).orderBy(key).limit(n)
+    scored = score(build_challenge(first, key=key))
+    return scored.select(key, *[c for c in columns if c in scored.columns])
 
 
 def robustness_table(clean: DataFrame, edited: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def source_held_out(
     folds = splits.holdout_folds(ready, by).orderBy("held_out_source").collect()
     labels = splits.train_pool(ready).groupBy(by, "label").agg(F.count("*").alias("n")).collect()
     stats = tfidf.term_stats(splits.train_pool(ready), [by], terms)
-    vocab = stored(tfidf.held_out_vocab(stored(stats, "held-out-terms"), by, k), "held-out-vocab")
+    vocab = stored(tfidf.held_out_vocab(stats, by, k), "held-out-vocab")
 
     def run(fold: Row) -> tuple:
         name = fold["held_out_source"]

@@ -269,8 +269,12 @@ FROM challenge ORDER BY doc_id LIMIT 100""",
     ),
 )
 def challenge_preview(v: Views) -> DataFrame:
-    renamed = {"pred_a": "baseline_pred", "prob_a": "baseline_prob", "pred_b": "hybrid_pred", "prob_b": "hybrid_prob"}
-    return challenge.challenge_preview(_challenge(v).withColumnsRenamed(renamed))
+    names = {"pred_a": "baseline_pred", "prob_a": "baseline_prob", "pred_b": "hybrid_pred", "prob_b": "hybrid_prob"}
+
+    def score(edited: DataFrame) -> DataFrame:
+        return add_predictions(style.scaled_stats(edited)).withColumnsRenamed(names)
+
+    return challenge.challenge_preview(v.feats(), score)
 
 
 @query(

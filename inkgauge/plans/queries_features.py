@@ -11,8 +11,7 @@ from inkgauge.functions import text as T
 from inkgauge.operators import decisions, ngram_model, splits, style, tfidf
 from inkgauge.plans import oracle_parts as O
 from inkgauge.plans.registry import query
-from inkgauge.plans.views import DECIMALS, Views, add_features, add_predictions, as_scored
-from inkgauge.session import stored
+from inkgauge.plans.views import Views, add_predictions, as_scored, batch_features
 
 ROUND = 6
 # perplexities run to a million, so fewer decimals are the same relative precision
@@ -339,7 +338,7 @@ def format_scores(v: Views) -> DataFrame:
 def score_batch(v: Views) -> DataFrame:
     """All documents as they are, without cleaning."""
     raw = v.table("documents").select("doc_id", "text")
-    scored = add_predictions(add_features(raw)).withColumn("prob", F.col("prob_a"))
+    scored = add_predictions(batch_features(raw)).withColumn("prob", F.col("prob_a"))
     out = decisions.score_batch(scored)
     return out.withColumns(
         {

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgauge.functions import text as T
 from inkgauge.functions.columns import sigmoid
 from inkgauge.operators import cleaning, models, ngram_model, splits, style, tfidf
 from inkgauge.session import spread, stored, work_path
@@ -131,6 +132,16 @@ def add_features(clean: DataFrame, key: str = "doc_id") -> DataFrame:
     return style.scaled_stats(ngram_model.add_perplexity(with_sentences, key))
 
 
+def batch_features(raw: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Features of uncleaned texts for a result table.
+
+    The table shows only the start of a text, so the whole text is not carried into the join.
+    """
+    shown = style.add_sentence_features(raw).withColumn("text", T.preview_text(F.col("text")))
+    scores = ngram_model.crossfit_perplexity(ngram_model.assign_fold(raw, key), key)
+    return style.scaled_stats(shown.join(scores.select(key, "perplexity"), key, "left"))
+
+
 def add_predictions(feats: DataFrame) -> DataFrame:
     """Two linear models with fixed coefficients over the scaled features.
 
