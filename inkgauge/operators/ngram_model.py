@@ -22,7 +22,10 @@ MAX_NLL = 100.0
 
 
 def assign_fold(df: DataFrame, key: str = "doc_id", folds: int = FOLDS) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.col(key), F.lit(folds)).cast("int"))
+    """Adds `fold`: the key modulo `folds`, through a hash when the key is not a whole number."""
+    whole = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    number = F.col(key) if whole else F.xxhash64(key)
+    return df.withColumn("fold", F.pmod(number, F.lit(folds)).cast("int"))
 
 
 def unigram_counts(df: DataFrame, text: str = "text", max_tokens: int | None = None) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions.columns import portable_hash
-from inkgauge.operators import metrics, models, splits, style, tfidf
+from inkgauge.operators import metrics, models, splits, tfidf
+from inkgauge.operators.challenge import build_challenge
 from inkgauge.plans import oracle_parts as O
 from inkgauge.plans.registry import query
-from inkgauge.plans.views import DECIMALS, Views, as_scored
+from inkgauge.plans.views import Views, as_scored
 from inkgauge.session import stored, work_path
 from inkgauge.sources import sinks
 
@@ -52,8 +53,6 @@ def save_model(v: Views) -> DataFrame:
 @query("score_dataframe")
 def score_dataframe(v: Views) -> DataFrame:
     """The saved baseline on the edited texts of the test split."""
-    from inkgauge.operators.challenge import build_challenge
-
     model, vocab = v.baseline()
     edited = build_challenge(_test_rows(v))
     return models.score_dataframe(edited, model, vocab).select("doc_id", "label", "pred", "prob")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.functions import text as T
 from inkgauge.operators import decisions, governance, metrics, splits, style
 from inkgauge.plans import oracle_parts as O
 from inkgauge.plans.registry import query
