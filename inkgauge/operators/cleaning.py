@@ -30,12 +30,22 @@ def dedup_exact(df: DataFrame, order: list[str | Column], text: str = "text") ->
     return grouped.select(*[F.col(text) if c == text else picked[c].alias(c) for c in df.columns])
 
 
+def clean_long_texts(df: DataFrame, n: int = 20, text: str = "text") -> DataFrame:
+    """`clean_text` and `min_length` in one step.
+
+    A filter on the cleaned text would be pushed below the cleaning and clean each text a
+    second time; exploding an array of no or one text evaluates the expressions once.
+    """
+    kept = F.filter(F.array(T.clean_text(F.col(text))), lambda t: F.length(t) > n)
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.explode(kept).alias(text)).select(*df.columns)
+
+
 def clean_corpus(
     df: DataFrame, order: list[str | Column], n: int = 20, text: str = "text"
 ) -> DataFrame:
     """Clean the text, keep texts longer than `n` code points, keep the first of equal texts."""
-    cleaned = df.withColumn(text, T.clean_text(F.col(text)))
-    return dedup_exact(min_length(cleaned, n, text), order, text)
+    return dedup_exact(clean_long_texts(df, n, text), order, text)
 
 
 def cleaning_counts(

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
 
-from inkgauge.functions import text as T
-from inkgauge.operators.cleaning import min_length
+from inkgauge.operators.cleaning import clean_long_texts
 
 
 def stream_samples(
@@ -56,10 +55,7 @@ def stream_dedup(
     The state holds digests, not texts. A text with very many copies is first reduced to one
     row per salt, so that no single task takes all of its copies.
     """
-    cleaned = min_length(stream.withColumn(text, T.clean_text(F.col(text))), n, text)
-    keyed = cleaned.withColumn("_d", F.md5(text)).withColumn(
-        "_s", F.pmod(F.xxhash64(key), F.lit(salts))
-    )
+    keyed = clean_long_texts(stream, n, text).withColumn("_d", F.md5(text)).withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salts)))
     return (
         keyed.withWatermark(event_time, delay)
         .dropDuplicatesWithinWatermark(["_d", "_s"])
