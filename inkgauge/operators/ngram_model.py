@@ -180,10 +180,14 @@ def new_text_perplexity(
     Their pairs may be unseen, so each count table is joined on its own and a missing count is 0.
     """
     rows = _document_pairs(df.withColumn("fold", F.lit(None).cast("int")), key, text, max_tokens)
-    # the new texts are taken to use words about as often as the corpus does
-    heavy_pair = heavy_keys(model.bigrams, ["prev", "term"], "bi", model.tokens)
-    heavy_prev = heavy_keys(model.prefixes, ["prev"], "pre", model.tokens)
-    heavy_term = heavy_keys(model.unigrams, ["term"], "uni", model.tokens)
+    # hot keys are those of the new texts, whatever the corpus looks like
+    pairs = stored(rows.groupBy("prev", "term").agg(F.count("*").alias("rows")), "new-pairs")
+    total = pairs.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+    def heavy(keys: list[str]) -> DataFrame:
+        return heavy_keys(pairs.groupBy(*keys).agg(F.sum("rows").alias("rows")), keys, "rows", total)
+
+    heavy_pair, heavy_prev, heavy_term = heavy(["prev", "term"]), heavy(["prev"]), heavy(["term"])
     rows = salted_join(rows, model.bigrams, ["prev", "term"], heavy_pair, [key], "left")
     rows = salted_join(rows, model.prefixes, ["prev"], heavy_prev, [key], "left")
     rows = salted_join(rows, model.unigrams, ["term"], heavy_term, [key], "left")
