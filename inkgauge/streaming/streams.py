@@ -55,7 +55,9 @@ def stream_dedup(
     The state holds digests, not texts. A text with very many copies is first reduced to one
     row per salt, so that no single task takes all of its copies.
     """
-    keyed = clean_long_texts(stream, n, text).withColumn("_d", F.md5(text)).withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salts)))
+    keyed = clean_long_texts(stream, n, text).withColumns(
+        {"_d": F.md5(text), "_s": F.pmod(F.xxhash64(key), F.lit(salts))}
+    )
     return (
         keyed.withWatermark(event_time, delay)
         .dropDuplicatesWithinWatermark(["_d", "_s"])
