@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import decontamination, lengths, licenses, packing
+from inkgauge.llm import decontamination, lengths, licenses, neardup, packing, suffixes
 from inkgauge.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.drop_repeats(read(spark, sf_dir, "documents"), keep_text=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
     first = F.transform("base", lambda b: b["first"])
@@ -49,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op6_token_counts, op9_licenses, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op6_token_counts, op7_near_duplicates, op9_licenses, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
