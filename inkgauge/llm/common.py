@@ -12,10 +12,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkgauge.session import stored
 
-__all__ = ["ascii_lower", "map_arrow", "read", "ship", "stored", "take", "texts_of"]
+__all__ = ["ascii_lower", "map_arrow", "matching", "read", "ship", "stored", "take", "text_key", "texts_of"]
 
 _shipped: set[str] = set()
 
@@ -31,7 +32,7 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
@@ -58,6 +59,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(by_letter)
 
 
+def text_key(text: Column) -> Column:
+    """A number that tells the texts of one id apart; 0 for null."""
+    return F.coalesce(F.xxhash64(text), F.lit(0)).cast("long")
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs`, all columns, with (`how` = left_semi) or without (left_anti) a row in `keys` (doc_id, text_key)."""
+    names = docs.columns
+    at, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_key", text_key(F.col(text)))
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_other"))
+    out = plain.join(keys, F.col(at).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_other")), how)
+    return out.drop("_key").toDF(*names)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 22) -> Iterator[tuple[int, list]]:
     """(row number of the first, texts) in slices of about `chars` characters, at least one text each."""
     texts, begin, size = batch.column(column), 0, 0

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions.columns import let
-from inkgauge.llm.common import ascii_lower, stored, take
+from inkgauge.llm.common import ascii_lower, matching, stored, take, text_key
 
 WINDOW = 10
 GRAM = 5
@@ -77,7 +77,7 @@ def whole_runs(words: Column, width: int) -> Column:
 
 def _identity(docs: DataFrame) -> DataFrame:
     return docs.select(
-        "doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"), words_of(F.col("text")).alias("_w")
+        "doc_id", "text", text_key(F.col("text")).alias("_text"), words_of(F.col("text")).alias("_w")
     )
 
 
@@ -156,7 +156,7 @@ def covered(places: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted array of item ids as strings) per document.
+    """doc_id, text_key, n_words, n_hit, items (sorted array of item ids as strings) per document.
 
     Rows that repeat both id and text are one document. A null or empty text has no words, a null
     id is an id of its own, items without an id are left out. An empty benchmark hits nothing.
@@ -175,7 +175,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     joined = hits.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left")
     return joined.select(
         "doc_id",
+        F.col("_text").alias("text_key"),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of a benchmark item."""
+    hit = decontaminate(docs, benchmark).where("n_hit > 0").select("doc_id", "text_key")
+    return matching(docs, stored(hit, "contaminated"), "left_anti")

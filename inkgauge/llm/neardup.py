@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_arrow, stored, take
+from inkgauge.llm.common import map_arrow, matching, stored, take, text_key
 from inkgauge.llm.components import components
 from inkgauge.llm.shingles import WIDTH, mix, shingle_sets
 from inkgauge.llm.suffixes import _flat
@@ -207,7 +207,7 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of `docs`.
+    """doc_id, text_key, n_shingles, component_id, kept: one row per row of `docs`.
 
     A null or empty text, or one of white space, has no shingles and is its own group. Rows with
     the same id are kept or dropped together if their texts are alike. A document without an id
@@ -216,7 +216,7 @@ def near_duplicates(
     """
     plain = take(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).cast("long").alias("text_key"),
+        text_key(F.col("text")).alias("text_key"),
         F.coalesce("text", F.lit("")).cast("binary").alias("bytes"),
     )
     rows_of = stored(sketch(plain, bands, rows, width), "sketches")
@@ -257,11 +257,18 @@ def near_duplicates(
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("group_id"))
     grouped = grouped.join(least, "component").select("class", "group_id")
     of_class = classes.join(grouped, "class", "left").select("class", F.coalesce("group_id", "doc_id").alias("group_id"))
-    out = rows_of.select("doc_id", "n", "class").join(of_class, "class", "left")
+    out = rows_of.select("doc_id", "text_key", "n", "class").join(of_class, "class", "left")
     group = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("group_id"))
     return out.select(
         "doc_id",
+        "text_key",
         F.col("n").alias("n_shingles"),
         group.alias("component_id"),
         F.coalesce(F.col("doc_id") == group, group.isNull()).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that are the first of their group; rows that repeat an id and text stay together."""
+    kept = near_duplicates(docs).where("kept").select("doc_id", "text_key").distinct()
+    return matching(docs, stored(kept, "kept"), "left_semi")

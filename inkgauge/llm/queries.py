@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import decontamination, lengths, licenses, neardup, packing, suffixes
+from inkgauge.llm import (
+    chats,
+    decontamination,
+    lengths,
+    licenses,
+    neardup,
+    neighbours,
+    packing,
+    secret_scan,
+    suffixes,
+    toxicity,
+)
 from inkgauge.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +42,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as digests with lengths, spans as text."""
+    made = chats.format_preferences(chats.swapped_replies(read(spark, sf_dir, "conversations")))
+
+    def spans(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(name)
+
+    texts = [F.sha2(n, 256).alias(f"{n}_sha256") for n in ("prompt", "chosen", "rejected")]
+    lengths_ = [F.char_length(n).cast("long").alias(f"{n}_chars") for n in ("prompt", "chosen", "rejected")]
+    conv, n = F.col("pair_id").alias("conv_id"), F.col("n_common").cast("long").alias("n_common")
+    return made.select(conv, n, *lengths_, *texts, spans("chosen_spans"), spans("rejected_spans"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +73,36 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limit_table(lengths.length_histogram(read(spark, sf_dir, "documents")))
 
@@ -58,8 +112,93 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op6_token_counts, op7_near_duplicates, op9_licenses, op10_packing)}
+    every = (
+        op1_decontamination,
+        op2_suffix_dedup,
+        op3_toxicity,
+        op4_secrets,
+        op5_neighbours,
+        op6_token_counts,
+        op7_near_duplicates,
+        op8_preferences,
+        op9_licenses,
+        op10_packing,
+    )
+    return {f.__name__: f for f in every}
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 10) AS width FROM items WHERE len(w) > 0
+), of_items AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i + 1 : i + width], ' ') AS run
+  FROM (SELECT item_id, w, width, unnest(range(len(w) - width + 1)) AS i FROM sized)
+), widths AS (SELECT DISTINCT width FROM of_items
+), of_docs AS (
+  SELECT doc_id, i, width, array_to_string(w[i + 1 : i + width], ' ') AS run
+  FROM (SELECT doc_id, w, width, unnest(range(len(w) - width + 1)) AS i FROM words, widths WHERE len(w) >= width)
+), met AS (
+  SELECT doc_id, i, d.width, item_id FROM of_docs d JOIN of_items b ON d.run = b.run AND d.width = b.width
+), hit AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(i, i + width)) AS p FROM met) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM met) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH talks AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), replies AS (
+  SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS at FROM talks
+), pairs AS (
+  SELECT a.conv_id, a.t AS c,
+    CASE WHEN a.at IS NOT NULL AND b.at IS NOT NULL THEN a.t[1 : a.at - 1] || [b.t[b.at]] ELSE a.t END AS r
+  FROM replies a LEFT JOIN replies b ON b.conv_id = xor(a.conv_id, 1)
+), common AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1,
+    least(len(c), len(r))) AS n FROM pairs
+), parts AS (
+  SELECT conv_id, n, c[1 : n] AS p, c[n + 1 :] AS c, r[n + 1 :] AS r FROM common
+), made AS (
+  SELECT conv_id, n,
+    list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS p,
+    list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS c,
+    list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)) AS r,
+    c AS ct, r AS rt FROM parts
+), joined AS (
+  SELECT conv_id, n, coalesce(array_to_string(p, ''), '') AS p, coalesce(array_to_string(c, ''), '') AS cs,
+    coalesce(array_to_string(r, ''), '') AS rs, c, r, ct, rt FROM made
+)
+SELECT conv_id, CAST(n AS BIGINT) AS n_common,
+  CAST(length(p) AS BIGINT) AS prompt_chars, CAST(length(cs) AS BIGINT) AS chosen_chars,
+  CAST(length(rs) AS BIGINT) AS rejected_chars,
+  sha256(p) AS prompt_sha256, sha256(cs) AS chosen_sha256, sha256(rs) AS rejected_sha256,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(ct) + 1), lambda i: ct[i].role = 'assistant'),
+    lambda i: (length(array_to_string(c[1 : i], '')) - length(ct[i].text) - 8) || ':' ||
+      length(array_to_string(c[1 : i], ''))), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(rt) + 1), lambda i: rt[i].role = 'assistant'),
+    lambda i: (length(array_to_string(r[1 : i], '')) - length(rt[i].text) - 8) || ':' ||
+      length(array_to_string(r[1 : i], ''))), ','), '') AS rejected_spans
+FROM joined
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {"op1_decontamination": OP1_SQL, "op8_preferences": OP8_SQL}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_arrow, stored, take
+from inkgauge.llm.common import map_arrow, stored, take, text_key
 
 SPAN = 50
 GRAM = 14
@@ -279,7 +279,7 @@ def drop_repeats(
     plain = take(docs, "doc_id", "text").select(
         "doc_id",
         F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).cast("long").alias("text_key"),
+        text_key(F.col("text")).alias("text_key"),
         F.coalesce("text", F.lit("")).cast("binary").alias("bytes"),
     )
     marks = removed_spans(plain.select("doc", "text_key", "bytes"), span, gram, bits)
