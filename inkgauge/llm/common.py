@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkgauge.session import stored
+from inkgauge.session import work_path
 
-__all__ = ["ascii_lower", "map_arrow", "matching", "read", "ship", "stored", "take", "text_key", "texts_of"]
+__all__ = ["ascii_lower", "map_arrow", "matching", "read", "ship", "spent", "stored", "take", "text_key", "texts_of"]
 
 _shipped: set[str] = set()
 
@@ -41,6 +41,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` below the shared folder and read it back; the job's shuffle files go when it ends.
+
+    Later jobs start from files that survive the loss of an executor.
+    """
+    spark = df.sparkSession
+    path, before = work_path(spark, name), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only.
 

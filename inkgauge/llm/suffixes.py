@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_arrow, stored, take, text_key
+from inkgauge.llm.common import map_arrow, spent, stored, take, text_key
 
 SPAN = 50
-GRAM = 14
+GRAM = 20
 RUN = 128  # windows of a block at most, for texts that repeat themselves
 CHUNK = 1 << 21  # bytes worked on at once
 HOT_BLOCKS = 4096  # blocks of an anchor from which its windows are dealt one by one
@@ -189,12 +189,13 @@ def earlier_factors(suffix: np.ndarray, anchor: np.ndarray, doc: np.ndarray) ->
 
 
 def settle(blocks: DataFrame, span: int) -> DataFrame:
-    """(anchor, code, first, starts): windows of the first copy of a block that an earlier document has.
+    """(anchor, code, spans): bytes of the first copy of a block that an earlier document has, as (lo, hi).
 
     `blocks` has the rows of one (anchor, part) next to each other.
     """
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
+        """None if there is nothing."""
         data, bounds = _flat(rows.combine_chunks().to_batches()[0], "block")
         n = np.diff(bounds) - span + 1
         row = np.repeat(np.arange(len(n)), n)
@@ -202,18 +203,25 @@ def settle(blocks: DataFrame, span: int) -> DataFrame:
         suffix = np.lib.stride_tricks.sliding_window_view(data, span)[bounds[row] + within]
         anchor, doc = (rows.column(c).to_numpy() for c in ("anchor", "first"))
         earlier = earlier_factors(suffix, anchor[row], doc[row])
-        hit, starts = row[earlier], within[earlier]
-        some, begin = np.unique(hit, return_index=True)
-        at = rows.column("shift").to_numpy()[hit] + starts
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), pa.array(at, pa.int32()))
+        hit, lo = row[earlier], within[earlier]
+        if not len(hit):
+            return None
+        # windows that touch become one span
+        new = np.append(True, (hit[1:] != hit[:-1]) | (lo[1:] - lo[:-1] > span))
+        last = np.append(new[1:], True)
+        shift = rows.column("shift").to_numpy()[hit[new]]
+        ends = [pa.array((shift + x).astype(np.int32)) for x in (lo[new], lo[last] + span)]
+        some, begin = np.unique(hit[new], return_index=True)
+        bounds = pa.array(np.append(begin, new.sum()), pa.int32())
+        spans = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(ends, names=["lo", "hi"]))
         columns = [rows.column(c).combine_chunks().take(pa.array(some)) for c in ("anchor", "code")]
-        return pa.RecordBatch.from_arrays([*columns, lists], names=["anchor", "code", "starts"])
+        return pa.RecordBatch.from_arrays([*columns, spans], names=["anchor", "code", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            kept.append(batch)
+            kept += [batch] * (batch.num_rows > 0)
             size += batch.num_rows
             if size < 5_000:
                 continue
@@ -221,51 +229,59 @@ def settle(blocks: DataFrame, span: int) -> DataFrame:
             key, part = table.column("anchor").to_numpy(), table.column("part").to_numpy()
             same = (key == key[-1]) & (part == part[-1])
             ready = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if ready:
-                yield work(table.slice(0, ready))
+            if ready and (found := work(table.slice(0, ready))):
+                yield found
             kept = table.slice(ready).combine_chunks().to_batches()
             size = sum(b.num_rows for b in kept)
-        if size:
-            yield work(pa.Table.from_batches(kept))
+        if size and (found := work(pa.Table.from_batches(kept))):
+            yield found
 
-    return map_arrow(blocks, run, "anchor long, code long, starts array<int>")
+    return map_arrow(blocks, run, "anchor long, code long, spans array<struct<lo: int, hi: int>>")
 
 
 def removed_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc, text_key, starts, ends): bytes of each document to be removed, unmerged.
+    """(doc, text_key, marks): bytes of each document to be removed, as an unmerged array of (lo, hi).
 
-    `docs` has (doc, text_key, bytes) without nulls.
+    `docs` has (doc, text_key, bytes) without nulls. Blocks travel as hashes; only those of anchors
+    with several different blocks are fetched as bytes.
     """
+    broadcast = docs.sparkSession.sparkContext.broadcast
     seen = anchors(docs, span, gram)
     shared = seen.repartition("anchor").groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     shared = stored(shared.where("lo < hi").select("anchor"), "shared-anchors")
-    table = docs.sparkSession.sparkContext.broadcast(anchor_filter(shared, bits))
-    rows = stored(shared_blocks(docs, table, span, gram, bits), "blocks")
     code = F.xxhash64("block").alias("code")
-    distinct = rows.groupBy("anchor", "block").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    distinct = stored(distinct.select("anchor", code, "block", "first", (F.col("first") < F.col("last")).alias("again")), "distinct-blocks")
-    counts = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    several = distinct.join(counts, "anchor")
+    rows = shared_blocks(docs, broadcast(anchor_filter(shared, bits)), span, gram, bits)
+    rows = stored(rows.select("anchor", code, "doc", "text_key", "at", F.octet_length("block").alias("size")), "blocks")
+    spent(shared)
+    kinds = rows.groupBy("anchor", "code").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    kinds = stored(kinds.select("anchor", "code", "first", (F.col("first") < F.col("last")).alias("again")), "kinds")
+    counts = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    several = stored(kinds.join(counts, "anchor").select("anchor", "code", "first", "n"), "several")
+
+    found = shared_blocks(docs, broadcast(anchor_filter(several.select("anchor").distinct(), bits)), span, gram, bits)
+    found = found.select("anchor", "block").distinct().select("anchor", "block", code).join(several, ["anchor", "code"])
     hot = F.col("n") > HOT_BLOCKS
     windows = F.octet_length("block") - span + 1
     cuts = F.when(hot, F.sequence(F.lit(0), windows - 1)).otherwise(F.array(F.lit(0)))
     width = F.when(hot, F.lit(span)).otherwise(F.octet_length("block"))
-    pieces = several.select("anchor", "code", "first", "block", hot.alias("hot"), width.alias("w"), F.explode(cuts).alias("shift"))
+    pieces = found.select("anchor", "code", "first", "block", hot.alias("hot"), width.alias("w"), F.explode(cuts).alias("shift"))
     pieces = pieces.select(
         "anchor", "code", "first", "shift", "hot", F.substring("block", F.col("shift") + 1, F.col("w")).alias("block")
     )
-    pieces = pieces.withColumn("part", F.when(F.col("hot"), F.xxhash64("block")).otherwise(F.lit(0).cast("long"))).drop("hot")
-    dealt = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    starts = settle(dealt, span).groupBy("anchor", "code").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    verdict = distinct.select("anchor", "code", "first", "again").join(starts, ["anchor", "code"], "left")
-    verdict = verdict.where(F.col("again") | F.col("starts").isNotNull()).drop("again")
-    marked = rows.select("anchor", "doc", "text_key", "at", F.octet_length("block").alias("size"), code).join(
-        verdict, ["anchor", "code"]
-    )
+    part = F.when(F.col("hot"), F.xxhash64("block")).otherwise(F.lit(0).cast("long"))
+    dealt = pieces.withColumn("part", part).drop("hot").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    settled = settle(dealt, span).groupBy("anchor", "code").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    settled = stored(settled, "settled")
+
+    verdict = kinds.join(settled, ["anchor", "code"], "left").where(F.col("again") | F.col("spans").isNotNull())
+    marked = rows.join(verdict.drop("again"), ["anchor", "code"])
     whole = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi")))
-    single = F.transform("starts", lambda s: F.struct((F.col("at") + s).alias("lo"), (F.col("at") + s + span).alias("hi")))
-    spans = F.when(F.col("doc") > F.col("first"), whole).otherwise(single)
-    return marked.select("doc", "text_key", F.explode(spans).alias("s")).select("doc", "text_key", "s.lo", "s.hi")
+    some = F.transform("spans", lambda s: F.struct((F.col("at") + s["lo"]).alias("lo"), (F.col("at") + s["hi"]).alias("hi")))
+    spans = F.when(F.col("doc") > F.col("first"), whole).otherwise(some)
+    marks = marked.select("doc", "text_key", F.explode(spans).alias("s")).groupBy("doc", "text_key")
+    marks = stored(marks.agg(F.collect_list("s").alias("marks")), "marks")
+    spent(rows, kinds, several, settled)
+    return marks
 
 
 def drop_repeats(
@@ -283,7 +299,6 @@ def drop_repeats(
         F.coalesce("text", F.lit("")).cast("binary").alias("bytes"),
     )
     marks = removed_spans(plain.select("doc", "text_key", "bytes"), span, gram, bits)
-    marks = marks.groupBy("doc", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     rows = plain.join(marks, ["doc", "text_key"], "left").select("doc_id", "bytes", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept_sha256 string"
     schema += ", kept binary" if keep_text else ""
