@@ -90,7 +90,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 
 
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(band, class): one row per band of registers."""
+    """(band, number, class): one row per band of registers; `band` tells contents and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +102,11 @@ def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
             for j in range(rows):
                 code = mix(code * np.uint64(1 << 16) + table[:, :, j])
             names = batch.column("class").take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), names], names=["band", "class"])
+            number = pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows))
+            columns = [pa.array(code.ravel().view(np.int64)), number, names]
+            yield pa.RecordBatch.from_arrays(columns, names=["band", "number", "class"])
 
-    return map_arrow(classes.select("class", "registers"), run, "band long, class binary")
+    return map_arrow(classes.select("class", "registers"), run, "band long, number int, class binary")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -126,15 +128,24 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.where(near).select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a binary, b binary")
 
 
+def texts_of_classes(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(class, bytes): the text of the first document of each class in `needed`."""
+    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_i"), F.col("text_key").alias("_k"), "bytes")
+    first = classes.join(needed.distinct(), "class")
+    first = first.select("class", F.coalesce("doc_id", F.lit(-1)).alias("_i"), F.col("text_key").alias("_k"))
+    return stored(texts.join(first, ["_i", "_k"]).groupBy("class").agg(F.first("bytes").alias("bytes")), "texts")
+
+
+def linked(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * shared >= percent * (len(own) + len(other) - shared)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs of classes that are linked on their full sets."""
     pairs = stored(pairs, "candidates")
-    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    needed = classes.join(needed, "class").select("class", "doc_id", "text_key")
-    texts = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_i"), F.col("text_key").alias("_k"), "bytes")
-    right = needed.select("class", F.coalesce("doc_id", F.lit(-1)).alias("_i"), F.col("text_key").alias("_k"))
-    texts = texts.join(right, ["_i", "_k"]).groupBy("class").agg(F.first("bytes").alias("bytes"))
-    texts = stored(texts, "texts")
+    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    texts = texts_of_classes(docs, classes, needed)
     both = pairs.join(texts.select(F.col("class").alias("b"), F.col("bytes").alias("t_b")), "b")
     both = both.join(texts.select(F.col("class").alias("a"), F.col("bytes").alias("t_a")), "a")
 
@@ -145,9 +156,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
             for a, t_a, t_b in zip(batch.column("a"), batch.column("t_a"), batch.column("t_b")):
                 if a.as_py() != name:
                     name, own = a.as_py(), _set(t_a, width)
-                other = _set(t_b, width)
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(own) + len(other) - shared))
+                keep.append(linked(own, _set(t_b, width), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(both.select("a", "b", "t_a", "t_b"), run, "a binary, b binary")
@@ -158,30 +167,45 @@ def _set(text: pa.Scalar, width: int) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), width)[0]
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a band and whose estimate allows a link.
+def _cross_links(members: DataFrame, percent: int, bands: int, width: int) -> DataFrame:
+    """Links that join different components meeting in a band.
 
-    `members` has (band, i, j, block, class, component, n, registers); a group (band, i, j) holds
-    two blocks of bounded size, or one if i = j.
+    `members` has (band, number, i, j, block, class, component, n, registers, bytes); a group (band,
+    i, j) holds two blocks of bounded size, or one if i = j. A pair is looked at in the first band
+    it shares only. Of the links of a group as many are given as it takes to join its members.
     """
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         table = rows.combine_chunks().to_batches()[0]
-        sig = _flat(table, "registers")[0].view(np.uint16).reshape(table.num_rows, -1)
+        sig = _flat(table, "registers")[0].view(np.uint16).reshape(table.num_rows, bands, -1)
         n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-        component = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
-        names = table.column("class")
+        root = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
+        names, texts, number = table.column("class"), table.column("bytes"), table.column("number")[0].as_py()
         one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sets: dict[int, np.ndarray] = {}
+
+        def full(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = _set(texts[row], width)
+            return sets[row]
+
+        a, b = [], []
         for k in range(table.num_rows - 1):
             other = np.arange(k + 1, table.num_rows)
             size = (100 * np.minimum(n[other], n[k])) >= percent * np.maximum(n[other], n[k])
-            other = other[size & (component[other] != component[k]) & (one | (block[other] != block[k]))]
-            if len(other):
-                value = estimate((sig[other] == sig[k]).mean(axis=1), n[other], np.full(len(other), n[k]))
-                other = other[value >= percent / 100 - MARGIN]
-                if len(other):
-                    left = names.take(pa.array(np.full(len(other), k)))
-                    yield pa.RecordBatch.from_arrays([left, names.take(pa.array(other))], names=["a", "b"])
+            other = other[size & (root[other] != root[k]) & (one | (block[other] != block[k]))]
+            if not len(other):
+                continue
+            equal = sig[other] == sig[k]
+            value = estimate(equal.mean(axis=(1, 2)), n[other], np.full(len(other), n[k]))
+            here = equal.all(axis=2).argmax(axis=1) == number
+            allowed = here & (value >= percent / 100 - MARGIN)
+            for row in other[allowed][np.argsort(-value[allowed], kind="stable")].tolist():
+                if root[row] != root[k] and linked(full(k), full(row), percent):
+                    root[root == root[row]] = root[k]
+                    a.append(k)
+                    b.append(row)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -194,12 +218,12 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             for lo, hi in zip(edges, edges[1:]):
                 group = tuple(key[lo])
                 if group != last and kept:
-                    yield from pairs(pa.Table.from_batches(kept))
+                    yield from links(pa.Table.from_batches(kept))
                     kept = []
                 kept.append(batch.slice(lo, hi - lo))
                 last = group
         if kept:
-            yield from pairs(pa.Table.from_batches(kept))
+            yield from links(pa.Table.from_batches(kept))
 
     return map_arrow(members, run, "a binary, b binary")
 
@@ -236,22 +260,21 @@ def near_duplicates(
     found = stored(components(links), "components")
 
     rest = members.where("class <> centre").join(found.withColumnRenamed("node", "class"), "class", "left")
-    rest = stored(rest.select("band", "class", "size", F.coalesce("component", "class").alias("component")), "rest")
+    label = F.coalesce("component", "class").alias("component")
+    rest = stored(rest.select("band", "number", "class", "size", label), "rest")
     apart = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rest = stored(rest.join(apart.select("band"), "band"), "apart")
+    texts = texts_of_classes(plain, classes, rest.select("class"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.join(apart.select("band"), "band").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rest = rest.withColumn("_o", other).select(
-        "band", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "class", "component"
-    )
-    rest = rest.join(classes.select("class", "n", "registers"), "class")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    rest = rest.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    ends = F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j")
+    rest = rest.select("band", "number", *ends, "block", "class", "component")
+    rest = rest.join(classes.select("class", "n", "registers"), "class").join(texts, "class")
     dealt = rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    cross = _cross_pairs(dealt, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = stored(cross, "cross-pairs")
-    if not cross.isEmpty():
-        more = verified(cross, plain, classes, percent, width)
-        links = stored(links.unionByName(more), "links")
-        found = stored(components(links), "components")
+    more = stored(_cross_links(dealt, percent, bands, width), "links")
+    if not more.isEmpty():
+        found = stored(components(links.unionByName(more)), "components")
 
     grouped = classes.join(found.withColumnRenamed("node", "class"), "class")
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("group_id"))
