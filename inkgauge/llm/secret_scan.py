@@ -30,7 +30,8 @@ LEAST_ASSIGNED = 12
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{7,}")
+# letters with a short number at most: strings that mix both must not teach what is ordinary
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/=-])[A-Za-z_]{8,}[0-9]{0,4}(?![A-Za-z0-9+/=-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 N = len(ALPHABET) + 1  # and the edge of a string
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
