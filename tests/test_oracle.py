@@ -4,8 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from inkgauge.plans import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 FITS = {"source_held_out", "fit_logistic", "predict_logistic", "score_dataframe", "fit_hybrid"}
 
 
