@@ -27,7 +27,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
-KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
+KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")  # no ASSIGN match without one of them
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 # letters with a short number at most: strings that mix both must not teach what is ordinary
@@ -42,7 +42,8 @@ LEAST_RATIO = 12.0  # nats for a random string
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, secret) of the fixed patterns, each kind leftmost and without overlap."""
     found = []
-    if KEYWORD.search(text):
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
         for m in ASSIGN.finditer(text):
             if len(m.group(2)) >= LEAST_ASSIGNED:
                 found.append((m.start(), m.end(), "assign", m.group(2)))

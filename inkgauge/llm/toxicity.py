@@ -9,6 +9,7 @@ documents are learned from labelled rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,9 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
+SIGNS = frozenset(STANDS_FOR)
 SEPARATORS = " .-_*~"
+CACHED, CACHED_CHARS = 100_000, 64  # spans a task remembers, and their greatest length
 REPEAT_COST, SIGN_COST, JOIN_COST, BREAK_COST = 0.6, 1.0, 0.3, 8.0
 WORD = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"(.)\1\1")
@@ -123,34 +126,62 @@ def restore(span: str, costs: np.ndarray) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
+def repeats_letter(text: str) -> bool:
+    """Whether a letter stands three times in a row."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    thrice = code[:-2][(code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])]
+    return any(chr(c).isalpha() for c in set(thrice.tolist()))
+
+
 class Restorer:
     """Restores the suspicious spans of texts under one character model."""
 
     def __init__(self, costs: np.ndarray):
-        self.short = lru_cache(maxsize=100_000)(lambda span: tuple(restore(span, costs)))
         self.costs = costs
+        self.known = lru_cache(CACHED)(self._span)
+
+    def _span(self, span: str) -> tuple[str, ...]:
+        return tuple(restore(span, self.costs))
+
+    def span(self, span: str) -> tuple[str, ...]:
+        """Restored words of a span."""
+        return self.known(span) if len(span) <= CACHED_CHARS else self._span(span)
+
+    def token(self, token: str) -> list[str]:
+        """Words of a token that holds more than letters, as they stand and restored."""
+        core = token.strip(EDGE)
+        if core.isalpha():
+            found = [core]
+            # signs at the edge of a token may be letters as well
+            if not SIGNS.isdisjoint(token):
+                found += self.span(token)
+        else:
+            found = WORD.findall(token)
+            if any(map(str.isalpha, core)):
+                found += self.span(core)
+        if THRICE.search(token):
+            found += self.span(token)
+        return found
 
-    def words(self, text: str) -> set[str]:
-        """Words of a text, as they stand and restored."""
+    def parts(self, text: str) -> tuple[set[str], set[str]]:
+        """Tokens of a text that are words, and the words, as they stand and restored, of all else."""
         low = text.lower()
-        found: set[str] = set()
-        spans = [m.group() for m in SPELLED.finditer(low)]
-        for token in set(low.split()):
-            if token.isalpha():
-                found.add(token)
-            else:
-                found.update(WORD.findall(token))
-                core = token.strip(EDGE)
-                # signs at the edge of a token may be letters as well
-                if not core.isalpha() and any(map(str.isalpha, core)):
-                    spans.append(core)
-                elif core.isalpha() and len(core) < len(token) and any(c in STANDS_FOR for c in token):
-                    spans.append(token)
-            if THRICE.search(token):
-                spans.append(token)
-        for span in spans:
-            found.update(self.short(span) if len(span) <= 64 else restore(span, self.costs))
-        return found
+        tokens = set(low.split())
+        plain = {t for t in tokens if t.isalpha()}
+        others: set[str] = set()
+        for token in tokens - plain:
+            others.update(self.token(token))
+        if repeats_letter(low):
+            for token in plain:
+                if THRICE.search(token):
+                    others.update(self.span(token))
+        for m in SPELLED.finditer(low):
+            others.update(self.span(m.group()))
+        return plain, others
+
+    def words(self, text: str) -> set[str]:
+        plain, others = self.parts(text)
+        return plain | others
 
 
 def features(words: set[str]) -> set[str]:
@@ -169,18 +200,27 @@ class ToxicityModel:
     shares: dict[str, float] = field(default_factory=dict)
     base: float = 0.0
 
-    def score(self, words: set[str]) -> float:
-        """One minus the chance that none of the marking words makes the text toxic."""
-        clean, hit = 1.0, False
-        shares = self.shares
-        for w in words:
-            share = shares.get(w, 0.0)
-            for k in PREFIXES:
-                if len(w) >= k:
-                    share = max(share, shares.get("^" + w[:k], 0.0))
-            if share:
-                clean, hit = clean * (1.0 - share), True
-        return 1.0 - clean if hit else self.base
+    def share(self, word: str) -> float:
+        """The largest share among the features of a word; 0 without any."""
+        marks = [self.shares.get("^" + word[:k], 0.0) for k in PREFIXES if len(word) >= k]
+        return max(self.shares.get(word, 0.0), *marks, 0.0)
+
+
+class Scorer:
+    """Scores texts by a model."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.restorer = model, Restorer(model.costs)
+        # most words begin like no feature
+        self.heads = {feature.removeprefix("^")[: PREFIXES[0]] for feature in model.shares}
+
+    def score(self, text: str | None) -> float:
+        """One minus the chance that none of the distinct marking words makes the text toxic."""
+        heads, k, share, found = self.heads, PREFIXES[0], self.model.share, {}
+        for words in self.restorer.parts(text or ""):
+            found |= {w: share(w) for w in words if w[:k] in heads}
+        shares = sorted(s for s in found.values() if s)  # the same product on every worker
+        return 1.0 - math.prod(1.0 - s for s in shares) if shares else self.model.base
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -233,10 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     model = ToxicityModel(costs, shares)
 
     def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(costs)
+        scorer = Scorer(model)
         for batch in batches:
             texts, marks = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-            rest = [m for t, m in zip(texts, marks) if model.score(restorer.words(t or "")) == 0.0]
+            rest = [m for t, m in zip(texts, marks) if scorer.score(t) == 0.0]
             yield pa.RecordBatch.from_arrays([pa.array(rest, pa.int64())], names=["toxic"])
 
     left = map_arrow(sample, unmarked, "toxic long").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -252,9 +292,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     docs = take(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.costs)
+        scorer = Scorer(model)
         for batch in batches:
-            scores = [model.score(restorer.words(t or "")) for _, texts in texts_of(batch) for t in texts]
+            scores = [scorer.score(t) for _, texts in texts_of(batch) for t in texts]
             columns = [batch.column("doc_id"), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score"])
 
@@ -270,9 +310,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     text = f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.costs)
+        scorer = Scorer(model)
         for batch in batches:
-            keep = [model.score(restorer.words(t or "")) < 0.5 for _, texts in texts_of(batch, text) for t in texts]
+            keep = [scorer.score(t) < 0.5 for _, texts in texts_of(batch, text) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(plain, run, plain.schema).toDF(*names)
