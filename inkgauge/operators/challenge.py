@@ -18,12 +18,12 @@ def build_challenge(
     seed: int = edits.SEED,
     key: str = "doc_id",
     strict: bool = True,
-    recompute_perplexity: bool = False,
+    language_model: ngram_model.NgramModel | None = None,
 ) -> DataFrame:
     """The rows of class 1 with edited text.
 
-    Burstiness is that of the edited text. Perplexity is carried over from the original
-    unless it is asked for again.
+    Burstiness is that of the edited text. Perplexity is carried over from the original, or is
+    that of the edited text under `language_model`.
     """
     rows = df.where(F.col("label") == 1).withColumn("original_text", F.col("text"))
     edited = rows.withColumn(
@@ -34,8 +34,9 @@ def build_challenge(
             "source": F.concat("source", F.lit("_edited")),
         }
     )
-    if recompute_perplexity:
-        edited = ngram_model.add_perplexity(edited.drop("perplexity"), key)
+    if language_model:
+        scores = ngram_model.new_text_perplexity(edited, language_model, key).select(key, "perplexity")
+        edited = edited.drop("perplexity").join(scores, key, "left")
     return edited
 
 

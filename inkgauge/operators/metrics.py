@@ -21,7 +21,10 @@ def _count(condition: Column) -> Column:
 
 
 def confusion_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows without a class, or with a probability column but no probability, are not counted."""
     y, pred = F.col("label"), F.col("pred")
+    if "prob" in df.columns:
+        pred = F.when(F.col("prob").isNotNull(), pred)
     return df.groupBy(*(by or [])).agg(
         _count((y == 0) & (pred == 0)).alias("tn"),
         _count((y == 0) & (pred == 1)).alias("fp"),

@@ -26,7 +26,7 @@ from inkgauge.operators import splits, tfidf
 from inkgauge.operators.metrics import binary_metrics
 from inkgauge.session import stored
 
-ROWS_PER_PARTITION = 2000
+BROADCAST_TERMS = 100_000  # most rows of a coefficient table that is sent to every task
 
 
 def fit_logistic(
@@ -43,8 +43,6 @@ def fit_logistic(
     Spark divides the loss by the number of rows `n`, hence the regularisation of 1/(c*n).
     """
     n = df.count() if n is None else n
-    # a fit is many short jobs; few rows in many partitions would only add scheduling
-    few = max(1, n // ROWS_PER_PARTITION)
     return LogisticRegression(
         featuresCol=features,
         labelCol=label,
@@ -54,7 +52,7 @@ def fit_logistic(
         fitIntercept=True,
         maxIter=max_iter,
         tol=tol,
-    ).fit(df.coalesce(few))
+    ).fit(df)
 
 
 def predict(model, df: DataFrame, pred: str = "pred", prob: str = "prob") -> DataFrame:
@@ -77,9 +75,12 @@ def score_linear(
 ) -> DataFrame:
     """(key, z, prob) from sparse entries (key, term, weight) and a table (term, coef).
 
-    The sums are formed per document in each task before the shuffle. A document without a
-    known term gets the intercept alone.
+    The sums are formed per document in each task before the shuffle. Coefficients of a vocabulary
+    are few and go to the entries; a longer table is joined by term. A document without a known
+    term gets the intercept alone.
     """
+    if coefficients.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        coefficients = F.broadcast(coefficients)
     sums = weights.join(coefficients, "term").groupBy(key).agg(
         F.sum(F.col("weight") * F.col("coef")).alias("_dot")
     )
@@ -87,9 +88,12 @@ def score_linear(
     return docs.select(key).join(sums, key, "left").select(key, z.alias("z"), sigmoid(z).alias("prob"))
 
 
-def hybrid_vector(df: DataFrame, document_vector: str = "embedding", output: str = "features") -> DataFrame:
-    """Document vector followed by the two scaled stylometric features."""
-    with_vector = df.withColumn("_v", array_to_vector(F.col(document_vector).cast("array<double>")))
+def hybrid_vector(
+    df: DataFrame, dimensions: int, document_vector: str = "embedding", output: str = "features"
+) -> DataFrame:
+    """Document vector followed by the two scaled stylometric features; a missing vector is all zeros."""
+    known = F.coalesce(F.col(document_vector).cast("array<double>"), F.array_repeat(F.lit(0.0), dimensions))
+    with_vector = df.withColumn("_v", array_to_vector(known))
     assembler = VectorAssembler(inputCols=["_v", "perp_scaled", "burst_scaled"], outputCol=output)
     return assembler.transform(with_vector).drop("_v")
 
@@ -146,8 +150,12 @@ def softmax_argmax(df: DataFrame, logits: str = "logits") -> DataFrame:
 def frozen_encoder_features(
     docs: DataFrame, vectors: DataFrame, key: str = "doc_id", vector_key: str = "vec_id"
 ) -> DataFrame:
-    """Documents with their precomputed vector, for training a head on a fixed encoder."""
-    return docs.join(vectors.select(F.col(vector_key).alias(key), "embedding"), key)
+    """Documents with their precomputed vector, for training a head on a fixed encoder.
+
+    A document without a vector stays, with `has_vector` false.
+    """
+    joined = docs.join(vectors.select(F.col(vector_key).alias(key), "embedding"), key, "left")
+    return joined.withColumn("has_vector", F.col("embedding").isNotNull())
 
 
 def score_with(
@@ -184,7 +192,7 @@ def source_held_out(
     k: int = tfidf.VOCABULARY_SIZE,
     c: float = 1.0,
     max_iter: int = 1000,
-    tol: float = 1e-4,
+    tol: float = 1e-6,
     parallelism: int = 4,
 ) -> DataFrame:
     """Per held-out source: refit vocabulary and classifier without it, then test on it.

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions import text as T
-from inkgauge.functions.columns import let, run_lengths
+from inkgauge.functions.columns import let, portable_hash, run_lengths
 from inkgauge.operators.joins import heavy_keys, salted_join
+from inkgauge.operators.splits import SEED
 from inkgauge.session import stored
 
 FOLDS = 5
@@ -22,10 +23,9 @@ MAX_NLL = 100.0
 
 
 def assign_fold(df: DataFrame, key: str = "doc_id", folds: int = FOLDS) -> DataFrame:
-    """Adds `fold`: the key modulo `folds`, through a hash when the key is not a whole number."""
-    whole = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
-    number = F.col(key) if whole else F.xxhash64(key)
-    return df.withColumn("fold", F.pmod(number, F.lit(folds)).cast("int"))
+    """Adds `fold` by a hash of the key, so that ids in regular steps spread over all folds."""
+    hashed = portable_hash(SEED, "fold", F.col(key))
+    return df.withColumn("fold", F.pmod(hashed, F.lit(folds)).cast("int"))
 
 
 def unigram_counts(df: DataFrame, text: str = "text", max_tokens: int | None = None) -> DataFrame:

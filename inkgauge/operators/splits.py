@@ -59,8 +59,8 @@ def stratified_split(
     """Adds `split`: in every label the first 70 % in hash order train, the next 15 % validate.
 
     Only (key, label) is read to find the two cut points of each label; the rows themselves,
-    texts included, are then labelled in place without a shuffle. The labels are binary, so
-    the broadcast table has at most three rows.
+    texts included, are then labelled in place without a shuffle. Only labels 0 and 1 have cut
+    points, so the broadcast table has at most two rows; any other label, null included, is an error.
     """
     hashed = df.withColumn("_h", portable_hash(seed, "split", F.col(key)))
 
@@ -71,15 +71,18 @@ def stratified_split(
         F.struct(F.lit("val").alias("name"), first_at_least(train_pct).alias("pos")),
         F.struct(F.lit("test").alias("name"), first_at_least(train_pct + val_pct).alias("pos")),
     )
-    cuts = position_cuts(hashed.select(label, key, "_h"), [label], targets, key)
+    binary = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
+    cuts = position_cuts(hashed.where(binary).select(label, key, "_h"), [label], targets, key)
     per_label = cuts.groupBy(F.col(label).alias("_label")).agg(
         F.max(F.when(F.col("name") == "val", F.col("cut"))).alias("_val"),
         F.max(F.when(F.col("name") == "test", F.col("cut"))).alias("_test"),
     )
+    wrong = F.concat(F.lit("label is not 0 or 1: "), F.coalesce(F.col(label).cast("string"), F.lit("null")))
     split = (
-        F.when(_below("_val", key), SPLITS[0]).when(_below("_test", key), SPLITS[1]).otherwise(SPLITS[2])
+        F.when(~binary, F.raise_error(wrong))
+        .when(_below("_val", key), SPLITS[0]).when(_below("_test", key), SPLITS[1]).otherwise(SPLITS[2])
     )
-    joined = hashed.join(F.broadcast(per_label), F.col(label).eqNullSafe(F.col("_label")), "left")
+    joined = hashed.join(F.broadcast(per_label), F.col(label) == F.col("_label"), "left")
     return joined.withColumn("split", split).drop("_h", "_label", "_val", "_test")
 
 

@@ -18,12 +18,13 @@ from inkgauge.operators import (
     governance,
     metrics,
     models,
+    ngram_model,
     splits,
     style,
     tfidf,
 )
 from inkgauge.operators.joins import heavy_keys, salted_join
-from inkgauge.plans.views import add_features
+from inkgauge.plans.views import add_features, batch_features
 from inkgauge.session import stored
 from inkgauge.sources import generate, readers, sinks
 
@@ -55,16 +56,23 @@ def build_dataset(
 ) -> DataFrame:
     """Union, clean, add features, split and write; returns the composition gate.
 
-    The key is the digest of the raw text, so it does not depend on how the input is split.
+    The key is the digest of the raw text, so it does not depend on how the input is split. Rows
+    without a label are counted by source in `unlabelled` and left out. The language model of the
+    set is written to `language_model`, for new texts.
     """
     rows = readers.union_sources([_read(spark, s) for s in sources]).withColumn(
         KEY, F.md5(F.coalesce("text", F.lit("")))
     )
-    clean = stored(cleaning.clean_corpus(rows, ["source_rank", KEY, "label"]), "clean")
+    unlabelled = rows.where(F.col("label").isNull()).groupBy("source").agg(F.count("*").alias("rows"))
+    sinks.write_table(unlabelled, f"{out}/unlabelled", "csv")
+    labelled = rows.where(F.col("label").isNotNull())
+    clean = stored(cleaning.clean_corpus(labelled, ["source_rank", KEY, "label"]), "clean")
     if skip_perplexity:
         feats = style.skip_perplexity(style.add_sentence_features(clean))
     else:
-        feats = add_features(clean, KEY)
+        folded = ngram_model.assign_fold(clean, KEY)
+        sinks.save_ngram(ngram_model.fit(folded), spark, f"{out}/language_model")
+        feats = add_features(folded, KEY, sinks.load_ngram(spark, f"{out}/language_model"))
     table = splits.stratified_split(feats, key=KEY).select(
         KEY, "text", "label", "source", "burstiness", "perplexity", "split"
     )
@@ -122,6 +130,7 @@ def evaluate(spark: SparkSession, data: str, scorers: dict[str, Scorer], out: st
         sinks.write_table(metrics.roc_points(own, drop_intermediate=True), f"{out}/{name}/roc", "csv")
         sinks.write_table(metrics.probability_histogram(own), f"{out}/{name}/histogram", "csv")
         sinks.write_table(metrics.burstiness_vs_probability(own), f"{out}/{name}/burstiness", "csv")
+        sinks.write_summary_json(metrics.unscored_rows(own), f"{out}/{name}/unscored")
         errors = metrics.top_errors(own, key=KEY).drop("sentence_lengths")
         sinks.write_table(errors, f"{out}/{name}/misclassified", "csv")
         sinks.write_summary_json(metrics.error_summary(own), f"{out}/{name}/error_summary")
@@ -140,25 +149,44 @@ def held_out(spark: SparkSession, data: str, out: str, **options) -> DataFrame:
 
 
 def score_files(
-    spark: SparkSession, path: str, score: Scorer, out: str, fmt: str = "csv", schema: str | None = None
+    spark: SparkSession,
+    path: str,
+    score: Scorer,
+    language_model: ngram_model.NgramModel,
+    out: str,
+    fmt: str = "csv",
+    schema: str | None = None,
+    key: str | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Score a batch of texts as they are and write the result table with display texts.
 
+    `language_model` is that of the data set, so a text's result does not depend on the batch.
+    Every input row gives one row with `row_id`, the column `key` or else a number in the order
+    of files and lines, and with the columns of `keep`.
+
     Equal texts have equal results, so each text is scored once and joined to its rows; the
     join is salted because one text may hold a large part of them. A row without a text keeps
     its place with null scores.
     """
     raw = readers.read_samples(spark, path, fmt, schema)
-    keyed = raw.select(F.md5("text").alias("doc_id"), "text")
+    row_id = F.col(key) if key else F.monotonically_increasing_id()
+    own = [F.col(c).alias(f"_{c}") for c in keep]
+    keyed = raw.select(row_id.alias("row_id"), *own, F.md5("text").alias("doc_id"), "text")
     given = keyed.where(F.col("text").isNotNull())
-    texts = stored(cleaning.dedup_exact(given, ["doc_id"]), "texts")
-    table = stored(decisions.score_batch(score(add_features(texts)), display=True), "scored-texts")
+    texts = stored(cleaning.dedup_exact(given.select("doc_id", "text"), ["doc_id"]), "texts")
+    # the scorer reads the text
+    features = batch_features(texts, language_model).drop("text").join(texts, "doc_id")
+    table = stored(decisions.score_batch(score(features), display=True), "scored-texts")
     copies = given.groupBy("doc_id").agg(F.count("*").alias("n"))
     heavy = heavy_keys(copies, ["doc_id"], "n", given.count())
-    numbered = given.select("doc_id", F.monotonically_increasing_id().alias("_row"))
-    rows = salted_join(numbered, table, ["doc_id"], heavy, ["_row"]).select(table.columns)
+    numbered = given.drop("text")
+    identity = ["row_id", *[f"_{c}" for c in keep]]
+    rows = salted_join(numbered, table, ["doc_id"], heavy, ["row_id"]).select(*identity, *table.columns)
     no_text = keyed.where(F.col("text").isNull())
-    blank = no_text.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema])
+    blank = no_text.select(*identity, *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema])
     out_table = rows.unionByName(blank).drop("doc_id")
+    if not set(keep) & {"row_id", *table.columns}:  # else they stay apart by their underscore
+        out_table = out_table.withColumnsRenamed({f"_{c}": c for c in keep})
     sinks.write_table(out_table, out, "csv")
     return readers.read_samples(spark, out, "csv", out_table.schema)

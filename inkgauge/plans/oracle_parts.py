@@ -75,13 +75,20 @@ def prob(name: str) -> str:
     return f"round(1.0 / (1.0 + exp(-({b0} + ({b1}) * perp_scaled + ({b2}) * burst_scaled))), 6)"
 
 
+def _perplexity_sql(row: str) -> str:
+    return f"""SELECT doc_id,
+  exp(least(sum(n * -ln((cw + 1)::DOUBLE / (tokens + v))) / sum(n), 100)) AS unigram_perplexity,
+  exp(least(sum(n * -ln(0.7 * coalesce(cuw::DOUBLE / nullif(cu, 0), 0) + (1.0 - 0.7) * (cw + 1)::DOUBLE / (tokens + v))) / sum(n), 100)) AS perplexity
+FROM {row} GROUP BY doc_id"""
+
+
 def perplexity_of(corpus: str, name: str) -> dict[str, tuple[str, tuple[str, ...]]]:
     """CTEs that end in `<name>` (doc_id, unigram_perplexity, perplexity)."""
     tok, uni, bi, pre = (f"{name}_{p}" for p in ("tok", "uni", "bi", "pre"))
     pair, size, row = (f"{name}_{p}" for p in ("pair", "size", "row"))
     return {
         tok: (
-            f"SELECT doc_id, doc_id % 5 AS fold, regexp_extract_all(lower(text), {lit(patterns.LM_TOKEN)}) AS t FROM {corpus}",
+            f"SELECT doc_id, {hashed('fold', 'doc_id')} % 5 AS fold, regexp_extract_all(lower(text), {lit(patterns.LM_TOKEN)}) AS t FROM {corpus}",
             (corpus,),
         ),
         uni: (f"SELECT fold, term, count(*) AS n FROM (SELECT fold, unnest(t) AS term FROM {tok}) GROUP BY ALL", (tok,)),
@@ -110,13 +117,30 @@ LEFT JOIN (SELECT prev, term, sum(n) AS n FROM {bi} GROUP BY ALL) ba ON ba.prev
 LEFT JOIN {bi} bf ON bf.prev = p.prev AND bf.term = p.term AND bf.fold = p.fold""",
             (pair, size, uni, pre, bi),
         ),
-        name: (
-            f"""SELECT doc_id,
-  exp(least(sum(n * -ln((cw + 1)::DOUBLE / (tokens + v))) / sum(n), 100)) AS unigram_perplexity,
-  exp(least(sum(n * -ln(0.7 * coalesce(cuw::DOUBLE / nullif(cu, 0), 0) + (1.0 - 0.7) * (cw + 1)::DOUBLE / (tokens + v))) / sum(n), 100)) AS perplexity
-FROM {row} GROUP BY doc_id""",
-            (row,),
+        name: (_perplexity_sql(row), (row,)),
+    }
+
+
+def new_perplexity_of(texts: str, name: str, corpus: str) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """CTEs that end in `<name>`: texts from outside a corpus under all counts of that corpus."""
+    tok, pair, row = (f"{name}_{p}" for p in ("tok", "pair", "row"))
+    uni, bi, pre = (f"{corpus}_{p}" for p in ("uni", "bi", "pre"))
+    return {
+        tok: (f"SELECT doc_id, regexp_extract_all(lower(text), {lit(patterns.LM_TOKEN)}) AS t FROM {texts}", (texts,)),
+        pair: (
+            "SELECT doc_id, prev, term, count(*) AS n FROM (SELECT doc_id, t[i] AS prev, t[i + 1] AS term "
+            f"FROM (SELECT *, unnest(range(1, len(t))) AS i FROM {tok} WHERE len(t) > 1)) GROUP BY ALL",
+            (tok,),
+        ),
+        row: (
+            f"""SELECT p.doc_id, p.n, coalesce(u.n, 0) AS cw, coalesce(a.n, 0) AS cu, coalesce(b.n, 0) AS cuw, z.n AS tokens, z.v
+FROM {pair} p CROSS JOIN (SELECT sum(n) AS n, count(DISTINCT term) AS v FROM {uni}) z
+LEFT JOIN (SELECT term, sum(n) AS n FROM {uni} GROUP BY ALL) u ON u.term = p.term
+LEFT JOIN (SELECT prev, sum(n) AS n FROM {pre} GROUP BY ALL) a ON a.prev = p.prev
+LEFT JOIN (SELECT prev, term, sum(n) AS n FROM {bi} GROUP BY ALL) b ON b.prev = p.prev AND b.term = p.term""",
+            (pair, uni, pre, bi),
         ),
+        name: (_perplexity_sql(row), (row,)),
     }
 
 
@@ -232,10 +256,15 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "UNION ALL SELECT conv_id, turn, text, CASE WHEN lower(CASE WHEN role = 'assistant' THEN 'ai' ELSE role END) IN ('bot', '1', 'ai', 'machine') THEN 1 ELSE 0 END, 'conversations', 2 FROM conversations",
         ("base",),
     ),
-    "dataset": (
+    "dataset_raw": (
         "SELECT doc_id, turn, text, label, source, source_rank FROM united UNION ALL SELECT doc_id, 0, text, label, source, 3 FROM made",
         ("united", "made"),
     ),
+    "dataset": (
+        "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source_rank, doc_id, turn) AS rn "
+        f"FROM (SELECT * REPLACE ({clean('text')} AS text) FROM dataset_raw) WHERE length(text) > 20) WHERE rn = 1",
+        ("dataset_raw",),
+    ),
     "terms": (f"SELECT doc_id, {kept('text')} AS k FROM clean", ("clean",)),
     "grams": (f"SELECT doc_id, {ngrams('k')} AS g FROM terms", ("terms",)),
     "tf": ("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM grams) GROUP BY ALL", ("grams",)),
@@ -262,7 +291,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("challenge",),
     ),
     # uncleaned documents, as a batch is scored
-    **perplexity_of("documents", "rawppl"),
+    **new_perplexity_of("documents", "rawppl", "ppl"),
     **_stats_over("raw", "documents"),
     "raw_feats": (
         "SELECT c.*, p.perplexity, ln(1 + coalesce(p.perplexity, 0)) / 5 AS perp_scaled, burstiness / 5 AS burst_scaled "
@@ -270,10 +299,6 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("raw_style", "rawppl"),
     ),
     "raw_scored": (f"SELECT *, {prob('a')} AS prob FROM raw_feats", ("raw_feats",)),
-    "plain_scored": (
-        f"SELECT *, {prob('a')} AS prob FROM (SELECT *, 0.0 AS perplexity, 0.0 AS perp_scaled, burstiness / 5 AS burst_scaled FROM raw_style)",
-        ("raw_style",),
-    ),
 }
 
 

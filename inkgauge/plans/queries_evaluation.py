@@ -26,6 +26,17 @@ _CONFUSION = """count(*) FILTER (label = 0 AND pred = 0) AS tn, count(*) FILTER
   count(*) FILTER (label = 1 AND pred = 0) AS fn, count(*) FILTER (label = 1 AND pred = 1) AS tp"""
 
 
+@query(
+    "unscored_rows",
+    O.with_views(
+        "SELECT count(*) AS total, count(*) FILTER (prob IS NULL) AS unscored FROM documents LEFT JOIN scored USING (doc_id)", "scored"
+    ),
+)
+def unscored_rows(v: Views) -> DataFrame:
+    """Documents that no metric can use: without a label, too short, or repeated."""
+    return metrics.unscored_rows(v.table("documents").select("doc_id").join(_scored(v), "doc_id", "left"))
+
+
 @query("confusion_counts", O.with_views(f"SELECT {_CONFUSION} FROM scored", "scored"))
 def confusion_counts(v: Views) -> DataFrame:
     return metrics.confusion_counts(_scored(v))

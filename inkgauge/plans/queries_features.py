@@ -41,12 +41,25 @@ def lm_bigram_counts(v: Views) -> DataFrame:
     ),
 )
 def lm_crossfit_score(v: Views) -> DataFrame:
-    scores = ngram_model.crossfit_perplexity(ngram_model.assign_fold(v.clean()))
+    scores = ngram_model.crossfit_perplexity(ngram_model.assign_fold(v.clean()), model=v.language_model())
     return scores.withColumns(
         {c: F.round(c, PPL_ROUND) for c in ("unigram_perplexity", "perplexity")}
     )
 
 
+@query(
+    "new_text_perplexity",
+    O.with_views(
+        "SELECT doc_id, round(unigram_perplexity, 3) AS unigram_perplexity, round(perplexity, 3) AS perplexity FROM rawppl",
+        "rawppl",
+    ),
+)
+def new_text_perplexity(v: Views) -> DataFrame:
+    """All documents as they are, as texts from outside the corpus."""
+    scores = ngram_model.new_text_perplexity(v.table("documents"), v.language_model())
+    return scores.withColumns({c: F.round(c, PPL_ROUND) for c in ("unigram_perplexity", "perplexity")})
+
+
 @query(
     "skip_perplexity",
     O.with_views("SELECT doc_id, 0.0::DOUBLE AS perplexity, round(burstiness, 6) AS burstiness FROM clean_style", "clean_style"),
@@ -338,7 +351,7 @@ def format_scores(v: Views) -> DataFrame:
 def score_batch(v: Views) -> DataFrame:
     """All documents as they are, without cleaning."""
     raw = v.table("documents").select("doc_id", "text")
-    scored = add_predictions(batch_features(raw)).withColumn("prob", F.col("prob_a"))
+    scored = add_predictions(batch_features(raw, v.language_model())).withColumn("prob", F.col("prob_a"))
     out = decisions.score_batch(scored)
     return out.withColumns(
         {

@@ -84,8 +84,8 @@ def _with_vectors(v: Views) -> DataFrame:
 @query(
     "frozen_encoder_features",
     O.with_views(
-        """SELECT f.doc_id, f.label, len(e.embedding)::INTEGER AS dimensions, round(e.embedding[1]::DOUBLE, 6) AS first_value,
-  round(f.perp_scaled, 6) AS perp_scaled, round(f.burst_scaled, 6) AS burst_scaled FROM feats f JOIN embeddings e ON e.vec_id = f.doc_id""",
+        """SELECT f.doc_id, f.label, e.vec_id IS NOT NULL AS has_vector, len(e.embedding)::INTEGER AS dimensions, round(e.embedding[1]::DOUBLE, 6) AS first_value,
+  round(f.perp_scaled, 6) AS perp_scaled, round(f.burst_scaled, 6) AS burst_scaled FROM feats f LEFT JOIN embeddings e ON e.vec_id = f.doc_id""",
         "feats",
     ),
 )
@@ -93,6 +93,7 @@ def frozen_encoder_features(v: Views) -> DataFrame:
     return _with_vectors(v).select(
         "doc_id",
         "label",
+        "has_vector",
         F.size("embedding").alias("dimensions"),
         F.round(F.get("embedding", F.lit(0)).cast("double"), ROUND).alias("first_value"),
         F.round("perp_scaled", ROUND).alias("perp_scaled"),
@@ -103,8 +104,8 @@ def frozen_encoder_features(v: Views) -> DataFrame:
 @query("fit_hybrid")
 def fit_hybrid(v: Views) -> DataFrame:
     """Predictions of a network on document vectors and stylometry, trained on the other splits."""
-    rows = stored(models.hybrid_vector(splits.stratified_split(_with_vectors(v))), "hybrid-rows")
-    model = models.fit_hybrid(splits.train_pool(rows), dimensions=64, max_iter=30)
+    rows = stored(models.hybrid_vector(splits.stratified_split(_with_vectors(v)), dimensions=64), "hybrid-rows")
+    model = models.fit_hybrid(splits.train_pool(rows), dimensions=64)
     test = rows.where(F.col("split") == "test")
     return models.predict(model, test).select("doc_id", "label", "pred", "prob")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.operators import decisions, governance, metrics, splits, style
+from inkgauge.operators import decisions, governance, metrics, splits
 from inkgauge.plans import oracle_parts as O
 from inkgauge.plans.registry import query
-from inkgauge.plans.views import DECIMALS, Views, add_predictions, as_scored
+from inkgauge.plans.views import DECIMALS, Views, add_predictions, as_scored, batch_features
 from inkgauge.session import work_path
 from inkgauge.sources import generate, readers, sinks
 from inkgauge.streaming import streams
@@ -111,22 +111,31 @@ def write_table(v: Views) -> DataFrame:
 )
 def write_summary_json(v: Views) -> DataFrame:
     path = work_path(v.spark, "summary")
-    sinks.write_summary_json(governance.dataset_metadata(v.dataset()), path)
+    sinks.write_summary_json(governance.dataset_metadata(v.dataset_clean()), path)
     back = v.spark.read.schema("total_samples long, synthetic_fraction double").json(path)
     return rounded(back, "synthetic_fraction")
 
 
+@query(
+    "save_language_model",
+    O.with_views("SELECT prev, term, sum(n)::BIGINT AS n FROM ppl_bi GROUP BY ALL", "ppl_bi"),
+)
+def save_language_model(v: Views) -> DataFrame:
+    """The pair counts of the language model after it was saved and loaded again."""
+    return v.language_model().bigrams.select("prev", "term", F.col("bi").alias("n"))
+
+
 # governance
 
 
 @query("source_counts", O.with_views("SELECT source, count(*) AS n FROM dataset GROUP BY source", "dataset"))
 def source_counts(v: Views) -> DataFrame:
-    return governance.source_counts(v.dataset())
+    return governance.source_counts(v.dataset_clean())
 
 
 @query("label_counts", O.with_views("SELECT label, count(*) AS n FROM dataset GROUP BY label", "dataset"))
 def label_counts(v: Views) -> DataFrame:
-    return governance.label_counts(v.dataset())
+    return governance.label_counts(v.dataset_clean())
 
 
 @query(
@@ -137,7 +146,7 @@ def label_counts(v: Views) -> DataFrame:
     ),
 )
 def synthetic_sources(v: Views) -> DataFrame:
-    return governance.source_kinds(v.dataset())
+    return governance.source_kinds(v.dataset_clean())
 
 
 @query(
@@ -148,7 +157,7 @@ def synthetic_sources(v: Views) -> DataFrame:
     ),
 )
 def synthetic_fraction(v: Views) -> DataFrame:
-    return rounded(governance.synthetic_fraction(v.dataset()), "synthetic_fraction")
+    return rounded(governance.synthetic_fraction(v.dataset_clean()), "synthetic_fraction")
 
 
 def _entries(counts: str) -> Column:
@@ -171,7 +180,7 @@ def _entries(counts: str) -> Column:
     ),
 )
 def dataset_metadata(v: Views) -> DataFrame:
-    return governance.dataset_metadata(v.dataset()).select(
+    return governance.dataset_metadata(v.dataset_clean()).select(
         "total_samples",
         _entries("source_counts").alias("source_counts"),
         _entries("label_counts").alias("label_counts"),
@@ -189,16 +198,16 @@ def dataset_metadata(v: Views) -> DataFrame:
     ),
 )
 def composition_gate(v: Views) -> DataFrame:
-    return rounded(governance.composition_gate(v.dataset()), "synthetic_fraction")
+    return rounded(governance.composition_gate(v.dataset_clean()), "synthetic_fraction")
 
 
 # streams
 
 
-def _score(batch: DataFrame) -> DataFrame:
-    """Batch scoring without a language model, so that a row needs nothing but itself."""
-    feats = style.scaled_stats(style.skip_perplexity(style.add_sentence_features(batch)))
-    scored = add_predictions(feats).withColumn("prob", F.col("prob_a"))
+def _score(batch: DataFrame, model_path: str) -> DataFrame:
+    """Batch scoring under the saved language model, so that a row depends on no other row."""
+    model = sinks.load_ngram(batch.sparkSession, model_path)
+    scored = add_predictions(batch_features(batch, model)).withColumn("prob", F.col("prob_a"))
     return decisions.score_batch(scored, display=True)
 
 
@@ -209,9 +218,9 @@ def _score(batch: DataFrame) -> DataFrame:
   format('{{:.2f}}', prob * 100) || '%' AS probability,
   CASE WHEN prob >= 0.5 THEN 'AI-Generated' ELSE 'Human-Written' END AS label,
   CASE {O.GRAY_ZONE} WHEN 'edited_ai' THEN 'Possible Human-Edited AI' WHEN 'strong_ai' THEN 'Strong AI Signal' WHEN 'likely_human' THEN 'Likely Human-Written' ELSE 'Uncertain / Mixed Signal' END AS interpretation,
-  format('{{:.1f}}', {O.CONFIDENCE}) || '%' AS confidence, format('{{:.1f}}', 0.0::DOUBLE) AS perplexity, format('{{:.2f}}', burstiness) AS burstiness
-FROM plain_scored""",
-        "plain_scored",
+  format('{{:.1f}}', {O.CONFIDENCE}) || '%' AS confidence, format('{{:.1f}}', perplexity) AS perplexity, format('{{:.2f}}', burstiness) AS burstiness
+FROM raw_scored""",
+        "raw_scored",
     ),
 )
 def stream_score(v: Views) -> DataFrame:
@@ -219,7 +228,8 @@ def stream_score(v: Views) -> DataFrame:
     # a pattern, so that a single file is accepted as well as a folder
     stream = streams.stream_samples(v.spark, v.path("document[s]"), documents.schema)
     out = work_path(v.spark, "stream-score")
-    streams.stream_score(stream, _score, f"{out}/rows", f"{out}/state").awaitTermination()
+    model = v.language_model_path()
+    streams.stream_score(stream, lambda b: _score(b, model), f"{out}/rows", f"{out}/state").awaitTermination()
     return v.spark.read.parquet(f"{out}/rows").drop("batch")
 
 

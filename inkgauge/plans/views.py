@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from inkgauge.functions import text as T
 from inkgauge.functions.columns import sigmoid
 from inkgauge.operators import cleaning, models, ngram_model, splits, style, tfidf
-from inkgauge.session import spread, stored, work_path
+from inkgauge.operators.decisions import decision_label
+from inkgauge.session import stored, work_path
 from inkgauge.sources import generate, readers, sinks
 
 DECIMALS = 6
@@ -20,9 +21,6 @@ DECIMALS = 6
 COEFFICIENTS = {"a": (5.0, -1.5, -0.9), "b": (3.0, -0.4, -1.1)}
 MODELS = {"baseline": ("pred_a", "prob_a"), "hybrid": ("pred_b", "prob_b")}
 
-# tables whose texts make the scan bound by the processor
-LONG_TEXTS = {"documents", "pages", "conversations"}
-
 _done: dict[tuple[str, str, str], object] = {}
 
 
@@ -41,8 +39,7 @@ class Views:
         return f"{self.sf_dir}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
-        return spread(df) if name in LONG_TEXTS else df
+        return self.spark.read.parquet(self.path(name))
 
     # corpus
 
@@ -56,8 +53,23 @@ class Views:
     def clean(self) -> DataFrame:
         return self._once("clean", lambda: stored(cleaning.clean_corpus(self.base(), ["doc_id"]), "clean"))
 
+    def language_model(self) -> ngram_model.NgramModel:
+        """N-gram counts of the cleaned corpus, saved and loaded again."""
+        return sinks.load_ngram(self.spark, self.language_model_path())
+
+    def language_model_path(self) -> str:
+        def make() -> str:
+            path = work_path(self.spark, "language-model")
+            sinks.save_ngram(ngram_model.fit(ngram_model.assign_fold(self.clean())), self.spark, path)
+            return path
+
+        return self._once("language-model", make)
+
     def feats(self) -> DataFrame:
-        return self._once("feats", lambda: stored(add_features(self.clean()), "feats"))
+        def make() -> DataFrame:
+            return stored(add_features(self.clean(), model=self.language_model()), "feats")
+
+        return self._once("feats", make)
 
     def pred(self) -> DataFrame:
         return add_predictions(self.feats())
@@ -96,15 +108,22 @@ class Views:
         made = made.withColumn("turn", F.lit(0).cast("long"))
         return readers.union_sources([*self.sources(), made])
 
-    def dataset_feats(self) -> DataFrame:
-        """The cleaned data set with both features; `row_id` is unique over the sources."""
+    def dataset_clean(self) -> DataFrame:
+        """The cleaned data set; `row_id` is unique over the sources."""
 
         def make() -> DataFrame:
             row_id = F.concat_ws(":", "source_rank", "doc_id", "turn")
             rows = self.dataset().withColumn("row_id", row_id)
             clean = cleaning.clean_corpus(rows, ["source_rank", "doc_id", "turn"])
-            clean = stored(ngram_model.assign_fold(clean), "dataset-clean")
-            return stored(add_features(clean, "row_id"), "dataset-feats")
+            return stored(ngram_model.assign_fold(clean), "dataset-clean")
+
+        return self._once("dataset-clean", make)
+
+    def dataset_feats(self) -> DataFrame:
+        """The cleaned data set with both features."""
+
+        def make() -> DataFrame:
+            return stored(add_features(self.dataset_clean(), "row_id"), "dataset-feats")
 
         return self._once("dataset-feats", make)
 
@@ -130,32 +149,34 @@ class Views:
         return sinks.load_baseline(self.spark, self._once("baseline", make))
 
 
-def add_features(clean: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Both stylometric features, raw and scaled."""
+def add_features(
+    clean: DataFrame, key: str = "doc_id", model: ngram_model.NgramModel | None = None
+) -> DataFrame:
+    """Both stylometric features of a corpus, raw and scaled; `model` are the counts of this corpus."""
     with_sentences = style.add_sentence_features(clean)
-    return style.scaled_stats(ngram_model.add_perplexity(with_sentences, key))
+    return style.scaled_stats(ngram_model.add_perplexity(with_sentences, key, model=model))
 
 
-def batch_features(raw: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Features of uncleaned texts for a result table.
+def batch_features(raw: DataFrame, model: ngram_model.NgramModel, key: str = "doc_id") -> DataFrame:
+    """Features of new, uncleaned texts for a result table, under the language model of a corpus.
 
     The table shows only the start of a text, so the whole text is not carried into the join.
     """
     shown = style.add_sentence_features(raw).withColumn("text", T.preview_text(F.col("text")))
-    scores = ngram_model.crossfit_perplexity(ngram_model.assign_fold(raw, key), key)
+    scores = ngram_model.new_text_perplexity(raw, model, key)
     return style.scaled_stats(shown.join(scores.select(key, "perplexity"), key, "left"))
 
 
 def add_predictions(feats: DataFrame) -> DataFrame:
     """Two linear models with fixed coefficients over the scaled features.
 
-    The probability is rounded before it is compared with anything.
+    The probability is rounded before it is compared with anything; without one there is no class.
     """
     out = feats
     for name, (intercept, perp, burst) in COEFFICIENTS.items():
         z = F.lit(intercept) + perp * F.col("perp_scaled") + burst * F.col("burst_scaled")
         out = out.withColumn(f"prob_{name}", F.round(sigmoid(z), DECIMALS))
-        out = out.withColumn(f"pred_{name}", F.when(F.col(f"prob_{name}") >= 0.5, 1).otherwise(0))
+        out = out.withColumn(f"pred_{name}", decision_label(F.col(f"prob_{name}")))
     return out
 
 

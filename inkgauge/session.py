@@ -65,13 +65,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a table read from fewer splits than there are cores over all cores.
-
-    Text functions are bound by the processor, and one small file would keep one core busy. A
-    large table has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

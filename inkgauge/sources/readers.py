@@ -15,6 +15,9 @@ LABEL_PARTS = ("label", "account")
 POSITIVE_LABELS = ["bot", "1", "ai", "machine"]
 
 
+MISSING_INPUT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 class MissingColumns(ValueError):
     """The input has no column for something that is required."""
 
@@ -25,16 +28,18 @@ def read_samples(
     fmt: str = "parquet",
     schema: ST.StructType | str | None = None,
     required: tuple[str, ...] = ("text",),
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a table and reject it when a required column is missing.
 
-    CSV has a header, may have line breaks inside quotes and doubles quotes to escape them.
+    CSV has a header and doubles quotes to escape them. A file that may have line breaks inside
+    quotes can't be split over tasks; without such breaks, `multi_line=False` reads it in parallel.
     """
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+        reader = reader.options(header=True, multiLine=multi_line, quote='"', escape='"')
     df = reader.format(fmt).load(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -90,14 +95,19 @@ def load_or_fallback(
 ) -> DataFrame:
     """The table at `path`, or generated rows under the source name `<name>_synthetic`.
 
-    The input is probed at once, because a lazy read would fail only later. Only a missing
-    path or a table without the needed columns leads to the fallback; other errors are real.
+    The input is probed at once, because a lazy read would fail only later. Only a missing path,
+    a folder without data, or a table without a text or label column leads to the fallback;
+    other errors, such as a missing column of `keep`, are real.
     """
     try:
         df = standardise(read_samples(spark, path, fmt, required=()), name, keep)
         df.limit(1).collect()
         return df
-    except (AnalysisException, MissingColumns):
+    except MissingColumns:
+        return tag_source(fallback(), f"{name}_synthetic", keep)
+    except AnalysisException as error:
+        if error.getCondition() not in MISSING_INPUT:
+            raise
         return tag_source(fallback(), f"{name}_synthetic", keep)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgauge.operators.models import coefficient_table
+from inkgauge.operators.ngram_model import NgramModel
 from inkgauge.operators.tfidf import TfidfModel
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -62,6 +63,23 @@ def load_baseline(spark: SparkSession, path: str) -> tuple[LogisticRegressionMod
     return LogisticRegressionModel.load(f"{path}/classifier"), vocab
 
 
+def save_ngram(model: NgramModel, spark: SparkSession, path: str) -> None:
+    """The three count tables of a language model and their totals."""
+    model.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
+    model.prefixes.write.mode("overwrite").parquet(f"{path}/prefixes")
+    model.unigrams.write.mode("overwrite").parquet(f"{path}/unigrams")
+    totals = [(model.distinct_pairs, model.tokens_by_fold, model.vocabulary)]
+    schema = "distinct_pairs long, tokens_by_fold array<long>, vocabulary long"
+    spark.createDataFrame(totals, schema).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def load_ngram(spark: SparkSession, path: str) -> NgramModel:
+    """The saved language model; a missing one is an error."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("bigrams", "prefixes", "unigrams")]
+    return NgramModel(*tables, totals["distinct_pairs"], list(totals["tokens_by_fold"]), totals["vocabulary"])
+
+
 def save_hybrid(model: MultilayerPerceptronClassificationModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -6,7 +6,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from inkgauge.operators import decisions, metrics, models, ngram_model, splits, tfidf
+from inkgauge.operators.challenge import build_challenge
 from inkgauge.operators.joins import heavy_keys, salted_join
+from inkgauge.session import work_path
+from inkgauge.sources import sinks
 
 PREDICTIONS = "doc_id long, source string, label int, pred int, prob double"
 
@@ -104,6 +107,7 @@ def test_best_epoch(spark):
 def test_rows_without_probability_are_counted(spark):
     df = predictions(spark, [1, 0], [1, 0], [0.5, None])
     assert tuple(metrics.unscored_rows(df).first()) == (2, 1)
+    assert metrics.binary_metrics(df).first().samples == 1
 
 
 # decisions
@@ -195,6 +199,40 @@ def test_new_texts_use_all_folds(spark):
     assert out[8] == pytest.approx(7 / 0.3)
 
 
+def test_saved_language_model(spark):
+    docs = spark.createDataFrame([(0, 0, "a b a"), (1, 1, "a b"), (2, 1, "one")], "doc_id long, fold int, text string")
+    path = work_path(spark, "saved")
+    sinks.save_ngram(ngram_model.fit(docs, folds=2), spark, path)
+    again = sinks.load_ngram(spark, path)
+    batch = spark.createDataFrame([(7, "a b"), (8, "z q"), (9, None)], "doc_id long, text string")
+    many = {r.doc_id: r.perplexity for r in ngram_model.new_text_perplexity(batch, again).collect()}
+    one = ngram_model.new_text_perplexity(batch.where("doc_id = 7"), again).first()
+    assert set(many) == {7, 8} and one.perplexity == many[7]
+    ai = batch.selectExpr("doc_id", "text", "1 AS label", "'s' AS source", "0.0 AS perplexity").where("doc_id < 9")
+    edited = {r.doc_id: r for r in build_challenge(ai, language_model=again).collect()}
+    direct = ngram_model.new_text_perplexity(build_challenge(ai).select("doc_id", "text"), again)
+    assert {k: r.perplexity for k, r in edited.items()} == {r.doc_id: r.perplexity for r in direct.collect()}
+
+
+def test_regular_ids_reach_all_folds(spark):
+    ids = spark.range(200).selectExpr("id * 5 AS doc_id")
+    assert ngram_model.assign_fold(ids).select("fold").distinct().count() == 5
+
+
+@pytest.mark.parametrize("label", [None, 2])
+def test_labels_that_are_not_binary_are_refused(spark, label):
+    df = spark.createDataFrame([(1, 0), (2, 1), (3, label)], "doc_id long, label int")
+    with pytest.raises(Exception, match="label is not 0 or 1"):
+        splits.stratified_split(df).collect()
+
+
+def test_documents_without_vector_stay(spark):
+    docs = spark.createDataFrame([(1, 0.1, 0.2), (2, 0.3, 0.4)], "doc_id long, perp_scaled double, burst_scaled double")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    rows = models.hybrid_vector(models.frozen_encoder_features(docs, vectors), dimensions=2).orderBy("doc_id").collect()
+    assert [(r.has_vector, list(r.features)) for r in rows] == [(True, [1.0, 2.0, 0.1, 0.2]), (False, [0.0, 0.0, 0.3, 0.4])]
+
+
 def test_idf(spark):
     stats = spark.createDataFrame([("x", 1, 1), ("y", 3, 3)], "term string, total long, df long")
     out = {r.term: r.idf for r in tfidf.idf(stats, 3).collect()}

@@ -38,8 +38,21 @@ def test_jobs_from_raw_tables_to_reports(spark, sf_dir):
     assert robust.where("model = 'hybrid'").first().edited_f1 == 1.0
 
     sinks.write_table(spark.createDataFrame([("A text. And more text here!",), ("A text. And more text here!",), (None,)], "text string"), f"{root}/batch")
-    scored = jobs.score_files(spark, f"{root}/batch", baseline, f"{root}/scored", fmt="parquet")
+    language_model = sinks.load_ngram(spark, f"{root}/data/language_model")
+    scored = jobs.score_files(spark, f"{root}/batch", baseline, language_model, f"{root}/scored", fmt="parquet")
     rows = scored.collect()
-    assert len(rows) == 3
+    assert len(rows) == len({r.row_id for r in rows}) == 3
     assert sum(r.label is None for r in rows) == 1
     assert len({(r.probability, r.interpretation) for r in rows if r.label}) == 1
+
+    # a text scores the same in any batch, and each row keeps its key
+    batch = [("x", "A text. And more text here!", 1), ("y", "Some other words. They are new.", 2), ("z", None, 3)]
+    sinks.write_table(spark.createDataFrame(batch, "id string, text string, label int"), f"{root}/keyed")
+    keyed = jobs.score_files(
+        spark, f"{root}/keyed", baseline, language_model, f"{root}/scored2", fmt="parquet", key="id", keep=("label",)
+    )
+    by_id = {r.row_id: r for r in keyed.collect()}
+    assert [by_id[i]._label for i in "xyz"] == ["1", "2", "3"] or [by_id[i]._label for i in "xyz"] == [1, 2, 3]
+    alone = next(r for r in rows if r.label)
+    assert (by_id["x"].probability, by_id["x"].perplexity) == (alone.probability, alone.perplexity)
+    assert by_id["z"].probability is None

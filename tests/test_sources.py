@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from inkgauge.operators import decisions, governance, splits, style, tfidf
@@ -48,6 +49,8 @@ def test_fallback_only_for_missing_input(spark):
     sinks.write_table(spark.createDataFrame([("t", "bot")], "tweet string, account string"), path)
     real = readers.load_or_fallback(spark, path, "news", lambda: 1 / 0)
     assert [tuple(r) for r in real.collect()] == [("t", 1, "news")]
+    with pytest.raises(AnalysisException):  # a table that is there is never replaced
+        readers.load_or_fallback(spark, path, "news", lambda: generate.fill_templates(seeds), keep=("doc_id",))
 
 
 def test_templates(spark):
