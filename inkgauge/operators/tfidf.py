@@ -114,44 +114,69 @@ def assemble_features(
     return assembler.transform(filled).drop(*[f"_{c}" for c in stats])
 
 
+def _level(total: Column) -> Column:
+    """Totals in steps of an eighth of an octave, so any corpus has a few hundred levels."""
+    return F.floor(F.log2(total.cast("double")) * 8).cast("int")
+
+
 def held_out_vocab(per_source: DataFrame, by: str = "source", k: int = VOCABULARY_SIZE) -> DataFrame:
     """(held_out_source, term, total, df): the top `k` terms of the corpus without each source.
 
-    `per_source` is `term_stats(..., by=[by])`. A fold's counts are total minus own. In every
-    fold a term keeps at least `total - largest own count`; the `k`-th largest of these floors
-    is reached by `k` terms in each fold, so a term whose total is below it cannot be in any
-    top `k` and is dropped before the folds are spread out.
+    `per_source` is `term_stats(..., by=[by])`. A fold's counts are total minus own. How many terms
+    of a fold have totals of which level follows from the levels of all totals, corrected by the
+    terms of the source itself. Terms below the level that `k` terms reach are dropped, the others
+    meet the folds by level and then their own counts by source and term.
     """
-    per_source = stored(per_source, "source-terms")
-    own = F.struct(F.col(by).alias("source"), F.col("total").alias("total"), F.col("df").alias("df"))
-    per_term = per_source.groupBy("term").agg(
-        F.sum("total").alias("all_total"),
-        F.sum("df").alias("all_df"),
-        (F.sum("total") - F.max("total")).alias("floor"),
-        F.collect_list(own).alias("own"),
+    of_term = Window.partitionBy("term")
+    own = per_source.select(
+        F.col(by).alias("held_out_source"),
+        "term",
+        F.sum("total").over(of_term).alias("all_total"),
+        F.sum("df").over(of_term).alias("all_df"),
+        F.col("total").alias("own_total"),
+        F.col("df").alias("own_df"),
+    )
+    own = stored(own, "own-terms")
+    totals = own.groupBy("term").agg(F.max("all_total").alias("all_total"), F.max("all_df").alias("all_df"))
+    totals = stored(totals.withColumn("_l", _level(F.col("all_total"))), "term-totals")
+    own = own.where(F.col("held_out_source").isNotNull())
+
+    # one entry per level
+    shared = totals.groupBy("_l").agg(F.count("*").alias("_n")).agg(F.collect_list(F.struct("_l", "_n"))).scalar()
+    left = F.col("all_total") - F.col("own_total")
+    moves = F.array(
+        F.struct(_level(F.col("all_total")).alias("_l"), F.lit(-1).cast("long").alias("_n")),
+        F.struct(F.when(left > 0, _level(left)).alias("_l"), F.lit(1).cast("long").alias("_n")),
+    )
+    moved = own.select("held_out_source", F.explode(moves).alias("_m")).where("_m._l IS NOT NULL")
+    moved = moved.groupBy("held_out_source", "_m._l").agg(F.sum("_m._n").alias("_n"))
+    every = moved.select("held_out_source").distinct().select("held_out_source", F.inline(shared))
+    levels = every.unionByName(moved).groupBy("held_out_source", "_l").agg(F.sum("_n").alias("_n"))
+    downward = Window.partitionBy("held_out_source").orderBy(F.desc("_l"))
+    reached = levels.withColumn("_n", F.sum("_n").over(downward)).groupBy("held_out_source").agg(
+        F.coalesce(F.max(F.when(F.col("_n") >= k, F.col("_l"))), F.min("_l")).alias("_from"), F.max("_l").alias("_to")
+    )
+
+    # a level may hold most terms, so its terms are dealt over parts
+    part = F.pmod(F.xxhash64("term"), F.lit(_PARTS)).cast("int")
+    wanted = reached.select("held_out_source", F.explode(F.sequence("_from", "_to")).alias("_l")).withColumn(
+        "_s", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
     )
-    best_floors = per_term.select("floor").orderBy(F.desc("floor")).limit(k)
-    reached = best_floors.agg(F.when(F.count("*") == k, F.min("floor")).otherwise(0)).scalar()
-    # as many entries as there are folds to fit
-    sources = per_source.agg(F.collect_set(by)).scalar()
     spread = (
-        per_term.where(F.col("all_total") >= reached)
-        .withColumn("held_out_source", F.explode(sources))
-        .withColumn(
-            "_own",
-            F.get(F.filter("own", lambda o: o["source"] == F.col("held_out_source")), F.lit(0)),
-        )
+        totals.withColumn("_s", part)
+        .join(wanted, ["_l", "_s"])
+        .join(own.select("held_out_source", "term", "own_total", "own_df"), ["held_out_source", "term"], "left")
         .select(
             "held_out_source",
             "term",
-            (F.col("all_total") - F.coalesce("_own.total", F.lit(0))).alias("total"),
-            (F.col("all_df") - F.coalesce("_own.df", F.lit(0))).alias("df"),
+            (F.col("all_total") - F.coalesce("own_total", F.lit(0))).alias("total"),
+            (F.col("all_df") - F.coalesce("own_df", F.lit(0))).alias("df"),
+            "_s",
         )
         .where(F.col("total") > 0)
     )
     # first the best `k` of each part of a fold, so that no task sorts a whole fold
-    salted = spread.withColumn("_s", F.pmod(F.xxhash64("term"), F.lit(_PARTS)))
-    return _top(_top(salted, ["held_out_source", "_s"], k).drop("_s"), ["held_out_source"], k)
+    return _top(_top(spread, ["held_out_source", "_s"], k).drop("_s"), ["held_out_source"], k)
 
 
 def _top(df: DataFrame, by: list[str], k: int) -> DataFrame:
