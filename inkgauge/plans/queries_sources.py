@@ -105,15 +105,32 @@ def write_table(v: Views) -> DataFrame:
 @query(
     "write_summary_json",
     O.with_views(
-        "SELECT count(*) AS total_samples, round(sum((contains(source, 'synthetic'))::INT)::DOUBLE / count(*), 6) AS synthetic_fraction FROM dataset",
+        """SELECT count(*) AS total_samples, round(sum((contains(source, 'synthetic'))::INT)::DOUBLE / count(*), 6) AS synthetic_fraction,
+  (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM dataset GROUP BY source)) AS source_counts,
+  (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM dataset GROUP BY label)) AS label_counts,
+  coalesce((SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM dataset WHERE contains(source, 'synthetic')), '') AS synthetic_sources,
+  coalesce((SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM dataset WHERE NOT contains(source, 'synthetic')), '') AS real_sources
+FROM dataset""",
         "dataset",
     ),
 )
 def write_summary_json(v: Views) -> DataFrame:
+    """The record that was written, maps and lists as text."""
     path = work_path(v.spark, "summary")
-    sinks.write_summary_json(governance.dataset_metadata(v.dataset_clean()), path)
-    back = v.spark.read.schema("total_samples long, synthetic_fraction double").json(path)
-    return rounded(back, "synthetic_fraction")
+    metadata = governance.dataset_metadata(v.dataset_clean())
+    sinks.write_summary_json(metadata, path)
+    back = v.spark.read.schema(metadata.schema).json(path)
+
+    def pairs(name: str) -> Column:
+        entries = F.array_sort(F.map_entries(name))
+        return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias(name)
+
+    return rounded(back, "synthetic_fraction").select(
+        "total_samples",
+        "synthetic_fraction",
+        *[pairs(name) for name in ("source_counts", "label_counts")],
+        *[F.array_join(name, ",").alias(name) for name in ("synthetic_sources", "real_sources")],
+    )
 
 
 @query(
