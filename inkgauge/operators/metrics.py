@@ -280,10 +280,14 @@ def model_comparison(
     df: DataFrame, models: dict[str, tuple[str, str]], decimals: int | None = None
 ) -> DataFrame:
     """One row per metric, one column per model."""
-    per_model = metrics(by_model(df, models), ["model"], decimals)
+    return compare(metrics(by_model(df, models), ["model"], decimals), list(models))
+
+
+def compare(per_model: DataFrame, names: list[str]) -> DataFrame:
+    """One row per metric, one column per name, from a table with one row per model; null for a missing model."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
     long = per_model.select("model", F.explode(cells).alias("_c")).select("model", "_c.*")
-    return long.groupBy("metric").pivot("model", list(models)).agg(F.first("value"))
+    return long.groupBy("metric").pivot("model", names).agg(F.first("value"))
 
 
 def comparison_verdict(comparison: DataFrame, baseline: str, hybrid: str) -> DataFrame:

@@ -86,7 +86,7 @@ def load_dataset(spark: SparkSession, data: str) -> DataFrame:
 
 
 def train_baseline(spark: SparkSession, data: str, model_path: str, k: int = tfidf.VOCABULARY_SIZE) -> DataFrame:
-    """Fit on the train split and save; returns accuracy and F1 on the validation split."""
+    """Fit on the train split and save; writes and returns accuracy and F1 on the validation split."""
     rows = load_dataset(spark, data)
     train = rows.where(F.col("split") == "train")
     vocab = tfidf.fit(train, k)
@@ -94,7 +94,13 @@ def train_baseline(spark: SparkSession, data: str, model_path: str, k: int = tfi
     model = models.fit_logistic(ready)
     sinks.save_baseline(model, vocab, train, model_path)
     checked = models.score_dataframe(rows.where(F.col("split") == "val"), model, vocab)
-    return metrics.binary_metrics(checked).select(F.lit("baseline").alias("model"), "accuracy", "f1")
+    return _training_result(checked, "baseline", model_path)
+
+
+def _training_result(checked: DataFrame, name: str, model_path: str) -> DataFrame:
+    result = metrics.binary_metrics(checked).select(F.lit(name).alias("model"), "accuracy", "f1")
+    sinks.write_summary_json(result, f"{model_path}/training_results")
+    return result
 
 
 def baseline_scorer(spark: SparkSession, model_path: str) -> Scorer | None:
@@ -103,6 +109,42 @@ def baseline_scorer(spark: SparkSession, model_path: str) -> Scorer | None:
     return loaded and (lambda df: models.score_dataframe(df, *loaded))
 
 
+def train_hybrid(
+    spark: SparkSession,
+    data: str,
+    vectors: DataFrame,
+    model_path: str,
+    dimensions: int,
+    hidden: tuple[int, ...] = (256, 64),
+    max_iter: int = 100,
+) -> DataFrame:
+    """As `train_baseline`, for the network on document vectors (`row_id`, `embedding`) and stylometry.
+
+    A document without a vector takes part with zeros; their number by split is written to
+    `without_vector`.
+    """
+    joined = models.frozen_encoder_features(load_dataset(spark, data), vectors, KEY, KEY)
+    rows = stored(models.hybrid_vector(joined, dimensions), "hybrid-rows")
+    without = rows.groupBy("split").agg(F.count(F.when(~F.col("has_vector"), 1)).alias("rows"))
+    sinks.write_table(without, f"{model_path}/without_vector", "csv")
+    train = rows.where(F.col("split") == "train").select("label", "features")
+    model = models.fit_hybrid(train, dimensions, hidden, max_iter)
+    sinks.save_hybrid(model, f"{model_path}/network")
+    return _training_result(models.predict(model, rows.where(F.col("split") == "val")), "hybrid", model_path)
+
+
+def hybrid_scorer(model_path: str, vectors: DataFrame) -> Scorer:
+    """Adds `pred` and `prob` of the saved hybrid; a row gets the vector of its `row_id`."""
+    model = sinks.load_hybrid(f"{model_path}/network")
+    dimensions = model.getLayers()[0] - 2
+
+    def score(df: DataFrame) -> DataFrame:
+        joined = models.frozen_encoder_features(df, vectors, KEY, KEY)
+        return models.predict(model, models.hybrid_vector(joined, dimensions)).drop("embedding", "features")
+
+    return score
+
+
 def evaluate(spark: SparkSession, data: str, scorers: dict[str, Scorer], out: str) -> DataFrame:
     """All reports of the named models on the test split; returns the metrics by model.
 
@@ -122,6 +164,9 @@ def evaluate(spark: SparkSession, data: str, scorers: dict[str, Scorer], out: st
     rows = scored(test, "predictions")
     by_model = metrics.metrics(rows, ["model"])
     sinks.write_table(by_model, f"{out}/metrics", "csv")
+    comparison = metrics.compare(by_model, list(dict.fromkeys(["baseline", "hybrid", *scorers])))
+    sinks.write_table(comparison, f"{out}/model_comparison", "csv")
+    sinks.write_summary_json(metrics.comparison_verdict(comparison, "baseline", "hybrid"), f"{out}/verdict")
     for name in scorers:
         own = rows.where(F.col("model") == name)
         sinks.write_table(metrics.metrics_by_source(own), f"{out}/{name}/source_metrics", "csv")
@@ -139,6 +184,15 @@ def evaluate(spark: SparkSession, data: str, scorers: dict[str, Scorer], out: st
     edited_metrics = metrics.metrics(edited, ["model"])
     sinks.write_summary_json(edited_metrics, f"{out}/challenge_results")
     sinks.write_table(challenge.robustness_table(by_model, edited_metrics), f"{out}/robustness", "csv")
+
+    def side_by_side(df: DataFrame) -> DataFrame:
+        for name, score in scorers.items():
+            marks = {"pred": f"{name}_pred", "prob": f"{name}_prob"}
+            df = score(df).drop("features", "tfidf", "has_vector").withColumnsRenamed(marks)
+        return df
+
+    sinks.write_table(challenge.challenge_preview(test, side_by_side, key=KEY), f"{out}/challenge_preview", "csv")
+    sinks.write_summary_json(by_model, f"{out}/evaluation_results")
     return by_model
 
 

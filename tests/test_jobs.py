@@ -31,11 +31,30 @@ def test_jobs_from_raw_tables_to_reports(spark, sf_dir):
     def always_ai(df):
         return df.withColumns({"pred": F.lit(1), "prob": F.lit(0.9)})
 
-    result = jobs.evaluate(spark, f"{root}/data", {"baseline": baseline, "hybrid": always_ai}, f"{root}/results")
+    known = rows.where(F.crc32("row_id") % 4 > 0)
+    vectors = known.select("row_id", F.array(F.log1p("perplexity"), F.col("burstiness"), F.lit(0.5)).alias("embedding"))
+    trained = jobs.train_hybrid(spark, f"{root}/data", vectors, f"{root}/network", 3, hidden=(4,), max_iter=20).first()
+    assert trained.model == "hybrid" and 0 <= trained.f1 <= 1
+    read_csv = spark.read.options(header=True, inferSchema=True).csv
+    assert sum(r.rows for r in read_csv(f"{root}/network/without_vector").collect()) == rows.count() - known.count()
+    assert spark.read.json(f"{root}/network/training_results").first().f1 == trained.f1
+    network = jobs.hybrid_scorer(f"{root}/network", vectors)
+
+    scorers = {"baseline": baseline, "hybrid": always_ai, "network": network}
+    result = jobs.evaluate(spark, f"{root}/data", scorers, f"{root}/results")
     by_model = {r.model: r for r in result.collect()}
     assert by_model["hybrid"].recall == 1.0 and by_model["hybrid"].roc_auc == 0.5
     robust = spark.read.options(header=True, inferSchema=True).csv(f"{root}/results/robustness")
     assert robust.where("model = 'hybrid'").first().edited_f1 == 1.0
+    compared = {r.metric: r for r in read_csv(f"{root}/results/model_comparison").collect()}
+    assert compared["recall"].hybrid == 1.0 and compared["f1"].network is not None
+    better = "hybrid_better" if compared["f1"].hybrid > compared["f1"].baseline else "baseline_better"
+    verdict = spark.read.json(f"{root}/results/verdict").first().verdict
+    assert verdict == ("tie" if compared["f1"].hybrid == compared["f1"].baseline else better)
+    preview = spark.read.options(header=True, multiLine=True, escape='"').csv(f"{root}/results/challenge_preview")
+    assert {"hybrid_pred", "hybrid_prob", "baseline_pred", "baseline_prob"} <= set(preview.columns)
+    tested = rows.where("split = 'test'").count()
+    assert {r.samples for r in spark.read.json(f"{root}/results/evaluation_results").collect()} == {tested}
 
     sinks.write_table(spark.createDataFrame([("A text. And more text here!",), ("A text. And more text here!",), (None,)], "text string"), f"{root}/batch")
     language_model = sinks.load_ngram(spark, f"{root}/data/language_model")
