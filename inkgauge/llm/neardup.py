@@ -14,6 +14,7 @@ from blocks of bounded size.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,6 @@ PERCENT = 75  # of the union that two sets share at least
 BANDS = 36
 ROWS = 4  # registers of a band; a link at the threshold is missed with probability 1e-6
 MANTISSA = 10
-MARGIN = 0.13  # below the threshold, over 3.5 standard deviations of the estimate
 BLOCK = 512
 SEED = 20261201
 
@@ -64,6 +64,22 @@ def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
+def least_estimate(percent: int, bands: int, rows: int) -> float:
+    """The estimate a pair needs: one at the threshold falls below it no more often than the bands miss it.
+
+    With k of n registers equal the estimate is at least (k - 1/2) / n, whatever the chance taken off.
+    """
+    p, n = percent / 100, bands * rows
+    missed = (1 - p**rows) ** bands
+    below, k = 0.0, 0
+    while k < n:
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > missed:
+            break
+        k += 1
+    return (k - 0.5) / n
+
+
 def sketch(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """(doc_id, text_key, n, class, registers): `class` is a digest of the full set."""
 
@@ -109,8 +125,9 @@ def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return map_arrow(classes.select("class", "registers"), run, "band long, number int, class binary")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     """The pairs (a, b) whose sizes and estimate allow a link."""
+    least = least_estimate(percent, bands, rows)
     right = classes.select("class", "n", "registers")
     for side in ("a", "b"):
         named = right.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}"))
@@ -122,7 +139,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if batch.num_rows:
                 a, b = (_flat(batch, c)[0].view(np.uint16).reshape(batch.num_rows, -1) for c in ("r_a", "r_b"))
                 value = estimate((a == b).mean(axis=1), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-                keep = pa.array(value >= percent / 100 - MARGIN)
+                keep = pa.array(value >= least)
                 yield batch.select(["a", "b"]).filter(keep)
 
     return map_arrow(pairs.where(near).select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a binary, b binary")
@@ -167,16 +184,17 @@ def _set(text: pa.Scalar, width: int) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), width)[0]
 
 
-def _cross_links(members: DataFrame, percent: int, bands: int, width: int) -> DataFrame:
+def _cross_links(members: DataFrame, percent: int, bands: int, rows: int, width: int) -> DataFrame:
     """Links that join different components meeting in a band.
 
     `members` has (band, number, i, j, block, class, component, n, registers, bytes); a group (band,
     i, j) holds two blocks of bounded size, or one if i = j. A pair is looked at in the first band
     it shares only. Of the links of a group as many are given as it takes to join its members.
     """
+    least = least_estimate(percent, bands, rows)
 
-    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = rows.combine_chunks().to_batches()[0]
+    def links(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = group.combine_chunks().to_batches()[0]
         sig = _flat(table, "registers")[0].view(np.uint16).reshape(table.num_rows, bands, -1)
         n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
         root = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
@@ -199,7 +217,7 @@ def _cross_links(members: DataFrame, percent: int, bands: int, width: int) -> Da
             equal = sig[other] == sig[k]
             value = estimate(equal.mean(axis=(1, 2)), n[other], np.full(len(other), n[k]))
             here = equal.all(axis=2).argmax(axis=1) == number
-            allowed = here & (value >= percent / 100 - MARGIN)
+            allowed = here & (value >= least)
             for row in other[allowed][np.argsort(-value[allowed], kind="stable")].tolist():
                 if root[row] != root[k] and linked(full(k), full(row), percent):
                     root[root == root[row]] = root[k]
@@ -256,7 +274,7 @@ def near_duplicates(
     centres = members.join(company, "class").groupBy("band").agg(F.max(F.struct("company", "class")).alias("c"))
     members = stored(members.join(centres.select("band", F.col("c.class").alias("centre")), "band"), "members")
     stars = members.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    links = stored(verified(_alike(stars, classes, percent), plain, classes, percent, width), "links")
+    links = stored(verified(_alike(stars, classes, percent, bands, rows), plain, classes, percent, width), "links")
     found = stored(components(links), "components")
 
     rest = members.where("class <> centre").join(found.withColumnRenamed("node", "class"), "class", "left")
@@ -272,7 +290,7 @@ def near_duplicates(
     rest = rest.select("band", "number", *ends, "block", "class", "component")
     rest = rest.join(classes.select("class", "n", "registers"), "class").join(texts, "class")
     dealt = rest.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = stored(_cross_links(dealt, percent, bands, width), "links")
+    more = stored(_cross_links(dealt, percent, bands, rows, width), "links")
     if not more.isEmpty():
         found = stored(components(links.unionByName(more)), "components")
 
