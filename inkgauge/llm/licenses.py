@@ -22,15 +22,18 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# label: (keyword, name as a pattern over words)
+# label, with dots to tell several names of one label: (keyword that every match contains, name as a pattern over words)
 NAMES = {
-    "mit": ("mit licen", r"(?:mit|expat|x11) licen[sc]e"),
+    "mit": ("mit licen", r"mit licen[sc]e"),
+    "mit.": ("expat licen", r"expat licen[sc]e"),
+    "mit..": ("x11 licen", r"x11 licen[sc]e"),
     "isc": ("isc licen", r"isc licen[sc]e"),
     "0bsd": ("bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?"),
     "bsd-2": ("bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[sc]e)?"),
     "bsd-3": ("bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[sc]e)?"),
     "bsd-4": ("bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[sc]e)?"),
-    "bsd": ("bsd licen", r"bsd(?: style)? licen[sc]e"),
+    "bsd": ("bsd licen", r"bsd licen[sc]e"),
+    "bsd.": ("bsd style licen", r"bsd style licen[sc]e"),
     "apache-1": ("apache", r"apache(?: software)? licen[sc]e(?: version| v)? 1(?: [01])?"),
     "apache-2": ("apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? (?:2|v2)(?: 0)?(?: licen[sc]e)?"),
     "apache": ("apache", r"apache(?: software)? licen[sc]e"),

@@ -1,8 +1,10 @@
 """Cases that prefilters, gates and cuts of the numbered operators must let through."""
 
 import math
+import re._parser as parser
+from itertools import product
 
-from inkgauge.llm import neardup
+from inkgauge.llm import licenses, neardup
 
 DOCS = "doc_id long, text string"
 
@@ -22,3 +24,42 @@ def test_link_with_a_low_estimate(spark):
     words = "w439 w376 w350 w36 w301 w437 w227 w267"  # 3 of 4 shingles, and 0.611 of the registers equal
     docs = spark.createDataFrame([(1, words.rsplit(" ", 1)[0]), (2, words)], DOCS)
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()} == {(1, 1), (2, 1)}
+
+
+# 9
+
+
+def spelled_out(tree):
+    """One string per combination of the alternatives and options of a pattern; of a set all, of a repetition least and one more."""
+    parts = []
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(c) for kind, x in value for c in (range(x[0], x[1] + 1) if str(kind) == "RANGE" else [x])])
+        elif name == "SUBPATTERN":
+            parts.append(spelled_out(value[-1]))
+        elif name == "BRANCH":
+            parts.append([x for branch in value[1] for x in spelled_out(branch)])
+        else:
+            assert name == "MAX_REPEAT", name
+            parts.append(["".join(x) for n in (value[0], value[0] + 1) for x in product(spelled_out(value[2]), repeat=n)])
+    return ["".join(x) for x in product(*parts)]
+
+
+def test_every_license_name_contains_its_keyword():
+    for label, (keyword, name) in licenses.NAMES.items():
+        assert [x for x in spelled_out(parser.parse(name)) if keyword not in x] == [], label
+
+
+def test_license_alternatives_with_and_without_keywords(spark, monkeypatch):
+    names = sorted({x for _, name in licenses.NAMES.values() for x in spelled_out(parser.parse(name))})
+    docs = spark.createDataFrame([(i, f"this is {x} so") for i, x in enumerate(names)], DOCS)
+    scan = lambda: {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(docs).collect()}
+    found, rules = scan(), licenses.rules()
+    assert [names[i] for i in found if not found[i][0]] == []
+    for name, label in (("expat license", "mit"), ("x11 licence", "mit"), ("bsd style license", "bsd")):
+        assert found[names.index(name)] == ([label], 0.6)
+    monkeypatch.setattr(licenses, "rules", lambda: [(label, " ", *rest) for label, _, *rest in rules])
+    assert scan() == found
