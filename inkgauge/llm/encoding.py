@@ -3,7 +3,7 @@
 The vocabulary normalises (NFC, white space, lower case), drops white space and encodes each word
 alone. A text is therefore the sequence of its words' ids, and the ids of a word are kept in a
 bounded table per Python worker. Texts with characters whose treatment could depend on the Unicode
-version of a library go through the tokenizer itself.
+version of a library, or with an added token of the vocabulary, go through the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # in any case, as an added token may be looked for in the normalised text
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -45,7 +47,7 @@ class WordEncoder:
         ]
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or self.added.search(text):
             return self._encode([text])[0]
         words = WORD.findall(text.lower())
         try:

@@ -1,10 +1,14 @@
 """Cases that prefilters, gates and cuts of the numbered operators must let through."""
 
 import math
+import random
 import re._parser as parser
 from itertools import product
 
+from tokenizers import Tokenizer
+
 from inkgauge.llm import licenses, neardup
+from inkgauge.llm.encoding import WordEncoder, default_path
 
 DOCS = "doc_id long, text string"
 
@@ -63,3 +67,16 @@ def test_license_alternatives_with_and_without_keywords(spark, monkeypatch):
         assert found[names.index(name)] == ([label], 0.6)
     monkeypatch.setattr(licenses, "rules", lambda: [(label, " ", *rest) for label, _, *rest in rules])
     assert scan() == found
+
+
+# 6 and 10
+
+
+def test_added_tokens_are_one_id():
+    own, encoder = Tokenizer.from_file(default_path()), WordEncoder(default_path())
+    rng = random.Random(4)
+    pool = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", "b's", " ", "  ", "endoftext", "é", "1"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choice(pool) for _ in range(rng.randint(1, 8))) for _ in range(2000))]
+    for text in texts:
+        assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids), text
+    assert own.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
