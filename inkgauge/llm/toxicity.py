@@ -3,8 +3,8 @@
 A character trigram model is counted over all documents. Tokens that mix letters with digits or
 signs, repeat a character, or are spelled out letter by letter become lattices of what each
 character may stand for, and the best path under the model restores them. Words of the text and
-restored words then give features (word beginnings and whole words); the features that mark toxic
-documents are learned from labelled rows.
+restored words then give features (word beginnings and whole words). A logistic model over them,
+with weights of at least 0 and a penalty on their sum, is learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from inkgauge.llm.common import map_arrow, take, texts_of
 SYMBOLS = 28  # boundary, a-z, any other letter
 OTHER = 27
 FIT_ROWS = 20_000  # labelled rows the features are learned from, at most about so many
-FEATURES = 5_000  # features of a model at most, strongest first
-LEAST_DOCUMENTS, LEAST_Z = 6, 8.0
-WORD_SHARE, PREFIX_SHARE = 0.8, 0.93  # of toxic documents among those with a feature
+FEATURES = 5_000  # features a model chooses from at most, strongest first
+PENALTY = 0.75  # of a weight of 1; a mark of n documents, all toxic, gives 1 - PENALTY / n, so that one document is too few
+STEPS = 1_000  # of the fit at most
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 
@@ -194,16 +194,11 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Costs of the character model, share of toxic documents by feature, score without any feature."""
+    """Costs of the character model, log-odds by feature and without any feature."""
 
     costs: np.ndarray
-    shares: dict[str, float] = field(default_factory=dict)
-    base: float = 0.0
-
-    def share(self, word: str) -> float:
-        """The largest share among the features of a word; 0 without any."""
-        marks = [self.shares.get("^" + word[:k], 0.0) for k in PREFIXES if len(word) >= k]
-        return max(self.shares.get(word, 0.0), *marks, 0.0)
+    weights: dict[str, float] = field(default_factory=dict)
+    bias: float = -math.inf
 
 
 class Scorer:
@@ -212,15 +207,49 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.restorer = model, Restorer(model.costs)
         # most words begin like no feature
-        self.heads = {feature.removeprefix("^")[: PREFIXES[0]] for feature in model.shares}
+        self.heads = {feature.removeprefix("^")[: PREFIXES[0]] for feature in model.weights}
 
     def score(self, text: str | None) -> float:
-        """One minus the chance that none of the distinct marking words makes the text toxic."""
-        heads, k, share, found = self.heads, PREFIXES[0], self.model.share, {}
+        """Chance that a text with these features is toxic."""
+        heads, k, found = self.heads, PREFIXES[0], set()
         for words in self.restorer.parts(text or ""):
-            found |= {w: share(w) for w in words if w[:k] in heads}
-        shares = sorted(s for s in found.values() if s)  # the same product on every worker
-        return 1.0 - math.prod(1.0 - s for s in shares) if shares else self.model.base
+            found.update(w for w in words if w[:k] in heads)
+        weights = self.model.weights
+        # fsum: the same sum on every worker
+        odds = self.model.bias + math.fsum(weights[f] for f in features(found) if f in weights)
+        return 1.0 / (1.0 + math.exp(-odds)) if odds > -700 else 0.0
+
+
+def fit_weights(rows: list[list[int]], toxic: np.ndarray, times: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Bias and `size` weights of at least 0 with the least log loss plus PENALTY times their sum.
+
+    Row i has the features `rows[i]` and counts `times[i]` times. Accelerated proximal steps, each
+    feature with its own step length, started anew where they lead uphill.
+    """
+    lens = np.array([len(r) for r in rows], dtype=np.int64)
+    at = np.repeat(np.arange(len(rows)), lens)
+    col = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(lens.sum()))
+    bound = 0.25 * times * (lens + 1.0)  # of the curvature
+    curve = np.append(np.maximum(np.bincount(col, weights=bound[at], minlength=size), 1e-9), bound.sum())
+    rate = (times * toxic).sum() / times.sum()
+    x = np.append(np.zeros(size), math.log(rate / (1 - rate)))
+    penalty = np.append(np.full(size, PENALTY), 0.0)
+    least = np.append(np.zeros(size), -math.inf)
+    y, t = x, 1.0
+    for _ in range(STEPS):
+        odds = y[-1] + np.bincount(at, weights=y[col], minlength=len(rows))
+        slope = times * (1.0 / (1.0 + np.exp(-np.clip(odds, -700, 700))) - toxic)
+        gradient = np.append(np.bincount(col, weights=slope[at], minlength=size), slope.sum()) + penalty
+        new = np.maximum(y - gradient / curve, least)
+        if np.dot(curve * (y - new), new - x) > 0:
+            t, y = 1.0, new
+        else:
+            after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            y, t = new + (t - 1) / after * (new - x), after
+        moved, x = np.abs(new - x).max(), new
+        if moved < 1e-7:
+            break
+    return float(x[-1]), x[:-1]
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -240,7 +269,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
-    """Character model over all documents; features from at most about `rows` labelled ones."""
+    """Character model over all documents; features from at most about `rows` labelled ones.
+
+    No feature needs a fixed number of documents: of those over-represented in toxic documents the
+    FEATURES furthest from chance enter, and the fit weighs them.
+    """
     costs = trigram_costs(trigram_counts(docs))
     sample = labelled_sample(docs, labels, rows)
 
@@ -261,26 +294,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     counted = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     total = counted.where("feature = ''").first()
     if total is None or total["toxic"] in (0, total["n"]):
-        return ToxicityModel(costs, {}, 0.0 if total is None or not total["toxic"] else 1.0)
+        return ToxicityModel(costs, {}, -math.inf if total is None or not total["toxic"] else math.inf)
     rate = total["toxic"] / total["n"]
     z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    share = (F.col("toxic") + 0.5) / (F.col("n") + 1)
-    least = F.when(F.startswith("feature", F.lit("^")), PREFIX_SHARE).otherwise(WORD_SHARE)
-    strong = counted.where("feature <> ''").select("feature", "n", z.alias("z"), share.alias("share"))
-    strong = strong.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("z") >= LEAST_Z) & (F.col("share") >= least))
-    best = strong.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
-    shares = {r["feature"]: r["share"] for r in best}
-    model = ToxicityModel(costs, shares)
-
-    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-            rest = [m for t, m in zip(texts, marks) if scorer.score(t) == 0.0]
-            yield pa.RecordBatch.from_arrays([pa.array(rest, pa.int64())], names=["toxic"])
+    marks = counted.where("feature <> ''").select("feature", z.alias("z")).where("z > 0")
+    names = [r["feature"] for r in marks.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
+    place = {name: k for k, name in enumerate(names)}
 
-    left = map_arrow(sample, unmarked, "toxic long").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    return ToxicityModel(costs, shares, ((left["toxic"] or 0) + 0.5) / (left["n"] + 1))
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(costs)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [sorted(place[f] for f in features(restorer.words(t or "")) if f in place) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["found", "toxic"])
+
+    seen = map_arrow(sample, present, "found array<int>, toxic int").groupBy("found", "toxic").agg(F.count("*").alias("n"))
+    seen = sorted((r["found"], r["toxic"], r["n"]) for r in seen.collect())  # the same order in every run
+    rows_, toxic, times = ([r[k] for r in seen] for k in range(3))
+    bias, weights = fit_weights(rows_, np.array(toxic, dtype=np.float64), np.array(times, dtype=np.float64), len(names))
+    return ToxicityModel(costs, {n: w for n, w in zip(names, weights.tolist()) if w > 0}, bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import re._parser as parser
 from itertools import product
 
+import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
-from inkgauge.llm import licenses, neardup
+from inkgauge.llm import licenses, neardup, toxicity
 from inkgauge.llm.encoding import WordEncoder, default_path
 
 DOCS = "doc_id long, text string"
@@ -80,3 +82,24 @@ def test_added_tokens_are_one_id():
     for text in texts:
         assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids), text
     assert own.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+
+
+# 3
+
+
+@pytest.mark.parametrize("n, every, marks", [(100, 2, ["grobian", "schuft", "lump", "flegel"]), (60, 10, ["grobian"])])
+def test_small_and_balanced_label_tables_give_a_model(spark, n, every, marks):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
+    docs = [(i, " ".join(rng.choices(words, k=20) + [rng.choice(marks)] * (i % every == 0))) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % every == 0)) for i in range(n)], "doc_id long, toxic int")
+    d = spark.createDataFrame(docs, DOCS)
+    rows = toxicity.score_toxicity(d, toxicity.fit(d, labels)).collect()
+    assert [r.doc_id for r in rows if r.predicted != int(r.doc_id % every == 0)] == []
+
+
+def test_evidence_weighs_in_gradually():
+    for n in (2, 5, 50):
+        rows, toxic, times = [[0], []], np.array([1.0, 0.0]), np.array([float(n), 1000.0])
+        bias, weights = toxicity.fit_weights(rows, toxic, times, 1)
+        assert 1 / (1 + math.exp(-bias - weights[0])) == pytest.approx(1 - toxicity.PENALTY / n, abs=1e-3)
