@@ -1,7 +1,7 @@
 """Toxicity of whole texts after noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. Tokens that mix letters with digits or
-signs, repeat a character, or are spelled out letter by letter become lattices of what each
+signs, repeat a letter, or are spelled out letter by letter become lattices of what each
 character may stand for, and the best path under the model restores them. Words of the text and
 restored words then give features (word beginnings and whole words). A logistic model over them,
 with weights of at least 0 and a penalty on their sum, is learned from labelled rows.
@@ -42,8 +42,10 @@ SEPARATORS = " .-_*~"
 CACHED, CACHED_CHARS = 100_000, 64  # spans a task remembers, and their greatest length
 REPEAT_COST, SIGN_COST, JOIN_COST, BREAK_COST = 0.6, 1.0, 0.3, 8.0
 WORD = re.compile(r"[^\W\d_]+")
-THRICE = re.compile(r"(.)\1\1")
-SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*~]){2,}[^\W\d_](?![^\W\d_])")
+REPEATED = re.compile(r"([^\W\d_])\1|(.)\2\2")  # a letter twice, or anything three times
+# letters or signs for them, each once or repeated, with separators between
+_ONE = r"(?:[^\W\d_]|[" + "".join(map(re.escape, STANDS_FOR)) + "])"
+SPELLED = re.compile(rf"(?<!\S)(?:({_ONE})\1*[ .\-_*~]+){{2,}}({_ONE})\2*(?![^\W\d_])")
 EDGE = "\"'.,;:?!()[]{}<>#%&*$|~-_=+/\\"
 
 
@@ -113,6 +115,9 @@ def restore(span: str, costs: np.ndarray) -> list[str]:
                 elif written == " ":
                     key, value = (0, 0), (cost + extra + (costs[a, b, 0] if b else 0.0), (path, written))
                 else:
+                    # the letter before once more, whatever it is written with
+                    if path and path[1] == written and (key := (a, b)) and (key not in step or cost + REPEAT_COST < step[key][0]):
+                        step[key] = (cost + REPEAT_COST, path)
                     s = _symbol(written)
                     key, value = (b, s), (cost + extra + costs[a, b, s], (path, written))
                 if key not in step or value[0] < step[key][0]:
@@ -126,13 +131,6 @@ def restore(span: str, costs: np.ndarray) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
-def repeats_letter(text: str) -> bool:
-    """Whether a letter stands three times in a row."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    thrice = code[:-2][(code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])]
-    return any(chr(c).isalpha() for c in set(thrice.tolist()))
-
-
 class Restorer:
     """Restores the suspicious spans of texts under one character model."""
 
@@ -159,7 +157,7 @@ class Restorer:
             found = WORD.findall(token)
             if any(map(str.isalpha, core)):
                 found += self.span(core)
-        if THRICE.search(token):
+        if REPEATED.search(token):
             found += self.span(token)
         return found
 
@@ -171,12 +169,11 @@ class Restorer:
         others: set[str] = set()
         for token in tokens - plain:
             others.update(self.token(token))
-        if repeats_letter(low):
-            for token in plain:
-                if THRICE.search(token):
-                    others.update(self.span(token))
+        for token in filter(REPEATED.search, plain):
+            others.update(self.span(token))
         for m in SPELLED.finditer(low):
-            others.update(self.span(m.group()))
+            if any(map(str.isalpha, m.group())):
+                others.update(self.span(m.group()))
         return plain, others
 
     def words(self, text: str) -> set[str]:

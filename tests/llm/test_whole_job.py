@@ -103,3 +103,19 @@ def test_evidence_weighs_in_gradually():
         rows, toxic, times = [[0], []], np.array([1.0, 0.0]), np.array([float(n), 1000.0])
         bias, weights = toxicity.fit_weights(rows, toxic, times, 1)
         assert 1 / (1 + math.exp(-bias - weights[0])) == pytest.approx(1 - toxicity.PENALTY / n, abs=1e-3)
+
+
+# gate of 3
+
+
+def test_mixed_tricks_reach_the_lattice(spark):
+    texts = ["an idiot and a stupid loser said", "the moron is worthless trash", "pathetic scum and a clown"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    restorer = toxicity.Restorer(toxicity.trigram_costs(toxicity.trigram_counts(df)))
+    tricks = {
+        "i d 1 0 t": "idiot", "m 0 r 0 n": "moron", "1 d i o t": "idiot", "i  d  i  o  t": "idiot", "iiddiioott": "idiot",
+        "idiiot": "idiot", "ii dd 1 0 tt": "idiot", "$ c u u m": "scum", "l . 0 . s . e . r": "loser", "m00rr0n": "moron",
+        "i1d1i0t": "idiot", "c-l-0-w-n": "clown",
+    }
+    assert [t for t, word in tricks.items() if word not in restorer.words(f"you {t}, they say")] == []
+    assert restorer.words("1 2 3 4 5") == set()
