@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkgauge.llm import (
     chats,
     decontamination,
+    hard_negatives,
     lengths,
     licenses,
     neardup,
@@ -111,6 +112,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_decontamination,
@@ -123,6 +128,7 @@ def queries() -> dict[str, Query]:
         op8_preferences,
         op9_licenses,
         op10_packing,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
@@ -198,7 +204,28 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_common,
 FROM joined
 """
 
+OP12_SQL = r"""
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op8_preferences": OP8_SQL}
+    return {"op1_decontamination": OP1_SQL, "op8_preferences": OP8_SQL, "op12_hard_negatives": OP12_SQL}
