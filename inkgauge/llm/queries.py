@@ -12,6 +12,7 @@ from inkgauge.llm import (
     decontamination,
     hard_negatives,
     lengths,
+    lexical,
     licenses,
     neardup,
     neighbours,
@@ -112,6 +113,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
 
@@ -128,6 +133,7 @@ def queries() -> dict[str, Query]:
         op8_preferences,
         op9_licenses,
         op10_packing,
+        op11_lexical_search,
         op12_hard_negatives,
     )
     return {f.__name__: f for f in every}
@@ -204,6 +210,34 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_common,
 FROM joined
 """
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (SELECT place, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0
+), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs
+), items AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id) GROUP BY ALL
+), postings AS (
+  SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM postings, total GROUP BY term
+), scored AS (
+  SELECT item_id, place, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM postings JOIN weights USING (term) JOIN items USING (term), total GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER best <= 20
+"""
+
 OP12_SQL = r"""
 WITH rows_ AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -228,4 +262,4 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op8_preferences": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_decontamination": OP1_SQL, "op8_preferences": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
