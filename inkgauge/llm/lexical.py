@@ -133,8 +133,10 @@ class Shard:
         rest = np.cumsum((query[terms] * self.highest[terms])[::-1])[::-1]
         seen = np.zeros(len(self.start) - 1, bool)
         best, holders, limit = np.empty(0, np.int64), np.empty(0, np.int64), 1
-        for t, most in zip(terms.tolist(), rest.tolist()):
+        for i, (t, most) in enumerate(zip(terms.tolist(), rest.tolist())):
             if most < limit:  # equal scores may still win by their id
+                left = self.lists[terms[i:] + 1] - self.lists[terms[i:]]
+                self.opened["closed"] += int((-(-left // BLOCK)).sum())
                 break
             if not self.highest[t]:
                 continue
