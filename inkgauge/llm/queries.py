@@ -11,6 +11,7 @@ from inkgauge.llm import (
     chats,
     decontamination,
     hard_negatives,
+    katz,
     lengths,
     lexical,
     licenses,
@@ -121,6 +122,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_decontamination,
@@ -135,6 +140,7 @@ def queries() -> dict[str, Query]:
         op10_packing,
         op11_lexical_search,
         op12_hard_negatives,
+        op13_lm_scores,
     )
     return {f.__name__: f for f in every}
 
