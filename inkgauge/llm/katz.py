@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.llm.common import map_arrow, ship, spent, stored, take
-from inkgauge.llm.shingles import FACTORS, PRIME, mix, word_hashes
+from inkgauge.llm.shingles import FACTORS, mix, word_hashes
 
 ORDER = 3
 CUT = 5  # counts up to this are discounted by Good-Turing, higher ones lose as much as this one does
-BATCH = 16 << 20  # bytes of text
+BATCH = 6 << 20  # bytes of text
 PART = 2 << 20  # n-grams of a part, about, counted once per batch
 PIECE = 2 << 20  # bytes hashed at once
 BEGIN, END = np.uint64(0x1F3A5C7E9B2D4F61), np.uint64(0x6B8DAFC1E3052749)
@@ -74,6 +74,15 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
 
 
+def pack_floats(values: np.ndarray) -> bytes:
+    """As planes too: sums of the same few values differ in few bytes."""
+    return np.ascontiguousarray(values, np.float64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_floats(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, n).T).view(np.float64).ravel()
+
+
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each of `parts` equal ranges of keys begins among ascending `keys`."""
     at = np.array([i * 2**64 // parts for i in range(1, parts)], dtype=np.uint64)
@@ -100,9 +109,10 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_batches(docs: DataFrame, size: int) -> DataFrame:
-    """(batch, doc_id, held, length, words, tokens): different words as hashes, texts as numbers of them.
+    """(batch, doc_id, held, length, n, words, codes, tokens): different words as hashes, texts as codes of them.
 
     `length` counts the words of a text and its end; `tokens` holds every text's words, then its end.
+    A more frequent word has a smaller code.
     """
 
     def made(batch: int, ids: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
@@ -116,11 +126,14 @@ def token_batches(docs: DataFrame, size: int) -> DataFrame:
         word[last] = False
         stream[word], stream[last] = hashes, END
         words, tokens = np.unique(stream, return_inverse=True)
+        codes = np.empty(len(words), np.int64)
+        codes[np.argsort(-np.bincount(tokens), kind="stable")] = np.arange(len(words))
         arrays = [
             pa.array([batch], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([length], pa.list_(pa.int64())), pa.array([words.tobytes()]), pa.array([tokens.astype(np.int32).tobytes()]),
+            pa.array([length], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()), pa.array([pack_keys(words)]),
+            pa.array([planes(codes)]), pa.array([pa.compress(planes(codes[tokens]), codec="zstd", asbytes=True)]),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "held", "length", "words", "tokens"])
+        return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "held", "length", "n", "words", "codes", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,7 +153,7 @@ def token_batches(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield made(number, ids, held, texts)
 
-    schema = "batch long, doc_id array<long>, held array<boolean>, length array<long>, words binary, tokens binary"
+    schema = "batch long, doc_id array<long>, held array<boolean>, length array<long>, n long, words binary, codes binary, tokens binary"
     return stored(map_arrow(docs, run, schema), "batches")
 
 
@@ -156,8 +169,13 @@ class Level:
 def _level(key: np.ndarray, ends: np.ndarray) -> Level:
     """`key` of the n-gram that ends at each place where `ends` holds."""
     at = np.flatnonzero(ends)
-    by = at[np.argsort(key[at])]
+    bits = np.uint64(len(key).bit_length())
+    # places in the low bits of their keys: sorting whole numbers is several times faster than their places
+    by = (np.sort((key[at] >> bits << bits) | at.astype(np.uint64)) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     ordered = key[by]
+    if (ordered[1:] < ordered[:-1]).any():  # two keys that differ in those bits only
+        by = at[np.argsort(key[at])]
+        ordered = key[by]
     new = np.r_[True, ordered[1:] != ordered[:-1]] if len(by) else np.empty(0, bool)
     gram = np.full(len(key), -1, np.int64)
     gram[by] = np.cumsum(new) - 1
@@ -170,26 +188,34 @@ class Batch:
     def __init__(self, row: dict):
         self.length = np.array(row["length"], dtype=np.int64)
         self.held_text = np.array(row["held"], dtype=bool)
-        words, tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.int32)
+        words, codes = unpack_keys(row["words"], row["n"]), unplanes(row["codes"], row["n"]).astype(np.int64)
         self.text = np.repeat(np.arange(len(self.length)), self.length + 1)
         first = np.cumsum(self.length + 1) - self.length - 1
         self.word = np.ones(len(self.text), bool)
         self.word[first] = False
         self.hash = np.full(len(self.text), BEGIN, np.uint64)
+        total = int(self.length.sum())
+        size = (max(row["n"] - 1, 0).bit_length() + 7) // 8 * total
+        by_code = np.empty(len(codes), np.int64)
+        by_code[codes] = np.arange(len(codes))
+        tokens = by_code[unplanes(pa.decompress(row["tokens"], size, codec="zstd", asbytes=True), total).view(np.int64)]
         self.hash[self.word] = words[tokens]
         self.held = self.held_text[self.text]
-        self.levels: list[Level] = []
-        self.key, self.ends = mix(self.hash * np.uint64(PRIME)), np.ones(len(self.text), bool)
+        # the words are in order already, the begin mark goes between them
+        at = int(np.searchsorted(words, BEGIN))
+        place = np.zeros(len(words) + 1, np.int64)
+        gram = np.full(len(self.text), at)
+        gram[self.word] = tokens + (tokens >= at)
+        place[gram] = np.arange(len(gram))
+        self.levels = [Level(np.insert(words, at, BEGIN), gram, place)]
+        self.key, self.ends = self.hash, np.ones(len(self.text), bool)
 
     def grow(self, order: int) -> Batch:
         while len(self.levels) < order:
-            if self.levels:
-                # an n-gram ends where a word follows an n-gram that is one shorter
-                ends = self.word.copy()
-                ends[1:] &= self.ends[:-1]
-                key = np.zeros(len(self.key), np.uint64)
-                key[1:] = mix(self.key[:-1] * np.uint64(FACTORS[0]) + self.hash[1:] * np.uint64(FACTORS[1]) + np.uint64(len(self.levels)))
-                self.key, self.ends = key, ends if len(self.levels) == 1 else ends & np.r_[False, self.word[:-1]]
+            # an n-gram ends where a word follows an n-gram that is one shorter
+            key = np.zeros(len(self.key), np.uint64)
+            key[1:] = mix(self.key[:-1] * np.uint64(FACTORS[0]) + self.hash[1:] * np.uint64(FACTORS[1]) + np.uint64(len(self.levels)))
+            self.key, self.ends = key, self.word & np.r_[False, self.ends[:-1]]
             self.levels.append(_level(self.key, self.ends))
         return self
 
@@ -241,8 +267,11 @@ def send_counts(batches: DataFrame, order: int, parts: int, asking: bool) -> Dat
 COUNTED = "part int, batch long, n long, keys binary, counts binary, owned binary, wanted binary, of_counts array<long>, total long"
 
 
-def add_counts(rows: pa.Table) -> pa.Table:
-    """One part: its piece of the count table (`batch` null), and the reply to each batch in the order of its keys."""
+def add_counts(rows: pa.Table, tables: bool) -> pa.Table:
+    """One part: its piece of the count table (`batch` null), and the reply to each batch in the order of its keys.
+
+    Without `tables` the piece has its totals only.
+    """
     rows = rows.sort_by("batch")
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
@@ -259,14 +288,15 @@ def add_counts(rows: pa.Table) -> pa.Table:
     owned = np.zeros(len(keys), bool)
     owned[first[first < len(keys)]] = True
     seen = total > 0
-    plain = total[seen & (own != mix(np.array([BEGIN * np.uint64(PRIME)]))[0])]  # the begin mark is no word
+    plain = total[seen & (own != BEGIN)]  # the begin mark is no word
     low = np.bincount(plain[plain <= CUT + 1], minlength=CUT + 2)[1:]
     part = rows.column("part")[0].as_py()
-    out = [(part, None, int(seen.sum()), pack_keys(own[seen]), planes(total[seen]), None, None, [*low.tolist(), len(plain)], int(plain.sum()))]
+    piece = (pack_keys(own[seen]), planes(total[seen])) if tables else (None, None)
+    out = [(part, None, int(seen.sum()), *piece, None, None, [*low.tolist(), len(plain)], int(plain.sum()))]
     lo = 0
     for batch, n in zip(rows.column("batch").to_pylist(), sizes):
-        piece = slice(lo, lo + n)
-        out.append((part, batch, n, None, planes(total[at[piece]]), pack_bits(owned[piece]), pack_bits(wanted[at[piece]]), None, None))
+        own_at = at[lo : lo + n]
+        out.append((part, batch, n, None, planes(total[own_at]), pack_bits(owned[lo : lo + n]), pack_bits(wanted[own_at]), None, None))
         lo += n
     kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()
     return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in COUNTED.split(", ")])
@@ -322,9 +352,12 @@ class Model:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
 
 
-def count_table(batches: DataFrame, order: int, parts: int, asking: bool) -> DataFrame:
+def count_table(batches: DataFrame, order: int, parts: int, asking: bool, tables: bool) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        return add_counts(rows, tables)
+
     sent = send_counts(batches, order, parts, asking)
-    return stored(sent.groupBy("part").applyInArrow(add_counts, COUNTED), f"counts-{order}")
+    return stored(sent.groupBy("part").applyInArrow(run, COUNTED), f"counts-{order}")
 
 
 def _statistics(table: DataFrame) -> tuple[list[int], int, int]:
@@ -373,7 +406,10 @@ WEIGHED = "order int, part int, batch long, n long, keys binary, weights binary"
 
 
 def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int, parts: int) -> DataFrame:
-    """(order, part, batch, keys, left, low, ...): per history the mass that its owned n-grams free, and have one order below."""
+    """(order, part, batch, n, keys, counts, left, low, ...)
+
+    Per history its count, the count that its owned n-grams lose, and their probability one order below.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = _row(left, 0)
@@ -384,7 +420,7 @@ def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int
             history = c.b.history(k)[own]
             use = c.wanted[k - 2][history]
             own, history = own[use], history[use]
-            freed = model.discounts[k - 1].lost(c.counts[k - 1][own]) / c.counts[k - 2][history]
+            freed = model.discounts[k - 1].lost(c.counts[k - 1][own])
             below = c.b.shorter(k)[own]
             if k == 2:
                 low = model.word_probability(c.counts[0][below])
@@ -398,13 +434,14 @@ def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int
             for p in range(parts):
                 g, a = (x[np.searchsorted(x, cut[p]) : np.searchsorted(x, cut[p + 1])] for x in (given, asked))
                 if len(g) or len(a):
-                    out.append((k - 1, p, row["batch"], len(g), pack_keys(keys[g]), sums[0][g].tobytes(), sums[1][g].tobytes(), len(a), pack_keys(keys[a])))
-        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()
-        names = ["order", "part", "batch", "n", "keys", "left", "low", "asking", "asked"]
+                    sent = pack_keys(keys[g]), planes(c.counts[k - 2][g]), *(pack_floats(x[g]) for x in sums)
+                    out.append((k - 1, p, row["batch"], len(g), *sent, len(a), pack_keys(keys[a])))
+        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.binary()
+        names = ["order", "part", "batch", "n", "keys", "counts", "left", "low", "asking", "asked"]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     ship(batches.sparkSession)
-    schema = "order int, part int, batch long, n long, keys binary, left binary, low binary, asking long, asked binary"
+    schema = "order int, part int, batch long, n long, keys binary, counts binary, left binary, low binary, asking long, asked binary"
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, schema)
 
 
@@ -413,10 +450,12 @@ def add_masses(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("batch")
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
-    left, low = (np.frombuffer(b"".join(rows.column(name).to_pylist()), np.float64) for name in ("left", "low"))
+    left, low = (np.concatenate([unpack_floats(x.as_py(), n) for x, n in zip(rows.column(c), sizes)]) for c in ("left", "low"))
     own, at = np.unique(keys, return_inverse=True)
+    counts = np.ones(len(own))
+    counts[at] = np.concatenate([unplanes(x.as_py(), n) for x, n in zip(rows.column("counts"), sizes)])
     # below: at least the unknown word is left over
-    weights = np.bincount(at, left, len(own)) / np.maximum(1 - np.bincount(at, low, len(own)), 1e-12)
+    weights = np.bincount(at, left, len(own)) / counts / np.maximum(1 - np.bincount(at, low, len(own)), 1e-12)
     order, part = rows.column("order")[0].as_py(), rows.column("part")[0].as_py()
     out = [(order, part, None, len(own), pack_keys(own), weights.tobytes())]
     for batch, n, asked in zip(rows.column("batch").to_pylist(), rows.column("asking").to_pylist(), rows.column("asked")):
@@ -473,8 +512,9 @@ def held_out(doc_id: Column, remainder: int = 1, of: int = 5) -> Column:
 class Fitted:
     """The stored tables: batches, counts by order, weights by order, and the numbers of the model.
 
-    `counts[k - 1]` and `weights` hold the pieces of the tables by part where `batch` is null, the
-    replies to the batches elsewhere. Weights are there for the histories that held-out texts share.
+    `counts[k - 1]` and `weights` hold the pieces of the tables by part where `batch` is null, with the
+    keys of all n-grams if `fit` was asked for `tables`, and the replies to the batches elsewhere.
+    Weights are there for the histories that held-out texts share.
     """
 
     batches: DataFrame
@@ -483,7 +523,7 @@ class Fitted:
     model: Model
 
 
-def fit(docs: DataFrame, order: int = ORDER, batch: int = BATCH, part: int = PART) -> Fitted:
+def fit(docs: DataFrame, order: int = ORDER, batch: int = BATCH, part: int = PART, tables: bool = False) -> Fitted:
     """Learn from the rows of `docs` (doc_id, text, held) that are not held out."""
     ship(docs.sparkSession)
     batches = token_batches(docs, batch)
@@ -493,7 +533,7 @@ def fit(docs: DataFrame, order: int = ORDER, batch: int = BATCH, part: int = PAR
     tokens = words = 0
     freed = 0.0
     for k in range(1, order + 1):
-        counts.append(count_table(batches, k, parts, k < order))
+        counts.append(count_table(batches, k, parts, k < order, tables))
         low, different, total = _statistics(counts[-1])
         discounts.append(Discount.of(low))
         if k == 1:

@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkgauge.llm import katz
 
@@ -126,6 +128,30 @@ def test_probabilities_of_a_history_sum_to_one():
         assert sum(model.p(w, h) for w in words) == pytest.approx(1.0, abs=1e-9)
 
 
+def test_count_tables(spark):
+    docs = corpus(random.Random(5), 60, 40)
+    df = spark.createDataFrame(docs, DOCS).withColumn("held", katz.held_out(F.col("doc_id")))
+    model, fitted = by_brute_force(docs, 3)[0], katz.fit(df, batch=500, part=60, tables=True)
+    for order, table in enumerate(fitted.counts, 1):
+        pieces = table.where("batch IS NULL").orderBy("part").collect()
+        keys = [k for p in pieces for k in katz.unpack_keys(p["keys"], p.n).tolist()]
+        counts = [c for p in pieces for c in katz.unplanes(p.counts, p.n).tolist()]
+        assert keys == sorted(set(keys))
+        begins = [model.begins] if order == 1 else []
+        assert sorted(counts) == sorted([*model.c[order].values(), *begins])
+    weights = fitted.weights.where("batch IS NULL").collect()
+    found = sorted(w for r in weights for w in np.frombuffer(r.weights, np.float64).tolist())
+    asked = {tuple(line[max(0, i - n) : i]) for d, t in docs if is_held(d) for line in [["<begin> ", *tokens(t)]] for n in (1, 2) for i in range(n, len(line))}
+    expected = sorted(model.weight(h) for h in asked if model.after[h])
+    assert found == pytest.approx(expected, rel=1e-9)
+
+
+def test_places_of_keys_that_share_their_high_bits():
+    key = np.array([5, 3, 5, 4, 3, 2**63 + 1, 2**63], np.uint64)
+    level = katz._level(key, np.array([True] * 6 + [False]))
+    assert level.keys.tolist() == [3, 4, 5, 2**63 + 1] and level.gram.tolist() == [2, 0, 2, 1, 0, 3, -1]
+
+
 def test_tables_without_training_texts_or_rows(spark):
     held = next(i for i in range(100) if is_held(i))
     got = katz.score_texts(spark.createDataFrame([(held, "a b")], DOCS)).collect()
