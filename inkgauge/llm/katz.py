@@ -75,12 +75,13 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
 
 
 def pack_floats(values: np.ndarray) -> bytes:
-    """As planes too: sums of the same few values differ in few bytes."""
-    return np.ascontiguousarray(values, np.float64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Planes as well: most sums are one of a few values, which leaves few different bytes in a plane."""
+    return pa.compress(np.ascontiguousarray(values, np.float64).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack_floats(blob: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, n).T).view(np.float64).ravel()
+    data = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
+    return np.ascontiguousarray(data.reshape(8, n).T).view(np.float64).ravel()
 
 
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -406,9 +407,10 @@ WEIGHED = "order int, part int, batch long, n long, keys binary, weights binary"
 
 
 def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int, parts: int) -> DataFrame:
-    """(order, part, batch, n, keys, counts, left, low, ...)
+    """(order, part, batch, n, keys, left, low; asking, asked, counts, below)
 
-    Per history its count, the count that its owned n-grams lose, and their probability one order below.
+    Per history with owned n-grams: the count that these lose, and what they keep of their counts one
+    order below. Per history that the batch asks for: its count and that of the one a word shorter.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -422,26 +424,26 @@ def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int
             own, history = own[use], history[use]
             freed = model.discounts[k - 1].lost(c.counts[k - 1][own])
             below = c.b.shorter(k)[own]
-            if k == 2:
-                low = model.word_probability(c.counts[0][below])
-            else:
-                low = model.discounts[k - 2].kept(c.counts[k - 2][below]) / c.counts[k - 3][c.b.history(k - 1)[below]]
+            low = model.discounts[k - 2].kept(c.counts[k - 2][below])
             n = len(c.b.levels[k - 2].keys)
             sums = [np.bincount(history, x, n) for x in (freed, low)]
             given, asked = np.unique(history), c.asks(k)
             keys = c.b.levels[k - 2].keys
+            shorter = np.full(n, model.tokens) if k == 2 else c.counts[k - 3][c.b.shorter(k - 1)]
             cut = part_bounds(keys, parts)
             for p in range(parts):
                 g, a = (x[np.searchsorted(x, cut[p]) : np.searchsorted(x, cut[p + 1])] for x in (given, asked))
                 if len(g) or len(a):
-                    sent = pack_keys(keys[g]), planes(c.counts[k - 2][g]), *(pack_floats(x[g]) for x in sums)
-                    out.append((k - 1, p, row["batch"], len(g), *sent, len(a), pack_keys(keys[a])))
-        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.binary()
-        names = ["order", "part", "batch", "n", "keys", "counts", "left", "low", "asking", "asked"]
+                    sent = pack_keys(keys[g]), *(pack_floats(x[g]) for x in sums)
+                    wish = pack_keys(keys[a]), planes(c.counts[k - 2][a]), planes(shorter[a])
+                    out.append((k - 1, p, row["batch"], len(g), *sent, len(a), *wish))
+        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 3
+        names = ["order", "part", "batch", "n", "keys", "left", "low", "asking", "asked", "counts", "below"]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     ship(batches.sparkSession)
-    schema = "order int, part int, batch long, n long, keys binary, counts binary, left binary, low binary, asking long, asked binary"
+    schema = "order int, part int, batch long, n long, keys binary, left binary, low binary, "
+    schema += "asking long, asked binary, counts binary, below binary"
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, schema)
 
 
@@ -451,17 +453,25 @@ def add_masses(rows: pa.Table) -> pa.Table:
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
     left, low = (np.concatenate([unpack_floats(x.as_py(), n) for x, n in zip(rows.column(c), sizes)]) for c in ("left", "low"))
-    own, at = np.unique(keys, return_inverse=True)
-    counts = np.ones(len(own))
-    counts[at] = np.concatenate([unplanes(x.as_py(), n) for x, n in zip(rows.column("counts"), sizes)])
+    asking = rows.column("asking").to_pylist()
+    asked, counts, below = (
+        [of(x.as_py(), n) for x, n in zip(rows.column(c), asking)]
+        for c, of in (("asked", unpack_keys), ("counts", unplanes), ("below", unplanes))
+    )
+    wanted = np.concatenate(asked)
+    own, first = np.unique(wanted, return_index=True)
+    counts, below = np.concatenate(counts)[first].astype(float), np.concatenate(below)[first].astype(float)
+    at = np.searchsorted(own, keys)
+    use = np.flatnonzero(at < len(own))
+    use = use[own[at[use]] == keys[use]]
+    left, low = (np.bincount(at[use], x[use], len(own)) for x in (left, low))
     # below: at least the unknown word is left over
-    weights = np.bincount(at, left, len(own)) / counts / np.maximum(1 - np.bincount(at, low, len(own)), 1e-12)
+    weights = left / counts / np.maximum(1 - low / below, 1e-12)
     order, part = rows.column("order")[0].as_py(), rows.column("part")[0].as_py()
     out = [(order, part, None, len(own), pack_keys(own), weights.tobytes())]
-    for batch, n, asked in zip(rows.column("batch").to_pylist(), rows.column("asking").to_pylist(), rows.column("asked")):
-        if n:
-            found = weights[np.searchsorted(own, unpack_keys(asked.as_py(), n))]
-            out.append((order, part, batch, n, None, found.tobytes()))
+    for batch, mine in zip(rows.column("batch").to_pylist(), asked):
+        if len(mine):
+            out.append((order, part, batch, len(mine), None, weights[np.searchsorted(own, mine)].tobytes()))
     kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
     return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in WEIGHED.split(", ")])
 
@@ -514,7 +524,7 @@ class Fitted:
 
     `counts[k - 1]` and `weights` hold the pieces of the tables by part where `batch` is null, with the
     keys of all n-grams if `fit` was asked for `tables`, and the replies to the batches elsewhere.
-    Weights are there for the histories that held-out texts share.
+    Weights are there for the histories that held-out texts go on from in an unseen way.
     """
 
     batches: DataFrame

@@ -141,7 +141,9 @@ def test_count_tables(spark):
         assert sorted(counts) == sorted([*model.c[order].values(), *begins])
     weights = fitted.weights.where("batch IS NULL").collect()
     found = sorted(w for r in weights for w in np.frombuffer(r.weights, np.float64).tolist())
-    asked = {tuple(line[max(0, i - n) : i]) for d, t in docs if is_held(d) for line in [["<begin> ", *tokens(t)]] for n in (1, 2) for i in range(n, len(line))}
+    lines = [["<begin> ", *tokens(t)] for d, t in docs if is_held(d)]
+    ends = [(line, i, n) for line in lines for n in (1, 2) for i in range(n, len(line))]
+    asked = {tuple(line[i - n : i]) for line, i, n in ends if tuple(line[i - n : i + 1]) not in model.c[n + 1]}
     expected = sorted(model.weight(h) for h in asked if model.after[h])
     assert found == pytest.approx(expected, rel=1e-9)
 
