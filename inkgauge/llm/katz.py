@@ -51,7 +51,7 @@ def planes(values: np.ndarray) -> bytes:
 
 def unplanes(blob: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    if n:
+    if blob:
         data = np.frombuffer(blob, np.uint8).reshape(-1, n)
         out[:, : len(data)] = data.T
     return out.view(np.uint64).ravel()
@@ -74,14 +74,15 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
 
 
-def pack_floats(values: np.ndarray) -> bytes:
-    """Planes as well: most sums are one of a few values, which leaves few different bytes in a plane."""
-    return pa.compress(np.ascontiguousarray(values, np.float64).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+def pack_counts(values: np.ndarray) -> bytes:
+    """Rows of whole numbers, most of them zero or small."""
+    return pa.compress(planes(values.ravel()), codec="zstd", asbytes=True) if values.any() else b""
 
 
-def unpack_floats(blob: bytes, n: int) -> np.ndarray:
-    data = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
-    return np.ascontiguousarray(data.reshape(8, n).T).view(np.float64).ravel()
+def unpack_counts(blob: bytes, rows: int, n: int, size: int) -> np.ndarray:
+    """`size`: bytes before compression."""
+    data = pa.decompress(blob, size, codec="zstd", asbytes=True) if blob else b""
+    return unplanes(data, rows * n).reshape(rows, n).astype(np.int64)
 
 
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -110,10 +111,10 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_batches(docs: DataFrame, size: int) -> DataFrame:
-    """(batch, doc_id, held, length, n, words, codes, tokens): different words as hashes, texts as codes of them.
+    """(batch, doc_id, held, length, words, tokens): different words as hashes, texts as numbers of them.
 
     `length` counts the words of a text and its end; `tokens` holds every text's words, then its end.
-    A more frequent word has a smaller code.
+    The most frequent words come first, which leaves small numbers.
     """
 
     def made(batch: int, ids: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
@@ -127,14 +128,15 @@ def token_batches(docs: DataFrame, size: int) -> DataFrame:
         word[last] = False
         stream[word], stream[last] = hashes, END
         words, tokens = np.unique(stream, return_inverse=True)
-        codes = np.empty(len(words), np.int64)
-        codes[np.argsort(-np.bincount(tokens), kind="stable")] = np.arange(len(words))
+        frequent = np.argsort(-np.bincount(tokens), kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[frequent] = np.arange(len(words))
         arrays = [
             pa.array([batch], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([length], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()), pa.array([pack_keys(words)]),
-            pa.array([planes(codes)]), pa.array([pa.compress(planes(codes[tokens]), codec="zstd", asbytes=True)]),
+            pa.array([length], pa.list_(pa.int64())), pa.array([words[frequent].tobytes()]),
+            pa.array([pa.compress(planes(number[tokens]), codec="zstd", asbytes=True)]),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "held", "length", "n", "words", "codes", "tokens"])
+        return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "held", "length", "words", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,7 +156,7 @@ def token_batches(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield made(number, ids, held, texts)
 
-    schema = "batch long, doc_id array<long>, held array<boolean>, length array<long>, n long, words binary, codes binary, tokens binary"
+    schema = "batch long, doc_id array<long>, held array<boolean>, length array<long>, words binary, tokens binary"
     return stored(map_arrow(docs, run, schema), "batches")
 
 
@@ -189,17 +191,19 @@ class Batch:
     def __init__(self, row: dict):
         self.length = np.array(row["length"], dtype=np.int64)
         self.held_text = np.array(row["held"], dtype=bool)
-        words, codes = unpack_keys(row["words"], row["n"]), unplanes(row["codes"], row["n"]).astype(np.int64)
+        stored_words = np.frombuffer(row["words"], np.uint64)
+        ascending = np.argsort(stored_words)
+        words = stored_words[ascending]
         self.text = np.repeat(np.arange(len(self.length)), self.length + 1)
         first = np.cumsum(self.length + 1) - self.length - 1
         self.word = np.ones(len(self.text), bool)
         self.word[first] = False
         self.hash = np.full(len(self.text), BEGIN, np.uint64)
         total = int(self.length.sum())
-        size = (max(row["n"] - 1, 0).bit_length() + 7) // 8 * total
-        by_code = np.empty(len(codes), np.int64)
-        by_code[codes] = np.arange(len(codes))
-        tokens = by_code[unplanes(pa.decompress(row["tokens"], size, codec="zstd", asbytes=True), total).view(np.int64)]
+        size = (max(len(words) - 1, 0).bit_length() + 7) // 8 * total
+        place_of = np.empty(len(words), np.int64)
+        place_of[ascending] = np.arange(len(words))
+        tokens = place_of[unplanes(pa.decompress(row["tokens"], size, codec="zstd", asbytes=True), total).view(np.int64)]
         self.hash[self.word] = words[tokens]
         self.held = self.held_text[self.text]
         # the words are in order already, the begin mark goes between them
@@ -327,9 +331,13 @@ class Discount:
             ratios.append(ratio if 0 < ratio < 1 else (r - lost) / r)
         return cls(tuple(ratios))
 
+    @property
+    def losses(self) -> np.ndarray:
+        """What a count of 0, 1, ... CUT loses."""
+        return np.array([0.0, *[r * (1 - x) for r, x in enumerate(self.ratios, 1)]])
+
     def lost(self, counts: np.ndarray) -> np.ndarray:
-        by_count = np.array([0.0, *[r * (1 - x) for r, x in enumerate(self.ratios, 1)]])
-        return by_count[np.minimum(counts, CUT)]
+        return self.losses[np.minimum(counts, CUT)]
 
     def kept(self, counts: np.ndarray) -> np.ndarray:
         return counts - self.lost(counts)
@@ -407,10 +415,12 @@ WEIGHED = "order int, part int, batch long, n long, keys binary, weights binary"
 
 
 def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int, parts: int) -> DataFrame:
-    """(order, part, batch, n, keys, left, low; asking, asked, counts, below)
+    """(order, part, batch, n, keys, of_counts, sums, bytes; asking, asked, counts, below)
 
-    Per history with owned n-grams: the count that these lose, and what they keep of their counts one
-    order below. Per history that the batch asks for: its count and that of the one a word shorter.
+    Per history with owned n-grams: how many of them occur 1, 2, ... CUT or more times, the same of
+    what they are one order below, and the sum of the counts there. From these whole numbers the
+    discounts give what is left over and what is seen below, the same in whatever order they are added.
+    Per history that the batch asks for: its count and that of the one a word shorter.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -422,11 +432,13 @@ def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int
             history = c.b.history(k)[own]
             use = c.wanted[k - 2][history]
             own, history = own[use], history[use]
-            freed = model.discounts[k - 1].lost(c.counts[k - 1][own])
-            below = c.b.shorter(k)[own]
-            low = model.discounts[k - 2].kept(c.counts[k - 2][below])
+            count, below = c.counts[k - 1][own], c.counts[k - 2][c.b.shorter(k)[own]]
             n = len(c.b.levels[k - 2].keys)
-            sums = [np.bincount(history, x, n) for x in (freed, low)]
+            table = np.zeros((2 * CUT, n), np.int64)
+            for row_, of in enumerate((count, below)):
+                for r in range(CUT):
+                    table[row_ * CUT + r] = np.bincount(history[np.minimum(of, CUT) == r + 1], minlength=n)
+            sums = np.bincount(history, below, n).astype(np.int64)
             given, asked = np.unique(history), c.asks(k)
             keys = c.b.levels[k - 2].keys
             shorter = np.full(n, model.tokens) if k == 2 else c.counts[k - 3][c.b.shorter(k - 1)]
@@ -434,25 +446,27 @@ def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int
             for p in range(parts):
                 g, a = (x[np.searchsorted(x, cut[p]) : np.searchsorted(x, cut[p + 1])] for x in (given, asked))
                 if len(g) or len(a):
-                    sent = pack_keys(keys[g]), *(pack_floats(x[g]) for x in sums)
+                    few, size = table[:, g], len(planes(table[:, g].ravel()))
+                    sent = pack_keys(keys[g]), pack_counts(few), planes(sums[g]), size
                     wish = pack_keys(keys[a]), planes(c.counts[k - 2][a]), planes(shorter[a])
                     out.append((k - 1, p, row["batch"], len(g), *sent, len(a), *wish))
-        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 3
-        names = ["order", "part", "batch", "n", "keys", "left", "low", "asking", "asked", "counts", "below"]
+        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), *[pa.binary()] * 3
+        names = ["order", "part", "batch", "n", "keys", "of_counts", "sums", "bytes", "asking", "asked", "counts", "below"]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     ship(batches.sparkSession)
-    schema = "order int, part int, batch long, n long, keys binary, left binary, low binary, "
-    schema += "asking long, asked binary, counts binary, below binary"
+    schema = "order int, part int, batch long, n long, keys binary, of_counts binary, sums binary, "
+    schema += "bytes long, asking long, asked binary, counts binary, below binary"
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, schema)
 
 
-def add_masses(rows: pa.Table) -> pa.Table:
-    """One part: its piece of the weight table (`batch` null), and the weights that each batch asked for."""
+def add_masses(rows: pa.Table, model: Model, tables: bool) -> pa.Table:
+    """One part: its piece of the weight table (`batch` null) if `tables`, and the weights that each batch asked for."""
     rows = rows.sort_by("batch")
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
-    left, low = (np.concatenate([unpack_floats(x.as_py(), n) for x, n in zip(rows.column(c), sizes)]) for c in ("left", "low"))
+    few = [unpack_counts(x.as_py(), 2 * CUT, n, k) for x, n, k in zip(rows.column("of_counts"), sizes, rows.column("bytes").to_pylist())]
+    few, sums = np.concatenate(few, axis=1), np.concatenate([unplanes(x.as_py(), n) for x, n in zip(rows.column("sums"), sizes)])
     asking = rows.column("asking").to_pylist()
     asked, counts, below = (
         [of(x.as_py(), n) for x, n in zip(rows.column(c), asking)]
@@ -464,11 +478,13 @@ def add_masses(rows: pa.Table) -> pa.Table:
     at = np.searchsorted(own, keys)
     use = np.flatnonzero(at < len(own))
     use = use[own[at[use]] == keys[use]]
-    left, low = (np.bincount(at[use], x[use], len(own)) for x in (left, low))
+    few = np.array([np.bincount(at[use], x[use], len(own)) for x in few])
+    order, part = rows.column("order")[0].as_py(), rows.column("part")[0].as_py()
+    left = model.discounts[order].losses[1:] @ few[:CUT]
+    low = np.bincount(at[use], sums[use], len(own)) - model.discounts[order - 1].losses[1:] @ few[CUT:]
     # below: at least the unknown word is left over
     weights = left / counts / np.maximum(1 - low / below, 1e-12)
-    order, part = rows.column("order")[0].as_py(), rows.column("part")[0].as_py()
-    out = [(order, part, None, len(own), pack_keys(own), weights.tobytes())]
+    out = [(order, part, None, len(own), pack_keys(own), weights.tobytes())] if tables else []
     for batch, mine in zip(rows.column("batch").to_pylist(), asked):
         if len(mine):
             out.append((order, part, batch, len(mine), None, weights[np.searchsorted(own, mine)].tobytes()))
@@ -522,8 +538,8 @@ def held_out(doc_id: Column, remainder: int = 1, of: int = 5) -> Column:
 class Fitted:
     """The stored tables: batches, counts by order, weights by order, and the numbers of the model.
 
-    `counts[k - 1]` and `weights` hold the pieces of the tables by part where `batch` is null, with the
-    keys of all n-grams if `fit` was asked for `tables`, and the replies to the batches elsewhere.
+    `counts[k - 1]` and `weights` hold the pieces of the tables by part where `batch` is null, with all
+    keys if `fit` was asked for `tables`, and the replies to the batches elsewhere.
     Weights are there for the histories that held-out texts go on from in an unseen way.
     """
 
@@ -554,7 +570,11 @@ def fit(docs: DataFrame, order: int = ORDER, batch: int = BATCH, part: int = PAR
     weights = None
     if order > 1:
         masses = send_masses(batches, _all_replies(counts), model, order, parts)
-        weights = stored(masses.groupBy("order", "part").applyInArrow(add_masses, WEIGHED), "weights")
+
+        def run(rows: pa.Table) -> pa.Table:
+            return add_masses(rows, model, tables)
+
+        weights = stored(masses.groupBy("order", "part").applyInArrow(run, WEIGHED), "weights")
     return Fitted(batches, tuple(counts), weights, model)
 
 
