@@ -75,14 +75,15 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    """Rows of whole numbers, most of them zero or small."""
-    return pa.compress(planes(values.ravel()), codec="zstd", asbytes=True) if values.any() else b""
+    """Whole numbers, most of them zero or small: how many planes, then these compressed."""
+    data = planes(values.ravel())
+    return bytes([len(data) // values.size]) + pa.compress(data, codec="zstd", asbytes=True) if data else b""
 
 
-def unpack_counts(blob: bytes, rows: int, n: int, size: int) -> np.ndarray:
-    """`size`: bytes before compression."""
-    data = pa.decompress(blob, size, codec="zstd", asbytes=True) if blob else b""
-    return unplanes(data, rows * n).reshape(rows, n).astype(np.int64)
+def unpack_counts(blob: bytes, *shape: int) -> np.ndarray:
+    n = int(np.prod(shape))
+    data = pa.decompress(blob[1:], blob[0] * n, codec="zstd", asbytes=True) if blob else b""
+    return unplanes(data, n).astype(np.int64).reshape(shape)
 
 
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -259,7 +260,7 @@ def send_counts(batches: DataFrame, order: int, parts: int, asking: bool) -> Dat
                 out: list[list] = [[], [], [], [], [], []]
                 for p, (lo, hi) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
                     if hi > lo:
-                        values = p, row["batch"], hi - lo, pack_keys(level.keys[lo:hi]), planes(count[lo:hi]), pack_bits(asked[lo:hi])
+                        values = p, row["batch"], hi - lo, pack_keys(level.keys[lo:hi]), pack_counts(count[lo:hi]), pack_bits(asked[lo:hi])
                         for column, value in zip(out, values):
                             column.append(value)
                 kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
@@ -280,7 +281,7 @@ def add_counts(rows: pa.Table, tables: bool) -> pa.Table:
     rows = rows.sort_by("batch")
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
-    counts = np.concatenate([unplanes(c.as_py(), n) for c, n in zip(rows.column("counts"), sizes)]).astype(np.int64)
+    counts = np.concatenate([unpack_counts(c.as_py(), n) for c, n in zip(rows.column("counts"), sizes)])
     asked = np.concatenate([unpack_bits(a.as_py(), n) for a, n in zip(rows.column("asked"), sizes)])
     own, at = np.unique(keys, return_inverse=True)
     total = np.zeros(len(own), np.int64)
@@ -296,12 +297,12 @@ def add_counts(rows: pa.Table, tables: bool) -> pa.Table:
     plain = total[seen & (own != BEGIN)]  # the begin mark is no word
     low = np.bincount(plain[plain <= CUT + 1], minlength=CUT + 2)[1:]
     part = rows.column("part")[0].as_py()
-    piece = (pack_keys(own[seen]), planes(total[seen])) if tables else (None, None)
+    piece = (pack_keys(own[seen]), pack_counts(total[seen])) if tables else (None, None)
     out = [(part, None, int(seen.sum()), *piece, None, None, [*low.tolist(), len(plain)], int(plain.sum()))]
     lo = 0
     for batch, n in zip(rows.column("batch").to_pylist(), sizes):
         own_at = at[lo : lo + n]
-        out.append((part, batch, n, None, planes(total[own_at]), pack_bits(owned[lo : lo + n]), pack_bits(wanted[own_at]), None, None))
+        out.append((part, batch, n, None, pack_counts(total[own_at]), pack_bits(owned[lo : lo + n]), pack_bits(wanted[own_at]), None, None))
         lo += n
     kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()
     return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in COUNTED.split(", ")])
@@ -387,7 +388,7 @@ def _replies(rows: pa.Table, order: int, n: int) -> tuple[np.ndarray, np.ndarray
     join = lambda name, of: [of(x.as_py(), k) for x, k in zip(some.column(name), sizes)]
     if not sizes:
         return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
-    counts = np.concatenate(join("counts", unplanes)).astype(np.int64)
+    counts = np.concatenate(join("counts", unpack_counts))
     return counts, np.concatenate(join("owned", unpack_bits)), np.concatenate(join("wanted", unpack_bits))
 
 
@@ -415,7 +416,7 @@ WEIGHED = "order int, part int, batch long, n long, keys binary, weights binary"
 
 
 def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int, parts: int) -> DataFrame:
-    """(order, part, batch, n, keys, of_counts, sums, bytes; asking, asked, counts, below)
+    """(order, part, batch, n, keys, of_counts, sums; asking, asked, counts, below)
 
     Per history with owned n-grams: how many of them occur 1, 2, ... CUT or more times, the same of
     what they are one order below, and the sum of the counts there. From these whole numbers the
@@ -446,17 +447,16 @@ def send_masses(batches: DataFrame, replies: DataFrame, model: Model, order: int
             for p in range(parts):
                 g, a = (x[np.searchsorted(x, cut[p]) : np.searchsorted(x, cut[p + 1])] for x in (given, asked))
                 if len(g) or len(a):
-                    few, size = table[:, g], len(planes(table[:, g].ravel()))
-                    sent = pack_keys(keys[g]), pack_counts(few), planes(sums[g]), size
-                    wish = pack_keys(keys[a]), planes(c.counts[k - 2][a]), planes(shorter[a])
+                    sent = pack_keys(keys[g]), pack_counts(table[:, g]), pack_counts(sums[g])
+                    wish = pack_keys(keys[a]), pack_counts(c.counts[k - 2][a]), pack_counts(shorter[a])
                     out.append((k - 1, p, row["batch"], len(g), *sent, len(a), *wish))
-        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64(), *[pa.binary()] * 3
-        names = ["order", "part", "batch", "n", "keys", "of_counts", "sums", "bytes", "asking", "asked", "counts", "below"]
+        kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 3
+        names = ["order", "part", "batch", "n", "keys", "of_counts", "sums", "asking", "asked", "counts", "below"]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     ship(batches.sparkSession)
     schema = "order int, part int, batch long, n long, keys binary, of_counts binary, sums binary, "
-    schema += "bytes long, asking long, asked binary, counts binary, below binary"
+    schema += "asking long, asked binary, counts binary, below binary"
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, schema)
 
 
@@ -465,12 +465,12 @@ def add_masses(rows: pa.Table, model: Model, tables: bool) -> pa.Table:
     rows = rows.sort_by("batch")
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
-    few = [unpack_counts(x.as_py(), 2 * CUT, n, k) for x, n, k in zip(rows.column("of_counts"), sizes, rows.column("bytes").to_pylist())]
-    few, sums = np.concatenate(few, axis=1), np.concatenate([unplanes(x.as_py(), n) for x, n in zip(rows.column("sums"), sizes)])
+    few = np.concatenate([unpack_counts(x.as_py(), 2 * CUT, n) for x, n in zip(rows.column("of_counts"), sizes)], axis=1)
+    sums = np.concatenate([unpack_counts(x.as_py(), n) for x, n in zip(rows.column("sums"), sizes)])
     asking = rows.column("asking").to_pylist()
     asked, counts, below = (
         [of(x.as_py(), n) for x, n in zip(rows.column(c), asking)]
-        for c, of in (("asked", unpack_keys), ("counts", unplanes), ("below", unplanes))
+        for c, of in (("asked", unpack_keys), ("counts", unpack_counts), ("below", unpack_counts))
     )
     wanted = np.concatenate(asked)
     own, first = np.unique(wanted, return_index=True)

@@ -135,7 +135,7 @@ def test_count_tables(spark):
     for order, table in enumerate(fitted.counts, 1):
         pieces = table.where("batch IS NULL").orderBy("part").collect()
         keys = [k for p in pieces for k in katz.unpack_keys(p["keys"], p.n).tolist()]
-        counts = [c for p in pieces for c in katz.unplanes(p.counts, p.n).tolist()]
+        counts = [c for p in pieces for c in katz.unpack_counts(p.counts, p.n).tolist()]
         assert keys == sorted(set(keys))
         begins = [model.begins] if order == 1 else []
         assert sorted(counts) == sorted([*model.c[order].values(), *begins])
