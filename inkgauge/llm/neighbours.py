@@ -88,7 +88,8 @@ class Shard:
             best[active] = top
             limit = top.max(axis=1)
             room = SLACK * (1 + q_square[active])
-            row, column = np.nonzero(square <= (limit + room)[:, None])
+            # the query itself is infinitely far: it stays out while fewer than k are found, too
+            row, column = np.nonzero((square <= (limit + room)[:, None]) & np.isfinite(square))
             for r in np.unique(row):
                 at = column[row == r]
                 kept[active[r]].append((lo + at, square[r, at]))
@@ -157,17 +158,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, factor: float = FAC
 
     Ties go to the smaller id; a query never finds its own id. Rows without an id and vectors that
     are null, zero or hold null or non-finite components take no part; of rows that repeat an id
-    the smallest vector counts. All vectors must have one length. Only `vec_id` and `embedding`
-    are read.
+    the smallest vector counts. Shorter vectors are filled up with zeros. Only `vec_id` and
+    `embedding` are read.
     """
     rows = stored(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    d = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("v"))))
     queries = rows.where(F.col("vec_id") % every == 0)
     index = build_index(rows, shard)
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
     asked = queries.groupBy(block).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))  # about QUERIES rows each
-    shards = index.count()
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards - 1, 0)))))
+    last = index.agg(F.max("shard")).first()[0] or 0  # a shard without a vector has no row
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
     met = asked.join(index.hint("shuffle_hash"), "shard").select("q", "shard", "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
