@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,16 +15,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from inkgauge.functions.columns import sigmoid
-from inkgauge.operators import splits, tfidf
-from inkgauge.operators.metrics import binary_metrics
+from inkgauge.operators import fold_fit, splits, tfidf
 from inkgauge.session import stored
 
+MAX_FOLDS = 10_000
 BROADCAST_TERMS = 100_000  # most rows of a coefficient table that is sent to every task
 
 
@@ -193,52 +191,50 @@ def source_held_out(
     c: float = 1.0,
     max_iter: int = 1000,
     tol: float = 1e-6,
-    parallelism: int = 4,
 ) -> DataFrame:
     """Per held-out source: refit vocabulary and classifier without it, then test on it.
 
     `df` has split, label, text and both features. The term statistics of all folds come from
-    one grouped count; the driver only starts the fits, one per source and
-    `parallelism` at a time.
+    one grouped count, and one optimiser fits all of them, each step one scan of the rows. `residual`
+    bounds how far the coefficients are from the optimum. More than MAX_FOLDS sources, or more
+    coefficients of all folds than `fold_fit.MAX_CELLS`, are an error.
     """
     spark = df.sparkSession
     ready = stored(
         df.select(by, "split", "label", "perplexity", "burstiness", tfidf.T.terms(F.col("text")).alias("terms")),
         "held-out",
     )
-    terms = F.col("terms")
-    folds = splits.holdout_folds(ready, by).orderBy("held_out_source").collect()
-    labels = splits.train_pool(ready).groupBy(by, "label").agg(F.count("*").alias("n")).collect()
-    stats = tfidf.term_stats(splits.train_pool(ready), [by], terms)
-    vocab = stored(tfidf.held_out_vocab(stats, by, k), "held-out-vocab")
-
-    def run(fold: Row) -> tuple:
-        name = fold["held_out_source"]
-        classes = {r["label"] for r in labels if r[by] != name and r["n"]}
-        sizes = (name, fold["train_samples"], fold["test_samples"])
-        if len(classes) < 2:
-            return (*sizes, "single_class", None, None, None, None)
-        own_vocab = tfidf.from_vocabulary(
-            vocab.where(F.col("held_out_source") == name), fold["train_samples"]
-        )
-        train, test = (
-            _features(part, own_vocab, terms) for part in splits.holdout_rows(ready, name, by)
-        )
-        model = fit_logistic(train, c, max_iter, tol, n=fold["train_samples"])
-        m = binary_metrics(predict(model, test)).first()
-        return (*sizes, "ok", m["accuracy"], m["precision"], m["recall"], m["f1"])
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(inheritable_thread_target(run), folds))
+    every = splits.holdout_folds(ready, by)
+    folds = every.orderBy("held_out_source").limit(MAX_FOLDS + 1).collect()
+    if len(folds) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} sources to hold out")
+    totals = splits.train_pool(ready).groupBy("label").agg(F.count("*").alias("n")).collect()
+    own = splits.train_pool(ready).groupBy(by, "label").agg(F.count("*").alias("n"))
+    own = own.join(every.select(F.col("held_out_source").alias(by)), by)
+    labels = {(r[by], r["label"]): r["n"] for r in own.collect()}
+    classes = {
+        f["held_out_source"]: sum(r["n"] > labels.get((f["held_out_source"], r["label"]), 0) for r in totals) for f in folds
+    }
+    sizes = {f["held_out_source"]: f["train_samples"] for f in folds if classes[f["held_out_source"]] > 1}
+    results: dict[str, tuple] = {}
+    if sizes:
+        stats = tfidf.term_stats(splits.train_pool(ready), [by], F.col("terms"))
+        vocab = tfidf.held_out_vocab(stats, by, k).where(F.col("held_out_source").isin(list(sizes)))
+        # at most `k` rows a fold
+        table = fold_fit.fold_table(vocab.select("held_out_source", "term", "df").toPandas(), sizes)
+        rows = fold_fit.blocks(ready, table, by, F.col("terms"))
+        fitted = fold_fit.fit_folds(rows, table, c, tol, max_iter)
+        counts = fold_fit.held_out_counts(rows, fitted)
+        for name, (tn, fp, fn, tp), residual in zip(sizes, counts, fitted.residuals):
+            rate = lambda a, b: float(a / b) if b else 0.0
+            rates = rate(tn + tp, tn + fp + fn + tp), rate(tp, tp + fp), rate(tp, tp + fn), rate(2 * tp, 2 * tp + fp + fn)
+            results[name] = ("ok", *rates, float(residual))
+    single = ("single_class", None, None, None, None, None)
+    out = [
+        (f["held_out_source"], f["train_samples"], f["test_samples"], *results.get(f["held_out_source"], single)) for f in folds
+    ]
     return spark.createDataFrame(
-        rows,
+        out,
         "held_out_source string, train_samples long, test_samples long, status string, "
-        "accuracy double, precision double, recall double, f1 double",
+        "accuracy double, precision double, recall double, f1 double, residual double",
     )
-
-
-def _features(df: DataFrame, vocab: tfidf.TfidfModel, terms: Column) -> DataFrame:
-    vectors = vocab.transform(df, terms=terms)
-    filled = vectors.withColumn("perplexity", F.coalesce("perplexity", F.lit(0.0)))
-    assembler = VectorAssembler(inputCols=["tfidf", "perplexity", "burstiness"], outputCol="features")
-    return assembler.transform(filled).select("label", "features")
