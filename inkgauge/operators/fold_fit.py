@@ -58,7 +58,10 @@ def fold_table(vocabulary: pd.DataFrame, sizes: dict[str, int]) -> Folds:
 
 @dataclass
 class Block:
-    """Rows with their term counts as sparse rows; `fold` is the fold that holds the row out, or -1."""
+    """Rows with their term counts as sparse rows; `fold` is the fold that holds the row out, or -1.
+
+    If `ready` the entries are feature values instead of counts.
+    """
 
     fold: np.ndarray
     test: np.ndarray
@@ -67,9 +70,12 @@ class Block:
     start: np.ndarray
     terms: np.ndarray
     counts: np.ndarray
+    ready: bool = False
 
     def vectors(self, idf: np.ndarray) -> np.ndarray:
         """Entries of the normalised tf-idf vectors under the weights of one fold."""
+        if self.ready:
+            return self.counts
         value = self.counts * idf[self.terms]
         norm = np.sqrt(self.sums(value**2))
         return value / np.repeat(np.where(norm > 0, norm, 1.0), np.diff(self.start))
@@ -88,6 +94,20 @@ class Block:
         return entry, self.sums(entry * w[self.terms]) + self.stats @ w[-3:-1] + w[-1]
 
 
+def vector_blocks(rows: DataFrame, features: str, label: str, size: int = BLOCK) -> tuple[DataFrame, Folds]:
+    """Blocks of rows with ready vectors, stored, and the one fold that all of them train."""
+    vector = F.unwrap_udt(features)
+    dense = vector["type"] == 1
+    entries = F.when(dense, F.sequence(F.lit(0), F.size(vector["values"]) - 1)).otherwise(vector["indices"])
+    first = rows.select(F.when(dense, F.size(vector["values"])).otherwise(vector["size"]).alias("d")).first()
+    d = first["d"] if first else 0
+    plain = rows.select(
+        F.lit(-1).alias("fold"), F.lit(False).alias("test"), F.col(label).cast("double").alias("label"),
+        F.lit(0.0).alias("perplexity"), F.lit(0.0).alias("burstiness"), entries.alias("terms"), vector["values"].alias("counts"),
+    )
+    return _stored_blocks(plain, size, ready=True), Folds(["all"], [str(i) for i in range(d)], np.ones((1, d)))
+
+
 def blocks(rows: DataFrame, folds: Folds, by: str, terms: Column, size: int = BLOCK) -> DataFrame:
     """(block) of `rows` (by, split, label, perplexity, burstiness, ...), stored."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in folds.names]), F.col(by)).cast("int") - 1, F.lit(-1))
@@ -103,7 +123,10 @@ def blocks(rows: DataFrame, folds: Folds, by: str, terms: Column, size: int = BL
         F.col("_v.indices").alias("terms"),
         F.col("_v.values").alias("counts"),
     )
+    return _stored_blocks(plain, size, ready=False)
+
 
+def _stored_blocks(plain: DataFrame, size: int, ready: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
@@ -113,7 +136,7 @@ def blocks(rows: DataFrame, folds: Folds, by: str, terms: Column, size: int = BL
                 made = Block(
                     number("fold"), number("test").astype(bool), number("label"),
                     np.column_stack([number("perplexity"), number("burstiness")]), np.r_[0, np.cumsum(lengths)],
-                    part.column("terms").flatten().to_numpy(), part.column("counts").flatten().to_numpy(),
+                    part.column("terms").flatten().to_numpy(), part.column("counts").flatten().to_numpy(), ready,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(made))], pa.binary())], names=["block"])
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
-    LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -34,23 +36,19 @@ def fit_logistic(
     tol: float = 1e-6,
     features: str = "features",
     label: str = "label",
-    n: int | None = None,
 ) -> LogisticRegressionModel:
     """L2 logistic regression that minimises |w|^2/2 + c * sum(loss), intercept unpenalised.
 
-    Spark divides the loss by the number of rows `n`, hence the regularisation of 1/(c*n).
+    Raw perplexities are thousands of times larger than the other features, which the estimator of
+    Spark ML does not get over in 1000 steps; `fold_fit` scales each coefficient by its curvature.
     """
-    n = df.count() if n is None else n
-    return LogisticRegression(
-        featuresCol=features,
-        labelCol=label,
-        regParam=1.0 / (c * max(n, 1)),
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=True,
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(df)
+    rows, folds = fold_fit.vector_blocks(df, features, label)
+    fitted = fold_fit.fit_folds(rows, folds, c, tol, max_iter)
+    weights, sc = fitted.coefficients[0], df.sparkSession.sparkContext
+    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"LogisticRegression_{uuid.uuid4().hex[:12]}", _py2java(sc, Vectors.dense(weights[:-3])), float(weights[-1])
+    )
+    return LogisticRegressionModel(java).setFeaturesCol(features)
 
 
 def predict(model, df: DataFrame, pred: str = "pred", prob: str = "prob") -> DataFrame:
@@ -68,6 +66,56 @@ def coefficient_table(model: LogisticRegressionModel, vocab: tfidf.TfidfModel, l
     return like.sparkSession.createDataFrame(rows, "term string, coef double")
 
 
+def linear_scores(
+    df: DataFrame, model: LogisticRegressionModel, vocab: tfidf.TfidfModel, coefficients: DataFrame, key: str = "doc_id"
+) -> DataFrame:
+    """(key, label, z, prob) by sums over the sparse entries and the table (term, coef), without the model's code.
+
+    `model` gives the coefficients of both features and the intercept only.
+    """
+    *_, perplexity, burstiness = model.coefficients.toArray().tolist()
+    terms = score_linear(df, vocab.weights(df, key), coefficients, float(model.intercept), key).select(key, F.col("z").alias("_z"))
+    z = F.col("_z") + perplexity * F.coalesce("perplexity", F.lit(0.0)) + burstiness * F.coalesce("burstiness", F.lit(0.0))
+    return df.select(key, "label", "perplexity", "burstiness").join(terms, key).select(
+        key, "label", z.alias("z"), sigmoid(z).alias("prob")
+    )
+
+
+def logistic_residuals(
+    train: DataFrame,
+    model: LogisticRegressionModel,
+    vocab: tfidf.TfidfModel,
+    coefficients: DataFrame,
+    c: float = 1.0,
+    key: str = "doc_id",
+) -> DataFrame:
+    """(term, residual): how far each coefficient is from the optimum of `fit_logistic`, at least.
+
+    The gradient of |w|^2/2 + c * sum(loss) by coefficient, added up from the training rows, over the
+    root of a bound of its curvature. At the optimum all are zero. The two features and the intercept
+    are `(perplexity)`, `(burstiness)` and `(intercept)`.
+    """
+    *_, perplexity, burstiness = model.coefficients.toArray().tolist()
+    own = train.sparkSession.createDataFrame(
+        [("(perplexity)", perplexity, 1.0), ("(burstiness)", burstiness, 1.0), ("(intercept)", 0.0, 0.0)],
+        "term string, coef double, penalty double",
+    )
+    errors = linear_scores(train, model, vocab, coefficients, key).select(key, (F.col("prob") - F.col("label")).alias("_e"))
+    stats = F.array(
+        F.struct(F.lit("(perplexity)").alias("term"), F.coalesce("perplexity", F.lit(0.0)).alias("weight")),
+        F.struct(F.lit("(burstiness)").alias("term"), F.coalesce("burstiness", F.lit(0.0)).alias("weight")),
+        F.struct(F.lit("(intercept)").alias("term"), F.lit(1.0).alias("weight")),
+    )
+    entries = vocab.weights(train, key).unionByName(train.select(key, F.inline(stats)))
+    sums = entries.join(errors, key).groupBy("term").agg(
+        F.sum(F.col("weight") * F.col("_e")).alias("_g"), F.sum(F.col("weight") ** 2).alias("_h")
+    )
+    every = coefficients.select("term", "coef", F.lit(1.0).alias("penalty")).unionByName(own)
+    gradient = F.col("coef") + c * F.coalesce("_g", F.lit(0.0))
+    curvature = F.col("penalty") + c * F.coalesce("_h", F.lit(0.0)) / 4
+    return every.join(sums, "term", "left").select("term", (gradient / F.sqrt(curvature)).alias("residual"))
+
+
 def score_linear(
     docs: DataFrame, weights: DataFrame, coefficients: DataFrame, intercept: float, key: str = "doc_id"
 ) -> DataFrame:
@@ -109,6 +157,33 @@ def fit_hybrid(
     ).fit(df)
 
 
+def network_layers(model: MultilayerPerceptronClassificationModel) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per layer the matrix (inputs x outputs) and the bias of a fitted network."""
+    weights, sizes, out, at = model.weights.toArray(), model.getLayers(), [], 0
+    for n_in, n_out in zip(sizes, sizes[1:]):
+        w = weights[at : at + n_in * n_out].reshape(n_in, n_out)
+        at += n_in * n_out
+        out.append((w, weights[at : at + n_out]))
+        at += n_out
+    return out
+
+
+def network_probability(df: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], output: str = "prob") -> DataFrame:
+    """Adds the probability of class 1 by matrix products on `features`, without the model's code."""
+
+    @F.pandas_udf(ST.DoubleType())
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, len(layers[0][0])))
+            for i, (w, b) in enumerate(layers):
+                x = x @ w + b
+                if i < len(layers) - 1:
+                    x = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+            yield pd.Series(1 / (1 + np.exp(np.clip(x[:, 0] - x[:, 1], -700, 700))))
+
+    return df.withColumn(output, probability(vector_to_array("features")))
+
+
 @dataclass(frozen=True)
 class MlpHead:
     """Weights of a feed-forward head: per layer a matrix (inputs x outputs) and a bias."""

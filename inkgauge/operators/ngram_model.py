@@ -177,20 +177,26 @@ def new_text_perplexity(
 ) -> DataFrame:
     """Like `crossfit_perplexity` for texts outside the corpus of `model`.
 
-    Their pairs may be unseen, so each count table is joined on its own and a missing count is 0.
+    Each different pair of the new texts is looked up once: its counts are attached to the table of
+    pairs, where a missing count is 0, and the texts' rows meet that table in one join. The count
+    tables of a saved model are bucketed, so they are read in place and only the pairs move.
     """
-    rows = _document_pairs(df.withColumn("fold", F.lit(None).cast("int")), key, text, max_tokens)
-    # hot keys are those of the new texts, whatever the corpus looks like
+    rows = stored(_document_pairs(df.withColumn("fold", F.lit(None).cast("int")), key, text, max_tokens), "new-rows")
     pairs = stored(rows.groupBy("prev", "term").agg(F.count("*").alias("rows")), "new-pairs")
-    total = pairs.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-
-    def heavy(keys: list[str]) -> DataFrame:
-        return heavy_keys(pairs.groupBy(*keys).agg(F.sum("rows").alias("rows")), keys, "rows", total)
-
-    heavy_pair, heavy_prev, heavy_term = heavy(["prev", "term"]), heavy(["prev"]), heavy(["term"])
-    rows = salted_join(rows, model.bigrams, ["prev", "term"], heavy_pair, [key], "left")
-    rows = salted_join(rows, model.prefixes, ["prev"], heavy_prev, [key], "left")
-    rows = salted_join(rows, model.unigrams, ["term"], heavy_term, [key], "left")
+    # hot keys are those of the new texts, whatever the corpus looks like
+    sizes = pairs.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("pairs")).first()
+
+    def wide(by: str) -> DataFrame:
+        return heavy_keys(pairs.groupBy(by).agg(F.count("*").alias("n")), [by], "n", sizes["pairs"])
+
+    heavy_pair = heavy_keys(pairs, ["prev", "term"], "rows", sizes["rows"])
+    table = pairs.drop("rows").join(model.bigrams, ["prev", "term"], "left")
+    # of the word counts only those of words in the new texts go on
+    for words, by, other in ((model.prefixes, "prev", "term"), (model.unigrams, "term", "prev")):
+        known = pairs.select(by).distinct().join(words, by)
+        table = salted_join(table, known, [by], wide(by), [other], "left")
+    table = stored(table, "new-counts")
+    rows = salted_join(rows, table, ["prev", "term"], heavy_pair, [key])
     return _perplexities(rows, key, model, interpolation)
 
 

@@ -269,6 +269,16 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "grams": (f"SELECT doc_id, {ngrams('k')} AS g FROM terms", ("terms",)),
     "tf": ("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM grams) GROUP BY ALL", ("grams",)),
     "stats": ("SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM tf GROUP BY term", ("tf",)),
+    "train_stats": (
+        "SELECT term, sum(tf)::BIGINT AS total FROM tf JOIN split USING (doc_id) WHERE split = 'train' GROUP BY term",
+        ("tf", "split"),
+    ),
+    "dataset_split": (
+        "SELECT *, CASE WHEN 100 * r < 70 * n THEN 'train' WHEN 100 * r < 85 * n THEN 'val' ELSE 'test' END AS split FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hashed('split', 'row_id')}, row_id) - 1 AS r, "
+        "count(*) OVER (PARTITION BY label) AS n FROM (SELECT *, source_rank || ':' || doc_id || ':' || turn AS row_id FROM dataset))",
+        ("dataset",),
+    ),
     "vocab": ("SELECT *, ln((1.0 + (SELECT count(*) FROM clean)) / (1.0 + df)) + 1 AS idf FROM (SELECT * FROM stats ORDER BY total DESC, term LIMIT 10000)", ("stats", "clean")),
     "weighted": ("SELECT t.doc_id, t.term, t.tf * v.idf AS w FROM tf t JOIN vocab v USING (term)", ("tf", "vocab")),
     "weights": ("SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM weighted", ("weighted",)),

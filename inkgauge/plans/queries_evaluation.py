@@ -227,11 +227,23 @@ def held_out_vocab(v: Views) -> DataFrame:
     return tfidf.held_out_vocab(tfidf.term_stats(v.clean(), ["lang"]), "lang")
 
 
-@query("source_held_out")
+@query(
+    "source_held_out",
+    O.with_views(
+        """SELECT held_out_source, train_samples, test_samples, CASE WHEN classes > 1 THEN 'ok' ELSE 'single_class' END AS status,
+  CASE WHEN classes > 1 THEN true END AS optimal
+FROM (SELECT t.source AS held_out_source, count(p.row_id) AS train_samples, any_value(t.n) AS test_samples, count(DISTINCT p.label) AS classes
+  FROM (SELECT source, count(*) AS n FROM dataset_split WHERE split = 'test' GROUP BY source) t
+  LEFT JOIN dataset_split p ON p.split <> 'test' AND p.source <> t.source GROUP BY t.source) WHERE train_samples > 0""",
+        "dataset_split",
+    ),
+)
 def source_held_out(v: Views) -> DataFrame:
-    """Baseline refitted without each source of the whole data set, then tested on that source."""
+    """Baseline refitted without each source of the whole data set: sizes, and whether every fit is optimal."""
     rows = splits.stratified_split(v.dataset_feats(), key="row_id")
-    return models.source_held_out(rows, "source")
+    out = models.source_held_out(rows, "source")
+    optimal = (F.col("residual") <= 1e-6).alias("optimal")
+    return out.select("held_out_source", "train_samples", "test_samples", "status", optimal)
 
 
 # edited texts

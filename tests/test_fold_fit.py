@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -57,11 +58,15 @@ def test_folds_equal_single_fits(spark):
         # Spark's own fit of the same fold
         train, test = splits.holdout_rows(df, source)
         vocab = tfidf.fit(train, 40)
-        model = models.fit_logistic(features(train, vocab), tol=1e-14, max_iter=5000)
+        ready = features(train, vocab)
+        spark_ml = LogisticRegression(regParam=1 / ready.count(), standardization=False, tol=1e-14, maxIter=5000)
+        model = spark_ml.fit(ready)
         theirs = dict(zip([*vocab.terms, "perplexity", "burstiness"], model.coefficients.toArray()))
         assert {t for t in mine if t != "intercept"} == set(theirs)
         assert max(abs(mine[t] - theirs[t]) for t in theirs) < 1e-4
         assert mine["intercept"] == pytest.approx(model.intercept, abs=1e-3)
+        own = models.fit_logistic(ready, tol=1e-9)
+        assert np.abs(own.coefficients.toArray() - model.coefficients.toArray()).max() < 1e-4
         m = metrics.binary_metrics(models.predict(model, features(test, vocab))).first()
         tn, fp, fn, tp = counts[i]
         assert (tn + tp) / counts[i].sum() == pytest.approx(m.accuracy)
