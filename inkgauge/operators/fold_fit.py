@@ -143,10 +143,10 @@ def _stored_blocks(plain: DataFrame, size: int, ready: bool) -> DataFrame:
     return stored(plain.mapInArrow(run, "block binary"), "fold-blocks")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _unpacked(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator:
     for batch in batches:
         for cell in batch.column("block"):
-            yield Block(**pickle.loads(cell.as_py()))
+            yield kind(**pickle.loads(cell.as_py()))
 
 
 def _tree_sum(partial: DataFrame, partitions: int) -> np.ndarray:
@@ -165,7 +165,9 @@ def _tree_sum(partial: DataFrame, partitions: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(v) for _, v in found]) if found else np.empty(0)
 
 
-def _sum_over_blocks(table: DataFrame, shared, add: Callable[[Block, object, np.ndarray], None], cells: int) -> np.ndarray:
+def sum_over_blocks(
+    table: DataFrame, shared, add: Callable[[object, object, np.ndarray], None], cells: int, kind: type = Block
+) -> np.ndarray:
     """`add(block, shared, total)` for every block, totals of all tasks added up; `shared` goes to every task."""
     sc = table.sparkSession.sparkContext
     sent = sc.broadcast(shared)  # at most MAX_CELLS numbers, see `fit_folds`
@@ -174,7 +176,7 @@ def _sum_over_blocks(table: DataFrame, shared, add: Callable[[Block, object, np.
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), np.zeros(cells)
-        for block in _unpacked(batches):
+        for block in _unpacked(batches, kind):
             add(block, sent.value, total)
         for i, lo in enumerate(range(0, cells, SLICE)):
             arrays = [pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([total[lo : lo + SLICE].tobytes()])]
@@ -206,7 +208,7 @@ def losses(table: DataFrame, folds: Folds, points: np.ndarray, active: np.ndarra
             gradient[i, -1] += residual.sum()
 
     on = np.flatnonzero(active)
-    total = _sum_over_blocks(table, (idf[on], points[on], on), add, len(on) * (d + 1))
+    total = sum_over_blocks(table, (idf[on], points[on], on), add, len(on) * (d + 1))
     loss, gradient = np.full(len(active), np.nan), np.full(points.shape, np.nan)
     w = points[on].copy()
     w[:, -1] = 0.0  # the intercept is not penalised
@@ -227,7 +229,7 @@ def curvatures(table: DataFrame, folds: Folds, c: float) -> np.ndarray:
             squares[f, -3:-1] += use @ block.stats**2
             squares[f, -1] += use.sum()
 
-    squares = _sum_over_blocks(table, folds.idf, add, len(folds.names) * d).reshape(len(folds.names), d)
+    squares = sum_over_blocks(table, folds.idf, add, len(folds.names) * d).reshape(len(folds.names), d)
     bound = c * squares / 4
     bound[:, :-1] += 1.0
     return np.maximum(bound, 1e-12)
@@ -335,5 +337,5 @@ def held_out_counts(table: DataFrame, fitted: Fitted) -> np.ndarray:
             positive = block.scores(idf[f], w[f])[1] > 0
             total[4 * f : 4 * f + 4] += np.bincount((2 * block.label + positive)[use].astype(int), minlength=4)
 
-    found = _sum_over_blocks(table, (folds.idf, fitted.coefficients), add, 4 * len(folds.names))
+    found = sum_over_blocks(table, (folds.idf, fitted.coefficients), add, 4 * len(folds.names))
     return found.reshape(-1, 4)

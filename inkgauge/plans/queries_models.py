@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions.columns import portable_hash
-from inkgauge.operators import metrics, models, splits, tfidf
+from inkgauge.operators import epochs, metrics, models, splits, tfidf
 from inkgauge.operators.challenge import build_challenge
 from inkgauge.plans import oracle_parts as O
 from inkgauge.plans.registry import query
@@ -148,6 +148,28 @@ def fit_hybrid(v: Views) -> DataFrame:
     return both.select("doc_id", "label", same.alias("same"))
 
 
+EPOCHS = 4
+
+
+@query(
+    "training_history",
+    O.with_views(
+        f"""SELECT 'hybrid' AS run, epoch::INTEGER AS epoch, count(*) FILTER (split = 'train') AS train_samples,
+  count(*) FILTER (split = 'val') AS val_samples, true AS recomputed FROM split, range(1, {EPOCHS + 1}) e(epoch) GROUP BY epoch""",
+        "split",
+    ),
+)
+def training_history(v: Views) -> DataFrame:
+    """Four epochs of the hybrid head, the run broken off after two; figures recomputed from the saved weights."""
+    rows = stored(models.hybrid_vector(splits.stratified_split(_with_vectors(v)), dimensions=64), "epoch-rows")
+    network, path = epochs.Network((66, 16, 2)), work_path(v.spark, "run")
+    table = epochs.mini_batches(rows, 4, "doc_id")
+    for last in (EPOCHS // 2, EPOCHS):
+        epochs.train(table, network, path, epochs=last)
+    told = epochs.recomputed_history(rows, network, path)
+    return told.select("run", "epoch", "train_samples", "val_samples", "recomputed")
+
+
 _HEAD = (64, 8, 4, 2)
 
 
