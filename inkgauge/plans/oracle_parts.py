@@ -282,6 +282,36 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "vocab": ("SELECT *, ln((1.0 + (SELECT count(*) FROM clean)) / (1.0 + df)) + 1 AS idf FROM (SELECT * FROM stats ORDER BY total DESC, term LIMIT 10000)", ("stats", "clean")),
     "weighted": ("SELECT t.doc_id, t.term, t.tf * v.idf AS w FROM tf t JOIN vocab v USING (term)", ("tf", "vocab")),
     "weights": ("SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM weighted", ("weighted",)),
+    # all documents, labelled or not
+    "every_cleaned": (f"SELECT doc_id, {clean('text')} AS text, source, lang FROM documents", ()),
+    "every": (
+        "SELECT doc_id, text, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn "
+        "FROM every_cleaned WHERE length(text) > 20) WHERE rn = 1",
+        ("every_cleaned",),
+    ),
+    **perplexity_of("every", "eppl"),
+    **_stats_over("every", "every"),
+    "every_feats": (
+        "SELECT c.*, p.perplexity, ln(1 + coalesce(p.perplexity, 0)) / 5 AS perp_scaled, burstiness / 5 AS burst_scaled "
+        "FROM every_style c LEFT JOIN eppl p USING (doc_id)",
+        ("every_style", "eppl"),
+    ),
+    "every_tf": (
+        "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM "
+        f"(SELECT doc_id, {ngrams('k')} AS g FROM (SELECT doc_id, {kept('text')} AS k FROM every))) GROUP BY ALL",
+        ("every",),
+    ),
+    "every_stats": (
+        "SELECT term, total, df, ln((1.0 + (SELECT count(*) FROM every)) / (1.0 + df)) + 1 AS idf "
+        "FROM (SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM every_tf GROUP BY term)",
+        ("every_tf", "every"),
+    ),
+    "every_vocab": ("SELECT * FROM every_stats ORDER BY total DESC, term LIMIT 10000", ("every_stats",)),
+    "every_weights": (
+        "SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight "
+        "FROM (SELECT t.doc_id, t.term, t.tf * v.idf AS w FROM every_tf t JOIN every_vocab v USING (term))",
+        ("every_tf", "every_vocab"),
+    ),
     "ai": ("SELECT * FROM pred WHERE label = 1", ("pred",)),
     **edit_ctes("ai", "edit"),
     "challenge_text": (

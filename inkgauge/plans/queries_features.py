@@ -18,30 +18,30 @@ ROUND = 6
 PPL_ROUND = 3
 
 
-@query("perplexity", O.with_views("SELECT doc_id, round(perplexity, 3) AS perplexity FROM feats", "feats"))
+@query("perplexity", O.with_views("SELECT doc_id, round(perplexity, 3) AS perplexity FROM every_feats", "every_feats"))
 def perplexity(v: Views) -> DataFrame:
-    return v.feats().select("doc_id", F.round("perplexity", PPL_ROUND).alias("perplexity"))
+    return v.every_feats().select("doc_id", F.round("perplexity", PPL_ROUND).alias("perplexity"))
 
 
-@query("lm_unigram_counts", O.with_views("SELECT fold::INTEGER AS fold, term, n FROM ppl_uni", "ppl_uni"))
+@query("lm_unigram_counts", O.with_views("SELECT fold::INTEGER AS fold, term, n FROM eppl_uni", "eppl_uni"))
 def lm_unigram_counts(v: Views) -> DataFrame:
-    return ngram_model.unigram_counts(ngram_model.assign_fold(v.clean()))
+    return ngram_model.unigram_counts(ngram_model.assign_fold(v.every()))
 
 
-@query("lm_bigram_counts", O.with_views("SELECT fold::INTEGER AS fold, prev, term, n FROM ppl_bi", "ppl_bi"))
+@query("lm_bigram_counts", O.with_views("SELECT fold::INTEGER AS fold, prev, term, n FROM eppl_bi", "eppl_bi"))
 def lm_bigram_counts(v: Views) -> DataFrame:
-    return ngram_model.bigram_counts(ngram_model.assign_fold(v.clean()))
+    return ngram_model.bigram_counts(ngram_model.assign_fold(v.every()))
 
 
 @query(
     "lm_crossfit_score",
     O.with_views(
-        "SELECT doc_id, round(unigram_perplexity, 3) AS unigram_perplexity, round(perplexity, 3) AS perplexity FROM ppl",
-        "ppl",
+        "SELECT doc_id, round(unigram_perplexity, 3) AS unigram_perplexity, round(perplexity, 3) AS perplexity FROM eppl",
+        "eppl",
     ),
 )
 def lm_crossfit_score(v: Views) -> DataFrame:
-    scores = ngram_model.crossfit_perplexity(ngram_model.assign_fold(v.clean()), model=v.language_model())
+    scores = ngram_model.crossfit_perplexity(ngram_model.assign_fold(v.every()), model=v.every_model())
     return scores.withColumns(
         {c: F.round(c, PPL_ROUND) for c in ("unigram_perplexity", "perplexity")}
     )
@@ -62,30 +62,30 @@ def new_text_perplexity(v: Views) -> DataFrame:
 
 @query(
     "skip_perplexity",
-    O.with_views("SELECT doc_id, 0.0::DOUBLE AS perplexity, round(burstiness, 6) AS burstiness FROM clean_style", "clean_style"),
+    O.with_views("SELECT doc_id, 0.0::DOUBLE AS perplexity, round(burstiness, 6) AS burstiness FROM every_style", "every_style"),
 )
 def skip_perplexity(v: Views) -> DataFrame:
-    return style.skip_perplexity(style.add_sentence_features(v.clean())).select(
+    return style.skip_perplexity(style.add_sentence_features(v.every())).select(
         "doc_id", "perplexity", F.round("burstiness", ROUND).alias("burstiness")
     )
 
 
 @query(
     "scaled_stats",
-    O.with_views("SELECT doc_id, round(perp_scaled, 6) AS perp_scaled, round(burst_scaled, 6) AS burst_scaled FROM feats", "feats"),
+    O.with_views("SELECT doc_id, round(perp_scaled, 6) AS perp_scaled, round(burst_scaled, 6) AS burst_scaled FROM every_feats", "every_feats"),
 )
 def scaled_stats(v: Views) -> DataFrame:
-    return v.feats().select(
+    return v.every_feats().select(
         "doc_id", F.round("perp_scaled", ROUND).alias("perp_scaled"), F.round("burst_scaled", ROUND).alias("burst_scaled")
     )
 
 
 @query(
     "feature_means",
-    O.with_views("SELECT round(avg(perplexity), 3) AS mean_perplexity, round(avg(burstiness), 6) AS mean_burstiness FROM feats", "feats"),
+    O.with_views("SELECT round(avg(perplexity), 3) AS mean_perplexity, round(avg(burstiness), 6) AS mean_burstiness FROM every_feats", "every_feats"),
 )
 def feature_means(v: Views) -> DataFrame:
-    means = style.feature_means(v.feats())
+    means = style.feature_means(v.every_feats())
     return means.select(
         F.round("mean_perplexity", PPL_ROUND).alias("mean_perplexity"),
         F.round("mean_burstiness", ROUND).alias("mean_burstiness"),
@@ -95,32 +95,32 @@ def feature_means(v: Views) -> DataFrame:
 # TF-IDF
 
 
-@query("term_doc_counts", O.with_views("SELECT doc_id, term, tf FROM tf", "tf"))
+@query("term_doc_counts", O.with_views("SELECT doc_id, term, tf FROM every_tf", "every_tf"))
 def term_doc_counts(v: Views) -> DataFrame:
-    return tfidf.term_doc_counts(v.clean())
+    return tfidf.term_doc_counts(v.every())
 
 
-@query("vocabulary", O.with_views("SELECT term, total, df FROM vocab", "vocab"))
+@query("vocabulary", O.with_views("SELECT term, total, df FROM every_vocab", "every_vocab"))
 def vocabulary(v: Views) -> DataFrame:
-    return tfidf.vocabulary(tfidf.term_stats(v.clean()))
+    return tfidf.vocabulary(tfidf.term_stats(v.every()))
 
 
 @query(
     "idf",
     O.with_views(
-        "SELECT term, df, round(ln((1.0 + (SELECT count(*) FROM clean)) / (1.0 + df)) + 1, 6) AS idf FROM stats", "stats", "clean"
+        "SELECT term, df, round(idf, 6) AS idf FROM every_stats", "every_stats"
     ),
 )
 def idf(v: Views) -> DataFrame:
-    clean = v.clean()
-    weighted = tfidf.idf(tfidf.term_stats(clean), clean.count())
+    texts = v.every()
+    weighted = tfidf.idf(tfidf.term_stats(texts), texts.count())
     return weighted.select("term", "df", F.round("idf", ROUND).alias("idf"))
 
 
-@query("tfidf_fit_transform", O.with_views("SELECT doc_id, term, round(weight, 6) AS weight FROM weights", "weights"))
+@query("tfidf_fit_transform", O.with_views("SELECT doc_id, term, round(weight, 6) AS weight FROM every_weights", "every_weights"))
 def tfidf_fit_transform(v: Views) -> DataFrame:
-    clean = v.clean()
-    return tfidf.fit(clean).weights(clean).withColumn("weight", F.round("weight", ROUND))
+    texts = v.every()
+    return tfidf.fit(texts).weights(texts).withColumn("weight", F.round("weight", ROUND))
 
 
 _TRAIN_VOCAB = {

@@ -53,6 +53,18 @@ class Views:
     def clean(self) -> DataFrame:
         return self._once("clean", lambda: stored(cleaning.clean_corpus(self.base(), ["doc_id"]), "clean"))
 
+    def every(self) -> DataFrame:
+        """All documents, labelled or not, cleaned."""
+        documents = self.table("documents").select("doc_id", "text", "source", "lang")
+        return self._once("every", lambda: stored(cleaning.clean_corpus(documents, ["doc_id"]), "every"))
+
+    def every_model(self) -> ngram_model.NgramModel:
+        """N-gram counts of all cleaned documents."""
+        return self._once("every-model", lambda: ngram_model.fit(ngram_model.assign_fold(self.every())))
+
+    def every_feats(self) -> DataFrame:
+        return self._once("every-feats", lambda: stored(add_features(self.every(), model=self.every_model()), "every-feats"))
+
     def language_model(self) -> ngram_model.NgramModel:
         """N-gram counts of the cleaned corpus, saved and loaded again."""
         return sinks.load_ngram(self.spark, self.language_model_path())
