@@ -181,7 +181,9 @@ def new_text_perplexity(
     pairs, where a missing count is 0, and the texts' rows meet that table in one join. The count
     tables of a saved model are bucketed, so they are read in place and only the pairs move.
     """
-    rows = stored(_document_pairs(df.withColumn("fold", F.lit(None).cast("int")), key, text, max_tokens), "new-rows")
+    # counting inside the row costs more here than the few repeated pairs of a document
+    exploded = df.select(key, F.explode(T.pairs(T.lm_tokens(F.col(text), max_tokens))).alias("_p"))
+    rows = stored(exploded.select(key, "_p.prev", "_p.term"), "new-rows")
     pairs = stored(rows.groupBy("prev", "term").agg(F.count("*").alias("rows")), "new-pairs")
     # hot keys are those of the new texts, whatever the corpus looks like
     sizes = pairs.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("pairs")).first()
@@ -197,7 +199,8 @@ def new_text_perplexity(
         table = salted_join(table, known, [by], wide(by), [other], "left")
     table = stored(table, "new-counts")
     rows = salted_join(rows, table, ["prev", "term"], heavy_pair, [key])
-    return _perplexities(rows, key, model, interpolation)
+    alone = {"n": F.lit(1).cast("long"), "fold": F.lit(None).cast("int")}
+    return _perplexities(rows.withColumns(alone), key, model, interpolation)
 
 
 def add_perplexity(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
