@@ -23,7 +23,7 @@ from inkgauge.functions.columns import portable_hash
 from inkgauge.operators import fold_fit
 from inkgauge.operators.metrics import select_best_epoch
 from inkgauge.operators.splits import SEED
-from inkgauge.session import work_path
+from inkgauge.session import ship, work_path
 
 HISTORY = "run string, epoch int, train_samples long, val_samples long, train_loss double, val_loss double, val_accuracy double, val_f1 double"
 VALIDATION = -1  # the mini-batch number of validation rows
@@ -105,6 +105,7 @@ def mini_batches(rows: DataFrame, batches: int, key: str, features: str = "featu
                 made = pickle.dumps(Rows(x[slots == s], y[slots == s]).__dict__)
                 yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary()), pa.array([s], pa.int32())], names=["block", "slot"])
 
+    ship(rows.sparkSession)
     path = work_path(rows.sparkSession, "mini-batches")
     plain.mapInArrow(run, "block binary, slot int").write.partitionBy("slot").parquet(path)
     return rows.sparkSession.read.schema("block binary, slot int").parquet(path)

@@ -21,7 +21,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.session import stored
+from inkgauge.session import ship, stored
 
 MAX_CELLS = 1 << 24  # coefficients of all folds together; they go to every task
 BLOCK = 2048  # rows of a block
@@ -127,6 +127,8 @@ def blocks(rows: DataFrame, folds: Folds, by: str, terms: Column, size: int = BL
 
 
 def _stored_blocks(plain: DataFrame, size: int, ready: bool) -> DataFrame:
+    ship(plain.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
@@ -169,6 +171,7 @@ def sum_over_blocks(
     table: DataFrame, shared, add: Callable[[object, object, np.ndarray], None], cells: int, kind: type = Block
 ) -> np.ndarray:
     """`add(block, shared, total)` for every block, totals of all tasks added up; `shared` goes to every task."""
+    ship(table.sparkSession)
     sc = table.sparkSession.sparkContext
     sent = sc.broadcast(shared)  # at most MAX_CELLS numbers, see `fit_folds`
 

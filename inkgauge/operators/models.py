@@ -23,7 +23,7 @@ from pyspark.sql import types as ST
 
 from inkgauge.functions.columns import sigmoid
 from inkgauge.operators import fold_fit, splits, tfidf
-from inkgauge.session import stored
+from inkgauge.session import ship, stored
 
 MAX_FOLDS = 10_000
 BROADCAST_TERMS = 100_000  # most rows of a coefficient table that is sent to every task
@@ -170,6 +170,7 @@ def network_layers(model: MultilayerPerceptronClassificationModel) -> list[tuple
 
 def network_probability(df: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]], output: str = "prob") -> DataFrame:
     """Adds the probability of class 1 by matrix products on `features`, without the model's code."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(ST.DoubleType())
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -200,6 +201,7 @@ class MlpHead:
 
 def mlp_head_forward(df: DataFrame, head: MlpHead, inputs: Column, output: str = "logits") -> DataFrame:
     """Adds the logits of a linear-ReLU-...-linear head, one matrix product per Arrow batch."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(ST.ArrayType(ST.DoubleType()))
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -243,6 +245,7 @@ def score_with(
     `load` is called once per task and returns the function that scores a batch of `columns`;
     its result must have `schema`. `batch_size` splits larger Arrow batches for the model.
     """
+    ship(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = load()
