@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,7 +19,7 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -257,6 +259,46 @@ def score_with(
     return df.select(*columns).mapInPandas(run, schema)
 
 
+_heads: dict[str, MlpHead] = {}  # of this worker, by digest
+
+
+def head_digest(head: MlpHead) -> str:
+    """Digest of shapes and weights: the version of a head."""
+    digest = hashlib.sha256()
+    for w, b in head.layers:
+        digest.update(f"{w.shape}".encode() + np.ascontiguousarray(w, float).tobytes() + np.asarray(b, float).tobytes())
+    return digest.hexdigest()
+
+
+def head_loader(
+    spark: SparkSession, head: MlpHead, key: str, vector: str = "embedding"
+) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    """For `score_with`: (key, z0, z1, model) of a head with two outputs; `model` is its digest.
+
+    The weights go to the executors once and are unpacked once per worker and version, however many
+    tasks the worker runs. A row without a vector has null logits.
+    """
+    digest, sent = head_digest(head), spark.sparkContext.broadcast(pickle.dumps(head.layers))
+
+    def load() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        from inkgauge.operators import models
+
+        if digest not in models._heads:
+            models._heads[digest] = models.MlpHead(pickle.loads(sent.value))
+        own = models._heads[digest]
+
+        def score(batch: pd.DataFrame) -> pd.DataFrame:
+            logits, known = np.full((len(batch), 2), np.nan), batch[vector].notna().to_numpy()
+            if known.any():
+                logits[known] = own.forward(np.stack(batch[vector][known].to_numpy()).astype(float))
+            cells = [pd.array([None if np.isnan(z) else z for z in logits[:, i]], dtype="Float64") for i in (0, 1)]
+            return pd.DataFrame({key: batch[key], "z0": cells[0], "z1": cells[1], "model": digest})
+
+        return score
+
+    return load
+
+
 def score_dataframe(df: DataFrame, model, vocab: tfidf.TfidfModel) -> DataFrame:
     """Apply a saved baseline to any table with text, perplexity and burstiness."""
     return predict(model, tfidf.assemble_features(df, vocab)).drop("features", "tfidf")

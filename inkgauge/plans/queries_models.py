@@ -265,3 +265,19 @@ def score_with(v: Views) -> DataFrame:
     return models.score_with(
         v.table("documents"), _text_lengths, ["doc_id", "text"], "doc_id long, n_chars long, n_spaces long", batch_size=16
     )
+
+
+@query(
+    "score_with_saved_head",
+    f"SELECT vec_id, round(x[1], 6) AS z0, round(x[2], 6) AS z1, true AS same_version FROM ({_LOGITS})",
+)
+def score_with_saved_head(v: Views) -> DataFrame:
+    """A network head, saved and loaded again, over all vectors; the digest says that it is that version."""
+    path = work_path(v.spark, "head")
+    sinks.save_head(_head(), v.spark, path)
+    head = sinks.load_head(v.spark, path)
+    load = models.head_loader(v.spark, head, "vec_id")
+    schema = "vec_id long, z0 double, z1 double, model string"
+    out = models.score_with(v.table("embeddings"), load, ["vec_id", "embedding"], schema)
+    logits = [F.round(c, ROUND).alias(c) for c in ("z0", "z1")]
+    return out.select("vec_id", *logits, (F.col("model") == models.head_digest(_head())).alias("same_version"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.operators.models import coefficient_table
+from inkgauge.operators.models import MlpHead, coefficient_table
 from inkgauge.operators.ngram_model import NgramModel
 from inkgauge.operators.tfidf import TfidfModel
 
@@ -100,6 +101,19 @@ def load_ngram(spark: SparkSession, path: str) -> NgramModel:
     return NgramModel(*tables, totals["distinct_pairs"], list(totals["tokens_by_fold"]), totals["vocabulary"])
 
 
+def save_head(head: MlpHead, spark: SparkSession, path: str) -> None:
+    """The layers of a head as a table."""
+    rows = [(i, *w.shape, w.ravel().tolist(), np.asarray(b).tolist()) for i, (w, b) in enumerate(head.layers)]
+    schema = "layer int, inputs int, outputs int, weights array<double>, bias array<double>"
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
+
+
+def load_head(spark: SparkSession, path: str) -> MlpHead:
+    """The saved head; a missing one is an error."""
+    rows = spark.read.parquet(path).orderBy("layer").collect()
+    return MlpHead([(np.array(r["weights"]).reshape(r["inputs"], r["outputs"]), np.array(r["bias"])) for r in rows])
+
+
 def save_hybrid(model: MultilayerPerceptronClassificationModel, path: str) -> None:
     model.write().overwrite().save(path)
 
