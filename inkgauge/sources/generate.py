@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgauge.functions.columns import let, pick, portable_hash
@@ -97,3 +99,61 @@ def generate_templates(
     if available < n:
         raise ValueError(f"{n} texts asked for, the templates gave {available} distinct ones")
     return sample_n(out, n, key, options.get("seed", SEED))
+
+
+def _choices(template: str, fillers: dict[str, list[str]]) -> list[str]:
+    """Slots of a template that have fillers, each once."""
+    return [slot for slot in dict.fromkeys(_SLOT.findall(template)) if slot in fillers]
+
+
+def combinations(templates: list[tuple[int, str]] | None = None, fillers: dict[str, list[str]] | None = None) -> int:
+    """How many filled templates there are."""
+    templates = TEMPLATES if templates is None else templates
+    fillers = FILLERS if fillers is None else fillers
+    return sum(math.prod(len(fillers[slot]) for slot in _choices(t, fillers)) for _, t in templates)
+
+
+def generate_exact(
+    spark: SparkSession,
+    n: int,
+    name: str = "custom_synthetic",
+    key: str = "doc_id",
+    templates: list[tuple[int, str]] | None = None,
+    fillers: dict[str, list[str]] | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """(key, text, label, source): exactly `n` different combinations of template and fillers, for any
+    `n` up to their number.
+
+    The combinations are numbered. Row i gets the number that a keyed permutation gives to i, and the
+    template and fillers that have this number, so nothing is drawn twice or rejected and the rows do
+    not depend on the partitioning. Different combinations are different texts unless a template with
+    its fillers spells another one. Each slot is one more nested expression; Spark resolves about a dozen.
+    """
+    templates = TEMPLATES if templates is None else templates
+    fillers = FILLERS if fillers is None else fillers
+    total = combinations(templates, fillers)
+    if n > total:
+        raise ValueError(f"{n} texts asked for, there are {total} combinations")
+    if total >= 1 << 62:
+        raise ValueError(f"{total} combinations are too many to number")
+    rng = random.Random(seed)
+    factor = next(f for f in iter(lambda: rng.randrange(max(total, 1)) | 1, None) if math.gcd(f, max(total, 1)) == 1)
+    shift = rng.randrange(max(total, 1))
+    wide = "decimal(19,0)"
+    product = F.col(key).cast(wide) * F.lit(factor).cast(wide) + F.lit(shift).cast(wide)
+    rows = spark.range(n).withColumnRenamed("id", key)
+    rows = rows.withColumn("_code", (product % F.lit(max(total, 1)).cast(wide)).cast("long"))
+    text, label, first = F.lit(None).cast("string"), F.lit(None).cast("int"), 0
+    for own_label, template in templates:
+        slots = _choices(template, fillers)
+        size = math.prod(len(fillers[slot]) for slot in slots)
+        here = (F.col("_code") >= first) & (F.col("_code") < first + size)
+        filled, left = F.lit(template), F.col("_code") - first
+        for slot in slots:
+            options = F.array(*[F.lit(o) for o in fillers[slot]])
+            digit = F.pmod(left, F.lit(len(fillers[slot]))).cast("int")
+            filled = _replace_first(filled, "{" + slot + "}", F.get(options, digit))
+            left = F.call_function("div", left, F.lit(len(fillers[slot])))
+        text, label, first = F.when(here, filled).otherwise(text), F.when(here, own_label).otherwise(label), first + size
+    return rows.select(key, text.alias("text"), label.alias("label"), F.lit(name).alias("source"))
