@@ -2,7 +2,8 @@
 
 Two first-order Markov models over characters are trained from labelled samples of the corpus:
 what the fixed patterns find counts as random strings, other long words as ordinary identifiers. A
-token is reported if the models' log-likelihood ratio speaks for a random string.
+token is reported if the models' log-likelihood ratio speaks for a random string, also where a
+fixed pattern finds only a part of it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/=-])[A-Za-z_]{8,}[0-9]{0,4}(?![A-Za-z0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 N = len(ALPHABET) + 1  # and the edge of a string
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
-SAMPLE_ROWS = 50_000  # documents the models are trained from, at most about so many
 LEAST_RATIO = 12.0  # nats for a random string
 
 
@@ -68,6 +68,26 @@ def _outside(matches: list[re.Match], taken: list[tuple[int, int, str, str]]) ->
     return out
 
 
+def _not_held(matches: list[re.Match], taken: list[tuple[int, int, str, str]]) -> list[re.Match]:
+    """The matches that reach out of every span they touch, and touch no `assign` span.
+
+    An assigned value has every character of a token, so it always holds the token's end.
+    """
+    out, i = [], 0
+    taken = sorted(taken)
+    for m in matches:
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        held, j = False, i
+        while j < len(taken) and taken[j][0] < m.end():
+            start, end, kind, _ = taken[j]
+            held |= end > m.start() and (kind == "assign" or (start <= m.start() and m.end() <= end))
+            j += 1
+        if not held:
+            out.append(m)
+    return out
+
+
 def _codes(token: str) -> np.ndarray:
     return np.array([0, *(CODE.get(c, 0) for c in token), 0])
 
@@ -85,10 +105,10 @@ class SecretModel:
         return float(self.ratio[code[:-1], code[1:]].sum())
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """All spans (start, end, kind): those of the fixed patterns, and random tokens outside them."""
+        """All spans (start, end, kind): those of the fixed patterns, and random tokens not held by them."""
         base = base_spans(text)
         more = []
-        for m in _outside(list(TOKEN.finditer(text)), base):
+        for m in _not_held(list(TOKEN.finditer(text)), base):
             token = m.group()
             if not token.isalpha() and any(map(str.isdigit, token)) and self.score(token) >= LEAST_RATIO:
                 more.append((m.start(), m.end(), "random"))
@@ -96,12 +116,9 @@ class SecretModel:
         return sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> SecretModel:
-    """Transition counts of both kinds from about `rows` documents at most, chosen by a hash of the text."""
+def fit(docs: DataFrame) -> SecretModel:
+    """Transition counts of both kinds over all documents; a word counts once per document."""
     docs = take(docs, "text").where("text IS NOT NULL")
-    share = rows / max(docs.count(), 1)
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, N, N), dtype=np.int64)
