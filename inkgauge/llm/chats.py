@@ -1,7 +1,8 @@
 """Preference formatting of pairs of conversations.
 
 The longest common prefix of turns of the chosen and the rejected conversation is rendered once as
-the prompt; what follows in each is a completion, with the spans that a loss may count.
+the prompt; what follows in each is a completion, with the spans that a loss may count. Marks
+inside roles and texts are escaped, so different turns never render alike.
 """
 
 from __future__ import annotations
@@ -17,8 +18,22 @@ TRAINED_ROLE = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
 
 
+def escaped(role: Column, text: Column) -> tuple[Column, Column]:
+    """Role and text in which no mark begins or ends.
+
+    Between '<' and '|' of a text, and '|' and '>' of a role, a backslash more than there was is
+    put, so taking one away again gives the original.
+    """
+    return F.regexp_replace(role, r"\|(\\*)>", r"|\\$1>"), F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(role: Column, text: Column) -> tuple[Column, Column]:
+    """What `escaped` was given."""
+    return F.regexp_replace(role, r"\|\\(\\*)>", r"|$1>"), F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
+
+
 def render(turns: Column) -> Column:
-    """Turns as one string: '<|role|>' on a line, the text, '<|end|>' on a line."""
+    """Escaped turns as one string: '<|role|>' on a line, the text, '<|end|>' on a line."""
     parts = F.transform(turns, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit(END)))
     return F.array_join(parts, "")
 
@@ -52,17 +67,17 @@ def format_preferences(pairs: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
 
     Returns pair_id, n_common, prompt, chosen, rejected, chosen_spans, rejected_spans. If one
     conversation is the start of the other, or both are equal, a completion is empty. Null turns
-    or arrays count as empty, null roles and texts as empty strings.
+    or arrays count as empty, null roles and texts as empty strings. Spans count the code points of
+    the escaped text, as it stands in the completion.
     """
     rows = take(pairs, "pair_id", "chosen", "rejected")
 
     def plain(turns: str) -> Column:
-        clean = F.transform(
-            F.filter(turns, lambda t: t.isNotNull()),
-            lambda t: F.struct(
-                F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")
-            ),
-        )
+        def safe(t: Column) -> Column:
+            who, what = escaped(F.coalesce(t["role"], F.lit("")), F.coalesce(t["text"], F.lit("")))
+            return F.struct(who.alias("role"), what.alias("text"))
+
+        clean = F.transform(F.filter(turns, lambda t: t.isNotNull()), safe)
         return F.coalesce(clean, F.array().cast(TURNS))
 
     rows = rows.select("pair_id", plain("chosen").alias("c"), plain("rejected").alias("r"))

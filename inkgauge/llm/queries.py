@@ -180,7 +180,8 @@ FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 OP8_SQL = r"""
 WITH talks AS (
-  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS t
+  SELECT conv_id, list({'role': regexp_replace(coalesce(role, ''), '\|(\\*)>', '|\\\1>', 'g'),
+    'text': regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g')} ORDER BY turn, role, text) AS t
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), replies AS (
   SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS at FROM talks
