@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -21,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_arrow, take, texts_of
+from inkgauge.llm.common import map_arrow, spent, stored, take, texts_of
 
 SYMBOLS = 28  # boundary, a-z, any other letter
 OTHER = 27
 FIT_ROWS = 20_000  # labelled rows the features are learned from, at most about so many
+FIT_TASKS = 64  # tasks that restore those rows
 FEATURES = 5_000  # features a model chooses from at most, strongest first
 PENALTY = 0.75  # of a weight of 1; a mark of n documents, all toxic, gives 1 - PENALTY / n, so that one document is too few
 STEPS = 1_000  # of the fit at most
@@ -255,14 +255,18 @@ def in_fold(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of about `rows` labelled documents that are not held out, at most; equal texts once."""
+    """(text, toxic) of about `rows` labelled documents that are not held out, at most.
+
+    Equal texts count once, as toxic if one of them is.
+    """
     marked = take(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marked = marked.where(~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = rows / max(marked.count(), 1)
     if share < 1:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # about `rows` rows whatever the data
-    return take(docs, "doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    found = take(docs, "doc_id", "text").join(F.broadcast(marked), "doc_id")
+    return found.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
@@ -274,39 +278,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     costs = trigram_costs(trigram_counts(docs))
     sample = labelled_sample(docs, labels, rows)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, toxic, all_ = Restorer(costs), Counter(), Counter()
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(costs)
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found = features(restorer.words(text or "")) | {""}
-                all_.update(found)
-                if label:
-                    toxic.update(found)
-        names = list(all_)
-        columns = [pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64())]
-        columns.append(pa.array([all_[n] for n in names], pa.int64()))
-        yield pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "n"])
-
-    counted = map_arrow(sample, count, "feature string, toxic long, n long")
-    counted = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    total = counted.where("feature = ''").first()
-    if total is None or total["toxic"] in (0, total["n"]):
-        return ToxicityModel(costs, {}, -math.inf if total is None or not total["toxic"] else math.inf)
+            for begin, texts in texts_of(batch):
+                found = pa.array([sorted(features(restorer.words(t or ""))) for t in texts], pa.list_(pa.string()))
+                labels_ = batch.column("toxic").slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([found, labels_], names=["found", "toxic"])
+
+    # restored once, in tasks of a few hundred rows at most
+    sample = map_arrow(sample.repartition(FIT_TASKS), restored, "found array<string>, toxic int")
+    sample = stored(sample, "toxicity-sample")
+    total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    if not total["n"] or total["toxic"] in (0, total["n"]):
+        spent(sample)
+        return ToxicityModel(costs, {}, math.inf if total["toxic"] else -math.inf)
     rate = total["toxic"] / total["n"]
+    counted = sample.select(F.explode("found").alias("feature"), "toxic").groupBy("feature")
+    counted = counted.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     marks = counted.where("feature <> ''").select("feature", z.alias("z")).where("z > 0")
     names = [r["feature"] for r in marks.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
     place = {name: k for k, name in enumerate(names)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(costs)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [sorted(place[f] for f in features(restorer.words(t or "")) if f in place) for t in texts]
+            found = [sorted(place[f] for f in row if f in place) for row in batch.column("found").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["found", "toxic"])
 
     seen = map_arrow(sample, present, "found array<int>, toxic int").groupBy("found", "toxic").agg(F.count("*").alias("n"))
     seen = sorted((r["found"], r["toxic"], r["n"]) for r in seen.collect())  # the same order in every run
+    spent(sample)
     rows_, toxic, times = ([r[k] for r in seen] for k in range(3))
     bias, weights = fit_weights(rows_, np.array(toxic, dtype=np.float64), np.array(times, dtype=np.float64), len(names))
     return ToxicityModel(costs, {n: w for n, w in zip(names, weights.tolist()) if w > 0}, bias)
