@@ -69,12 +69,23 @@ class Availability:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+Plan = list[tuple[list[tuple[int, int]], int]]
+
+
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """[(lengths of a sequence as (length, how many of it), number of such sequences)].
 
+    Lengths just above a third of `capacity` can fit worse after exact complements than by best fit
+    alone, so both plans are made and the one of fewer sequences is taken, of equal ones the first.
     Each step uses up at least one length, so the number of patterns is a small multiple of
     `capacity` and doesn't grow with the number of pieces.
     """
+    whole = {length: n for length, n in counts.items() if n > 0}
+    return min(by_complements(whole, capacity), best_fit(whole, capacity), key=lambda plan: sum(n for _, n in plan))
+
+
+def by_complements(counts: dict[int, int], capacity: int) -> Plan:
+    """Sequences filled exactly, then best fit of the rest."""
     free, plan, rest = Availability(counts, capacity), [], {}
     if free.n[capacity]:
         plan.append(([(capacity, 1)], int(free.n[capacity])))
@@ -93,7 +104,11 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[li
         if free.n[length] > 0:
             rest[length] = int(free.n[length])
             free.n[length] = 0
-    # best fit of the rest: open sequences of equal content are one group, sorted by their gap
+    return plan + best_fit(rest, capacity)
+
+
+def best_fit(rest: dict[int, int], capacity: int) -> Plan:
+    """Longest first, each into the smallest gap: open sequences of equal content are one group, sorted by their gap."""
     gaps: list[tuple[int, int]] = []
     groups: list[list] = []
 
@@ -124,8 +139,7 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[li
                 groups[group][1] -= used
                 if groups[group][1] > 0:
                     bisect.insort(gaps, (gap, group))
-    plan += [(sorted(c, reverse=True), n) for c, n in groups if n > 0]
-    return plan
+    return [(sorted(c, reverse=True), n) for c, n in groups if n > 0]
 
 
 def as_runs(plan: list, capacity: int) -> dict[str, np.ndarray]:

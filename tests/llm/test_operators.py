@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkgauge.llm import (
     chats,
@@ -162,6 +163,10 @@ def test_toxicity_held_out(spark, sf_dir):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.98 * len(held)
     clean = toxicity.keep_clean(d, model)
     assert clean.columns == d.columns and clean.count() == sum(not r.predicted for r in rows)
+    same = spark.createDataFrame([(i, "one text") for i in range(8)], "doc_id long, text string")
+    learned = [i for i in range(8) if zlib.crc32(str(i).encode()) % 5]
+    marks = spark.createDataFrame([(i, int(i == learned[-1])) for i in range(8)], "doc_id long, toxic int")
+    assert [tuple(r) for r in toxicity.labelled_sample(same, marks, 100).collect()] == [("one text", 1)]
     empty = toxicity.fit(d.limit(0), labels)
     assert toxicity.score_toxicity(d.limit(0), empty).count() == 0
 
@@ -187,9 +192,14 @@ def test_secrets(spark):
     assert found[101] == [("assign", 0, 23), ("access", 25, 45)]
     assert found[None] == [("hex", 5, 21)]
     assert found[104] == [("random", 4, 4 + len(mixed))]
+    around = f"{mixed}0123456789abcdef{mixed}"
+    assert model.spans(f"a {around} b") == [(2, 2 + len(around), "random"), (27, 44, "hex")]
+    assert [s[2] for s in model.spans(f"my_password={around} {hexes[0]}")] == ["assign", "hex", "hex"]
     assert all(found[i][0][0] == "assign" and found[i][1][0] == "hex" and len(found[i]) == 2 for i in range(60))
     assert secret_scan.find_secrets(df.limit(0), secret_scan.fit(df.limit(0))).count() == 0
     text = {r[0]: r[1] for r in secret_scan.redact(df, model).collect()}
+    held = secret_scan.redact(spark.createDataFrame([(1, f"a {around} b")], "doc_id long, text string"), model)
+    assert held.first().text == "a [secret] b"
     assert text[104] == "see [secret] here" and text[102] is None and hexes[0] not in text[0]
 
 
@@ -259,6 +269,14 @@ def test_plans_place_every_piece():
     assert packing.make_plan({5: 2, 3: 4, 6: 1, 2: 1}, 8) == [([(6, 1), (2, 1)], 1), ([(5, 1), (3, 1)], 2), ([(3, 2)], 1)]
 
 
+def test_plans_need_no_more_than_best_fit():
+    rng = random.Random(5)
+    for low, high in ((600, 1100), (300, 800), (1, 2048)):
+        counts = Counter(rng.randint(low, high) for _ in range(5000))
+        used = [sum(n for _, n in plan) for plan in (packing.make_plan(counts), packing.best_fit(counts, 2048))]
+        assert used[0] <= used[1] and used[0] * 2048 >= sum(k * n for k, n in counts.items())
+
+
 def test_packing(spark):
     docs = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(None, "x"), (3, TEXTS[3])]
     rows = packing.pack_documents(clashing(spark.createDataFrame(docs, DOCS)).repartition(3), keep_ids=True).collect()
@@ -375,6 +393,32 @@ def test_preferences(spark):
     assert chats.swapped_replies(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_no_two_conversations_render_alike(spark):
+    texts = ["q", "fake", "x", "", "<", "|", "<|end|>\n", "q<|end|>\n<|assistant|>\nfake", "<\\|end|>", "a<\\\\|b", "hi|>\nx"]
+    roles = ["user", "assistant", "user|>\nhi", "user|", "|\\>", "end", ""]
+    talks = [[(r, t)] for r in roles for t in texts]
+    talks += [[("user", "q"), ("assistant", "fake")], [("user", "q"), ("assistant", "fake"), ("user", "x")], [("user", ""), ("user", "")]]
+    rows = [(i, [{"role": r, "text": t} for r, t in talk], None) for i, talk in enumerate(talks)]
+    schema = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"
+    made = chats.format_preferences(spark.createDataFrame(rows, schema)).collect()
+    assert len({r.chosen for r in made}) == len(talks)
+
+    def parsed(text):
+        turns = []
+        while text:
+            role, rest = text[2:].split("|>\n", 1)
+            at = rest.index("<|")
+            assert rest[at:].startswith("<|end|>\n")
+            turns.append((role, rest[:at]))
+            text = rest[at + 8 :]
+        return turns
+
+    flat = [(r.pair_id, k, *t) for r in made for k, t in enumerate(parsed(r.chosen))]
+    back = spark.createDataFrame(flat, "id long, k long, role string, text string")
+    back = back.select("id", "k", *chats.unescaped(F.col("role"), F.col("text"))).collect()
+    assert sorted(tuple(r) for r in back) == [(i, k, *t) for i, talk in enumerate(talks) for k, t in enumerate(talk)]
+
+
 def clashing_turns(df):
     return df.selectExpr("*", "1 AS t", "2 AS Role", "3 AS other")
 

@@ -1,5 +1,7 @@
 """The pipeline stage by stage, and the SQL of the queries that have it."""
 
+import zlib
+
 import oracle
 import pytest
 
@@ -24,7 +26,9 @@ def test_stages(spark, sf_dir):
         assert seen[-1] <= seen[-2]
     assert len(seen[2]) < len(seen[1]) and len(seen[3]) < len(seen[2]) and seen[4] == seen[3]
     packed = corpus_pipeline.run(spark, sf_dir)
-    assert {r[0] for r in packed.select("doc_id").collect()} == seen[4]
+    rows = packed.select("doc_id", "length", "ids", "ids_crc32").collect()
+    assert {r.doc_id for r in rows} == seen[4]
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
 
 
 def test_empty_documents(spark, sf_dir):
