@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgauge.llm import decontamination, neardup, packing, secret_scan, toxicity
-from inkgauge.llm.common import read, stored
+from inkgauge.llm.common import read, spent, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their place in the training sequences."""
-    return packing.pack_documents(docs)
+    """Pieces, their token ids in `ids` (little-endian unsigned 32-bit), and their place in the training sequences."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
@@ -49,5 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "stored_path"):
+            spent(before)
     return STAGES[-1][1](spark, docs, sf_dir)
