@@ -265,3 +265,30 @@ def stream_dedup(v: Views) -> DataFrame:
     out = work_path(v.spark, "stream-dedup")
     streams.run_to_parquet(once, f"{out}/rows", f"{out}/state").awaitTermination()
     return v.spark.read.parquet(f"{out}/rows")
+
+
+@query(
+    "stream_first_copies",
+    f"""WITH rows_ AS (
+  SELECT doc_id, ts, t FROM (SELECT doc_id, ts, {O.clean('text')} AS t FROM documents JOIN events ON event_id = doc_id)
+  WHERE length(t) > 20 AND ts IS NOT NULL
+), starts AS (
+  SELECT *, CASE WHEN ts < lag(ts) OVER same + INTERVAL 1 DAY THEN 0 ELSE 1 END AS starts FROM rows_
+  WINDOW same AS (PARTITION BY t ORDER BY ts, doc_id)
+), runs AS (
+  SELECT *, sum(starts) OVER (PARTITION BY t ORDER BY ts, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM starts
+), ended AS (
+  SELECT t, run, arg_min(doc_id, (ts, doc_id)) AS doc_id, max(ts) + INTERVAL 1 DAY AS ends FROM runs GROUP BY t, run
+)
+SELECT doc_id, md5(t) AS digest FROM ended
+WHERE ends <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM rows_)""",
+)
+def stream_first_copies(v: Views) -> DataFrame:
+    """First copies of the runs of a text that have ended an hour before the latest event."""
+    documents = v.table("documents")
+    times = v.table("events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = streams.stream_samples(v.spark, v.path("document[s]"), documents.schema).join(times, "doc_id")
+    first = streams.first_copies(stream, "ts", "1 hour", "1 day").select("doc_id", F.md5("text").alias("digest"))
+    out = work_path(v.spark, "stream-first-copies")
+    streams.run_to_parquet(first, f"{out}/rows", f"{out}/state").awaitTermination()
+    return v.spark.read.parquet(f"{out}/rows")

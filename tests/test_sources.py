@@ -116,6 +116,64 @@ def test_stream_scores_like_a_batch(spark):
     assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def _first_copies(rows, keep):
+    """(doc_id, at, text) of the first copies, and the time of the last copy of each run."""
+    runs = {}
+    for i, text, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        of_text = runs.setdefault(text, [])
+        if of_text and at < of_text[-1][1] + keep:
+            of_text[-1][1] = at
+        else:
+            of_text.append([(i, at, text), at])
+    return [(tuple(first), last) for of_text in runs.values() for first, last in of_text]
+
+
+def test_first_copies_out_of_order_late_and_restarted(spark):
+    def text(k):
+        return f"a text that is repeated, of number {k}"
+
+    schema, delay, keep = "doc_id long, text string, at long", 100, 50
+    batches = [
+        [(1, text(1), 1000), (2, text(1), 960), (3, text(2), 1000), (4, "short", 1000), (5, None, 1000), (6, text(9), None)],
+        [(11, text(1), 940), (12, text(3), 1030), (13, text(2), 1060), (14, text(1), 1075), (15, text(3), 1030)],  # out of order
+        [(21, text(4), 1400), (22, text(1), 1130)],
+        [(31, text(1), 1299), (32, text(5), 1250), (33, text(4), 1301)],  # behind the watermark of 1300, one by `keep`
+        [(41, text(6), 2000), (42, text(1), 1990)],
+    ]
+    home = work_path(spark, "copies")
+    for k, batch in enumerate(batches):  # each run goes on from the state of the one before
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{home}/in")
+        stream = streams.stream_samples(spark, f"{home}/in", spark.createDataFrame([], schema).schema)
+        timed = stream.withColumn("ts", F.timestamp_seconds("at")).drop("at")
+        out = streams.first_copies(timed, delay=f"{delay} seconds", keep=f"{keep} seconds")
+        query = streams.run_to_parquet(out, f"{home}/rows", f"{home}/state")
+        query.awaitTermination()
+    got = [(r.doc_id, r.s, r.text) for r in spark.read.parquet(f"{home}/rows").withColumn("s", F.unix_seconds("ts")).collect()]
+    taken = [r for b in batches for r in b if r[0] not in (32, 4, 5, 6)]
+    expected = [first for first, last in _first_copies(taken, keep) if last + keep <= 2000 - delay]
+    assert sorted(got) == sorted(expected)
+    assert (11, 940, text(1)) in got and (33, 1301, text(4)) in got and (12, 1030, text(3)) in got
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # runs that may still grow
+
+    table = spark.createDataFrame(taken, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    whole = streams.first_copies(table, keep=f"{keep} seconds").withColumn("s", F.unix_seconds("ts")).collect()
+    assert sorted((r.doc_id, r.s, r.text) for r in whole) == sorted(first for first, _ in _first_copies(taken, keep))
+
+
+def test_first_copies_merges_hot_texts_before_they_move(spark):
+    rows = [(i, "one text with very many copies", i) for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    home = work_path(spark, "hot")
+    table.repartition(4).write.parquet(f"{home}/in")
+    out = streams.first_copies(streams.stream_samples(spark, f"{home}/in", table.schema))
+    query = streams.run_to_parquet(out, f"{home}/rows", f"{home}/state")
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert plan.rfind("MergingSessions") > plan.rfind("Exchange hash") > 0  # below the exchange
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    assert [r.doc_id for r in streams.first_copies(table).collect()] == [0]
+
+
 def test_stream_dedup_equals_batch_within_the_watermark(spark):
     schema = "doc_id long, text string, at long"
     rows = [(i, f"repeated text with number {0 if i % 3 == 0 else i % 20}", i) for i in range(300)]
