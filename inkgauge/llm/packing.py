@@ -69,6 +69,7 @@ class Availability:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
 
+BROADCAST_ROWS = 500_000  # of three numbers each
 Plan = list[tuple[list[tuple[int, int]], int]]
 
 
@@ -203,10 +204,13 @@ def pack_documents(
     docs = take(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     pieces = stored(cut(docs, tokenizer or default_path(), capacity, keep_ids), "pieces")
     by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    totals = by_task.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect()
+    counts = {r["length"]: r["n"] for r in totals}
     runs = as_runs(make_plan(counts, capacity), capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = by_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    if sum(r["tasks"] for r in totals) <= BROADCAST_ROWS:  # pieces, with their ids, stay where they are
+        shift = F.broadcast(shift)
     numbered = pieces.join(shift, ["length", "part"]).withColumn("number", F.col("number") + F.col("shift"))
     out = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     low = np.searchsorted(runs["length"], np.arange(capacity + 2))

@@ -277,7 +277,9 @@ def test_plans_need_no_more_than_best_fit():
         assert used[0] <= used[1] and used[0] * 2048 >= sum(k * n for k, n in counts.items())
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_packing(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", rows)
     docs = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(None, "x"), (3, TEXTS[3])]
     rows = packing.pack_documents(clashing(spark.createDataFrame(docs, DOCS)).repartition(3), keep_ids=True).collect()
     by_sequence, by_doc = defaultdict(list), Counter()
