@@ -1,9 +1,10 @@
 """License scan: ordered signature rules over normalised words, in DataFrame functions only.
 
 A rule is a pattern over the words of a text, with a keyword that must occur before the pattern is
-tried, a label, a priority and a confidence. Rules are license names in several contexts, from a
-grant ("licensed under the ...") to a bare mention. Detections contained in another one are
-suppressed, and of two that overlap the one of the better priority stays.
+tried, a label, a priority and a confidence. The patterns are names of licenses, tried in several
+contexts from a grant ("licensed under the ...") to a bare mention, sentences of license texts,
+tags and addresses, and denials ("not licensed under ..."), which have the best priority and no label.
+A sweep over the detections from left to right resolves overlaps, see `resolved`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from inkgauge.functions.columns import let
 from inkgauge.llm.common import take
 from inkgauge.llm.decontamination import words_of
+from inkgauge.llm.license_rules import ADDRESSES, BODIES, DENIALS, GRANTED, NAMES, TAGS
 
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # on text in any case
 # fixed values: phrases and labels that are always reported
 BASE = {
@@ -22,69 +25,11 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# label, with dots to tell several names of one label: (keyword that every match contains, name as a pattern over words)
-NAMES = {
-    "mit": ("mit licen", r"mit licen[sc]e"),
-    "mit.": ("expat licen", r"expat licen[sc]e"),
-    "mit..": ("x11 licen", r"x11 licen[sc]e"),
-    "isc": ("isc licen", r"isc licen[sc]e"),
-    "0bsd": ("bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?"),
-    "bsd-2": ("bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[sc]e)?"),
-    "bsd-3": ("bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[sc]e)?"),
-    "bsd-4": ("bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[sc]e)?"),
-    "bsd": ("bsd licen", r"bsd licen[sc]e"),
-    "bsd.": ("bsd style licen", r"bsd style licen[sc]e"),
-    "apache-1": ("apache", r"apache(?: software)? licen[sc]e(?: version| v)? 1(?: [01])?"),
-    "apache-2": ("apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? (?:2|v2)(?: 0)?(?: licen[sc]e)?"),
-    "apache": ("apache", r"apache(?: software)? licen[sc]e"),
-    "gpl-2": ("gpl", r"(?:gnu )?gpl ?(?:version |v)?2(?: 0)?(?: only| or later)?"),
-    "gpl-3": ("gpl", r"(?:gnu )?gpl ?(?:version |v)?3(?: 0)?(?: only| or later)?"),
-    "gpl-2.": ("general public", r"(?:gnu )?general public licen[sc]e (?:version |v)?2(?: 0)?"),
-    "gpl-3.": ("general public", r"(?:gnu )?general public licen[sc]e (?:version |v)?3(?: 0)?"),
-    "gpl": ("general public", r"(?:gnu )?general public licen[sc]e"),
-    "lgpl-2": ("lgpl", r"(?:gnu )?lgpl ?(?:version |v)?2(?: [01])?"),
-    "lgpl-3": ("lgpl", r"(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?"),
-    "lgpl": ("esser general", r"(?:gnu )?lesser general public licen[sc]e(?: (?:version |v)?[23](?: [01])?)?"),
-    "agpl-3": ("ffero", r"(?:gnu )?affero general public licen[sc]e(?: (?:version |v)?3(?: 0)?)?"),
-    "agpl": ("agpl", r"(?:gnu )?agpl ?(?:version |v)?3(?: 0)?"),
-    "gfdl": ("documentation licen", r"(?:gnu )?free documentation licen[sc]e(?: version 1(?: [0-3])?)?"),
-    "mpl-1": ("mozilla", r"mozilla public licen[sc]e (?:version |v)?1(?: [01])?"),
-    "mpl-2": ("mozilla", r"mozilla public licen[sc]e(?: version| v)? 2(?: 0)?"),
-    "mpl": ("mozilla", r"mozilla public licen[sc]e"),
-    "epl-1": ("eclipse", r"eclipse public licen[sc]e(?: version| v)? 1(?: 0)?"),
-    "epl-2": ("eclipse", r"eclipse public licen[sc]e(?: version| v)? 2(?: 0)?"),
-    "cddl": ("common development", r"common development and distribution licen[sc]e(?: 1(?: [01])?)?"),
-    "cpl": ("common public", r"common public licen[sc]e(?: 1(?: 0)?)?"),
-    "eupl": ("european union public", r"european union public licen[sc]e(?: 1(?: [012])?)?"),
-    "cecill": ("cecill", r"cecill(?: [abc])?(?: licen[sc]e)?"),
-    "artistic-1": ("artistic", r"artistic licen[sc]e(?: 1(?: 0)?)?"),
-    "artistic-2": ("artistic", r"artistic licen[sc]e(?: version| v)? 2(?: 0)?"),
-    "boost": ("boost software", r"boost software licen[sc]e(?: 1(?: 0)?)?"),
-    "zlib": ("zlib", r"zlib(?: libpng)? licen[sc]e"),
-    "libpng": ("libpng", r"libpng licen[sc]e"),
-    "openssl": ("openssl", r"openssl licen[sc]e"),
-    "postgresql": ("postgresql", r"postgresql licen[sc]e"),
-    "python": ("python", r"python software foundation licen[sc]e(?: 2(?: 0)?)?"),
-    "php": ("php licen", r"php licen[sc]e(?: 3(?: 0 ?1)?)?"),
-    "ruby": ("ruby licen", r"ruby licen[sc]e"),
-    "ofl": ("open font", r"(?:sil )?open font licen[sc]e(?: 1(?: [01])?)?"),
-    "ms-pl": ("microsoft public", r"microsoft public licen[sc]e"),
-    "ms-rl": ("microsoft reciprocal", r"microsoft reciprocal licen[sc]e"),
-    "odbl": ("open database", r"open database licen[sc]e"),
-    "unlicense": ("unlicense", r"(?:the )?unlicense"),
-    "wtfpl": ("wtfpl", r"wtfpl"),
-    "cc0": ("cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    "cc-by": ("cc by", r"cc by(?: [1-4] [05])?"),
-    "cc-by-sa": ("cc by sa", r"cc by sa(?: [1-4] [05])?"),
-    "cc-by-nd": ("cc by nd", r"cc by nd(?: [1-4] [05])?"),
-    "cc-by-nc": ("cc by nc", r"cc by nc(?: [1-4] [05])?"),
-    "cc-by-nc-sa": ("cc by nc sa", r"cc by nc sa(?: [1-4] [05])?"),
-    "cc-by-nc-nd": ("cc by nc nd", r"cc by nc nd(?: [1-4] [05])?"),
-    "creative-commons": ("creative commons", r"creative commons(?: attribution(?: (?:sharealike|share alike|noderivs|noncommercial|non commercial))*)?(?: [1-4] [05])?(?: international)?"),
-    "public-domain": ("public domain", r"public domain"),
-    "proprietary": ("rights reserved", r"all rights reserved"),
-}
-GRANT = r"(?:licen[sc]ed|released|distributed|published|available|provided|covered|offered|shared) under (?:the )?"
+GRANT = GRANTED + " under (?:the )?"
+# an identifier stands after the tag or, in an expression, after other ones of at most 40 characters
+TAG = "spdx license identifier"
+AFTER_TAG = f"(?<={TAG} |{TAG} [a-z0-9 ]{{1,40}} (?:or|and|with) )"
+DENIED = 0.3  # score of a fixed phrase that no standing detection confirms
 # (pattern round the name, priority: smaller is better, confidence)
 CONTEXTS = (
     (GRANT + r"(?:terms (?:and conditions )?of (?:the )?)?{name}", 1, 0.95),
@@ -97,14 +42,28 @@ OPEN, CLOSE = "\x01", "\x02"  # no word has them
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence), in the order of the names and contexts."""
+    """(label, keyword, pattern, priority, confidence): denials, texts, tags and addresses, names in their contexts."""
     return [
-        (label.rstrip("."), keyword, context.format(name=f"(?:{name})"), priority, confidence)
-        for label, (keyword, name) in NAMES.items()
-        for context, priority, confidence in CONTEXTS
+        *(("", keyword, pattern, 0, 0.0) for keyword, pattern in DENIALS),
+        *((label, keyword, pattern, 1, 0.9) for label, keyword, pattern in BODIES),
+        *((label, TAG, f"{AFTER_TAG}(?:{name})", 1, 0.95) for label, name in TAGS),
+        *((label, keyword, pattern, 1, 0.85) for label, keyword, pattern in ADDRESSES),
+        *(
+            (label, keyword, context.format(name=f"(?:{name})"), priority, confidence)
+            for label, keyword, name in NAMES
+            for context, priority, confidence in CONTEXTS
+        ),
     ]
 
 
+def hint() -> str:
+    """A pattern that occurs in ' ' + text in lower case if any keyword but those of denials does: by first letter, at word starts."""
+    words = sorted({max(r[1].split(), key=len) for r in rules() if r[0]})
+    short = [w for w in words if not any(w != v and w.startswith(v) for v in words)]
+    by_letter = {c: [w[1:] for w in short if w[0] == c] for c in sorted({w[0] for w in short})}
+    return SEPARATOR + "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+
+
 def places(line: Column, pattern: Column | str) -> Column:
     """array<struct<first, last>>: the words of each match of a pattern in ' word word ... '."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
@@ -122,16 +81,14 @@ def places(line: Column, pattern: Column | str) -> Column:
 
 def detections(line: Column) -> Column:
     """Matches of all rules whose keyword occurs, sorted by first word, length and priority."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(pattern).alias("pattern"),
-                F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"),
-            )
-            for label, keyword, pattern, priority, confidence in rules()
-        ]
-    )
-    tried = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    by_keyword: dict[str, list[Column]] = {}
+    for label, keyword, pattern, priority, confidence in rules():
+        rule = F.struct(
+            F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence")
+        )
+        by_keyword.setdefault(keyword, []).append(rule)
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
+    tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(line, F.concat(F.lit(" "), t["keyword"]))), lambda t: t["rules"]))
     matches = F.transform(
         tried,
         lambda r: F.transform(
@@ -146,35 +103,47 @@ def detections(line: Column) -> Column:
 
 
 def resolved(found: Column) -> Column:
-    """struct<end, priority, labels, score> after suppression, in one pass over sorted detections."""
+    """struct<labels, score> of the detections that stand after one sweep over sorted ones.
+
+    One detection stands at a time. The next one is suppressed if it lies inside that one; if it
+    only overlaps, the better priority stays, then the longer, then the earlier, and the other is
+    retracted. If it doesn't overlap, the standing one is final. Denials are final without a label.
+    """
     start = F.struct(
-        F.lit(-1).alias("end"), F.lit(0).alias("priority"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score")
-    )
+        F.lit(-1).alias("first"), F.lit(-1).alias("end"), F.lit(0).alias("priority"), F.lit("").alias("label"),
+        F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"),
+    )
+
+    def final(acc: Column, *standing: Column) -> Column:
+        named = acc["label"] != ""
+        labels = F.when(named, F.array_union(acc["labels"], F.array(acc["label"]))).otherwise(acc["labels"])
+        return F.struct(*standing, labels.alias("labels"), F.greatest(acc["score"], acc["confidence"]).alias("score"))
 
     def step(acc: Column, d: Column) -> Column:
         last = -d["minus_last"]
-        inside = last <= acc["end"]
-        weaker = (d["first"] <= acc["end"]) & (d["priority"] > acc["priority"])
-        taken = F.struct(
-            last.alias("end"),
-            d["priority"].alias("priority"),
-            F.array_union(acc["labels"], F.array(d["label"])).alias("labels"),
-            F.greatest(acc["score"], d["confidence"]).alias("score"),
+        longer = last - d["first"] > acc["end"] - acc["first"]
+        better = (d["priority"] < acc["priority"]) | ((d["priority"] == acc["priority"]) & longer)
+        standing = (
+            d["first"].alias("first"), last.alias("end"), d["priority"].alias("priority"), d["label"].alias("label"),
+            d["confidence"].alias("confidence"),
+        )
+        retracting = F.struct(*standing, acc["labels"].alias("labels"), acc["score"].alias("score"))
+        return (
+            F.when(d["first"] > acc["end"], final(acc, *standing)).when((last > acc["end"]) & better, retracting).otherwise(acc)
         )
-        return F.when(inside | weaker, acc).otherwise(taken)
 
-    return F.aggregate(found, start, step)
+    return F.aggregate(found, start, step, lambda acc: final(acc))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base (array of struct first, last, label), labels (sorted array), score.
 
     One row per row of `docs`, repeated rows included. A null or empty text has no words and no
-    labels; a null id is kept. `base` lists every place of a phrase of BASE, never suppressed.
+    labels; a null id is kept. `base` lists every place of a phrase of BASE, never suppressed; its
+    label stays when the text denies it, with a score of DENIED unless something else stands.
     Texts without any keyword get no further than the keyword test.
     """
     docs = take(docs, "doc_id", "text")
-    hint = "|".join(sorted({k.split()[0] for k, _ in NAMES.values()} | {"licen", "rights reserved"}))
     none = F.array().cast("array<struct<first:int,last:int,label:string>>")
     line = F.concat(F.lit(" "), F.array_join(words_of(F.col("text")), " "), F.lit(" "))
 
@@ -188,13 +157,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         base = F.flatten(F.array(*[base_places(line, phrase, label) for phrase, label in BASE.items()]))
         return F.struct(base.alias("base"), resolved(detections(line)).alias("own"))
 
-    seen = F.when(F.regexp_like(F.lower("text"), F.lit(hint)), let(line, findings))
+    seen = F.when(F.regexp_like(F.concat(F.lit(" "), F.lower("text")), F.lit(hint())), let(line, findings))
     rows = docs.select(
         "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), seen.alias("_f")
     )
     base = F.coalesce("_f.base", none)
-    labels = F.concat(F.transform(base, lambda b: b["label"]), F.coalesce("_f.own.labels", F.array().cast("array<string>")))
-    score = F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce("_f.own.score", F.lit(0.0)))
+    own = F.coalesce("_f.own.labels", F.array().cast("array<string>"))
+    labels = F.concat(F.transform(base, lambda b: b["label"]), own)
+    confirmed = F.when(F.exists(base, lambda b: F.array_contains(own, b["label"])), 1.0).when(F.size(base) > 0, DENIED)
+    score = F.greatest(F.coalesce("_f.own.score", F.lit(0.0)), F.coalesce(confirmed, F.lit(0.0)))
     return rows.select(
         "doc_id", "n_words", base.alias("base"), F.array_sort(F.array_distinct(labels)).alias("labels"), score.alias("score")
     )

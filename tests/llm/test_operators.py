@@ -14,6 +14,7 @@ from inkgauge.llm import (
     chats,
     decontamination,
     lengths,
+    license_rules,
     licenses,
     neardup,
     neighbours,
@@ -448,3 +449,56 @@ def test_licenses(spark):
     assert labels[2][0] == ["apache-2", "cc-by-nc", "mit"]
     assert len(licenses.rules()) > 200
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_license_texts_tags_addresses_and_denials(spark):
+    expected = {
+        "SPDX-License-Identifier: MIT": ["mit"],
+        "SPDX-License-Identifier: (Apache-2.0 OR BSD-3-Clause) see the notes of mit": ["apache-2", "bsd-3"],
+        "Permission is hereby granted, free of charge": ["mit"],
+        "Redistribution and use in source and binary forms": ["bsd"],
+        "https://creativecommons.org/licenses/by-sa/4.0/": ["cc-by-sa"],
+        "not licensed under the MIT license": ["mit"],  # a fixed phrase
+        "not licensed under the GNU General Public License but under the Apache License": ["apache"],
+        "ISC license rather than the BSD license": ["isc"],
+        "Not only under the BSD license": ["bsd"],
+        "CC BY-NC-SA 4.0": ["cc-by-nc", "cc-by-nc-sa"],
+        "bsd 3 clause bsd style license": ["bsd-3"],
+        "new bsd license agreement": ["bsd-3"],
+        "the mitral licensing of permissions": [],
+    }
+    docs = [(i, t) for i, t in enumerate(expected)]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {t: rows[i].labels for i, t in docs} == expected
+    scores = {t: rows[i].score for i, t in docs}
+    assert scores["not licensed under the MIT license"] == licenses.DENIED
+    assert scores["SPDX-License-Identifier: MIT"] == 0.95 and scores["the mitral licensing of permissions"] == 0.0
+
+
+def sample_of(tree, short):
+    """A text that a parsed pattern matches: optional parts left out, or taken."""
+    text = ""
+    for op, value in tree:
+        match str(op):
+            case "LITERAL":
+                text += chr(value)
+            case "IN":
+                text += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0])}.get(str(value[0][0]), lambda v: "x")(value[0][1])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                text += sample_of(value[2], short) * (value[0] if short else max(1, value[0]))
+            case "SUBPATTERN":
+                text += sample_of(value[3], short)
+            case "BRANCH":
+                text += sample_of(value[1][0 if short else -1], short)
+    return text
+
+
+def test_license_patterns_contain_their_keywords():
+    named = [r[1:] for r in (*license_rules.NAMES, *license_rules.BODIES, *license_rules.ADDRESSES)]
+    assert len(named) + len(license_rules.TAGS) + len(license_rules.DENIALS) > 250
+    hint = re.compile(licenses.hint())
+    for keyword, pattern in (*named, *license_rules.DENIALS):
+        for short in (True, False):
+            text = sample_of(re._parser.parse(pattern), short)
+            assert f" {keyword}" in f" {text}"
+            assert (keyword, pattern) in license_rules.DENIALS or hint.search(f" {text}")
