@@ -5,9 +5,11 @@ suffixes of a corpus can't meet in one place, so they are dealt by content: a wi
 bytes is assigned to the smallest hash among its runs of `gram` bytes (its anchor). Equal windows
 have equal anchors wherever they stand, and an anchor that occurs in one document only needs no
 further look. Neighbouring windows of one anchor form a block; the blocks of an anchor are brought
-together, their suffixes sorted by the first `span` bytes with ties by document, and the longest
-previous factor of a suffix, cut at `span`, follows from the previous smaller document in that
-order. Later copies of a whole block are settled by its first document without sorting.
+together and the suffixes of their windows, each up to the end of its block, are sorted. The common
+prefixes of neighbours in that order and, for each suffix, the nearest positions before and after it
+that belong to a smaller document give its longest previous factor: the longest prefix that starts
+in a smaller document as well. Bytes of factors of `span` or more go. Later copies of a whole block
+are settled by its first document without sorting.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ SPAN = 50
 GRAM = 20
 RUN = 128  # windows of a block at most, for texts that repeat themselves
 CHUNK = 1 << 21  # bytes worked on at once
+SETTLED = 400_000  # bytes of blocks sorted at once, if their groups allow
 HOT_BLOCKS = 4096  # blocks of an anchor from which its windows are dealt one by one
 FILTER_BITS = 27  # size of the filter of shared anchors, whatever the data
 LAST = (1 << 63) - 1  # place of documents without an id in the order
@@ -171,21 +174,76 @@ def shared_blocks(docs: DataFrame, table, span: int, gram: int, bits: int) -> Da
     return map_arrow(docs, run, "anchor long, doc long, text_key long, at long, block binary")
 
 
-def earlier_factors(suffix: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each suffix (row of bytes) has an equal one of the same anchor in a smaller document."""
-    n, span = suffix.shape
-    padded = np.zeros((n, -(-span // 8) * 8), dtype=np.uint8)
-    padded[:, :span] = suffix
-    words = padded.view(np.uint64)
-    order = np.lexsort((doc, *words.T, anchor))
-    words, anchor, doc = words[order], anchor[order], doc[order]
-    new = np.ones(n, dtype=bool)  # the common prefix with the suffix before is shorter than the span
-    new[1:] = (anchor[1:] != anchor[:-1]) | (words[1:] != words[:-1]).any(axis=1)
-    # documents rise within a run of equal suffixes, so its first is the smallest before each
-    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    earlier = np.empty(n, dtype=bool)
-    earlier[order] = least < doc
-    return earlier
+def common_prefixes(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bytes that each row of a sorted, zero-padded table shares with the row before; 0 for the first."""
+    out = np.zeros(len(words), dtype=np.int64)
+    differs = words[1:] != words[:-1]
+    some = differs.any(axis=1)
+    word = differs.argmax(axis=1)
+    at = np.arange(len(differs))
+    apart = (words[at + 1, word] ^ words[at, word]).view(np.uint8).reshape(-1, 8) != 0  # bytes in the order of the text
+    shared = np.where(some, word * 8 + apart.argmax(axis=1), words.shape[1] * 8)
+    out[1:] = np.minimum(shared, np.minimum(size[1:], size[:-1]))
+    return out
+
+
+def previous_factors(shared: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix in sorted order, where `shared` is its common prefix with the one before.
+
+    That factor is the longer of the common prefixes with the previous and with the next position of
+    a smaller document. Both are found for all suffixes at once, by halving steps over minima of runs
+    of 1, 2, 4 ... positions.
+    """
+    n = len(doc)
+    least_doc, least_shared = [doc], [shared]  # of 2**k positions from each one on
+    while (width := 1 << (len(least_doc) - 1)) * 2 <= n:
+        for table in (least_doc, least_shared):
+            table.append(np.minimum(table[-1][:-width], table[-1][width:]))
+    none = np.iinfo(np.int64).max
+    before, left = np.arange(n), np.full(n, none)  # all from `before` to the suffix are no smaller; least common prefix
+    after, right = np.arange(n), np.full(n, none)
+    for k in range(len(least_doc) - 1, -1, -1):
+        width, last = 1 << k, len(least_doc[k]) - 1
+        start = before - width
+        step = (start >= 0) & (least_doc[k][np.clip(start, 0, last)] >= doc)
+        left = np.where(step, np.minimum(left, least_shared[k][np.clip(start + 1, 0, last)]), left)
+        before = np.where(step, start, before)
+        start = after + 1
+        step = (start <= last) & (least_doc[k][np.minimum(start, last)] >= doc)
+        right = np.where(step, np.minimum(right, least_shared[k][np.minimum(start, last)]), right)
+        after = np.where(step, after + width, after)
+    left = np.where(before > 0, np.minimum(left, shared[before]), 0)
+    right = np.where(after < n - 1, np.minimum(right, shared[np.minimum(after + 1, n - 1)]), 0)
+    return np.maximum(left, right)
+
+
+def sorted_suffixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray):
+    """(order, shared): suffixes sorted by anchor, bytes and document, and what each shares with the one before."""
+    width = -(-int(size.max(initial=1)) // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(width, dtype=np.uint8)), width)[start]
+    rows[np.arange(width) >= size[:, None]] = 0
+    words = rows.view(np.uint64)
+    order = np.lexsort((doc, size, *words.byteswap().T[::-1], anchor))
+    shared = common_prefixes(words[order], size[order])
+    shared[1:][anchor[order][1:] != anchor[order][:-1]] = 0
+    return order, shared
+
+
+def longest_earlier(
+    data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, span: int
+) -> np.ndarray:
+    """Length of the longest prefix of each suffix that starts a suffix of the same anchor in a smaller document.
+
+    A suffix is `size` bytes from `start` on. Lengths below `span` are given as 0: suffixes that share
+    less with both neighbours in the order of their first `span` bytes are not sorted any further.
+    """
+    order, shared = sorted_suffixes(data, start, np.minimum(size, span), anchor, doc)
+    near = order[(shared >= span) | np.append(shared[1:] >= span, False)]
+    order, shared = sorted_suffixes(data, start[near], size[near], anchor[near], doc[near])
+    factor = np.zeros(len(start), dtype=np.int64)
+    found = previous_factors(shared, doc[near][order])
+    factor[near[order]] = np.where(found >= span, found, 0)
+    return factor
 
 
 def settle(blocks: DataFrame, span: int) -> DataFrame:
@@ -200,17 +258,20 @@ def settle(blocks: DataFrame, span: int) -> DataFrame:
         n = np.diff(bounds) - span + 1
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        suffix = np.lib.stride_tricks.sliding_window_view(data, span)[bounds[row] + within]
         anchor, doc = (rows.column(c).to_numpy() for c in ("anchor", "first"))
-        earlier = earlier_factors(suffix, anchor[row], doc[row])
-        hit, lo = row[earlier], within[earlier]
+        size = n[row] - within + span - 1
+        factor = longest_earlier(data, bounds[row] + within, size, anchor[row], doc[row], span)
+        earlier = factor >= span
+        hit, lo, factor = row[earlier], within[earlier], factor[earlier]
         if not len(hit):
             return None
-        # windows that touch become one span
-        new = np.append(True, (hit[1:] != hit[:-1]) | (lo[1:] - lo[:-1] > span))
+        # factors that touch become one span
+        far = hit.astype(np.int64) * (int(n.max()) + span)
+        end = np.maximum.accumulate(far + lo + factor) - far
+        new = np.append(True, (hit[1:] != hit[:-1]) | (lo[1:] > end[:-1]))
         last = np.append(new[1:], True)
         shift = rows.column("shift").to_numpy()[hit[new]]
-        ends = [pa.array((shift + x).astype(np.int32)) for x in (lo[new], lo[last] + span)]
+        ends = [pa.array((shift + x).astype(np.int32)) for x in (lo[new], end[last])]
         some, begin = np.unique(hit[new], return_index=True)
         bounds = pa.array(np.append(begin, new.sum()), pa.int32())
         spans = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(ends, names=["lo", "hi"]))
@@ -222,8 +283,8 @@ def settle(blocks: DataFrame, span: int) -> DataFrame:
         size = 0
         for batch in batches:
             kept += [batch] * (batch.num_rows > 0)
-            size += batch.num_rows
-            if size < 5_000:
+            size += batch.column("block").nbytes
+            if size < SETTLED:
                 continue
             table = pa.Table.from_batches(kept)
             key, part = table.column("anchor").to_numpy(), table.column("part").to_numpy()
@@ -232,7 +293,7 @@ def settle(blocks: DataFrame, span: int) -> DataFrame:
             if ready and (found := work(table.slice(0, ready))):
                 yield found
             kept = table.slice(ready).combine_chunks().to_batches()
-            size = sum(b.num_rows for b in kept)
+            size = sum(b.column("block").nbytes for b in kept)
         if size and (found := work(pa.Table.from_batches(kept))):
             yield found
 
