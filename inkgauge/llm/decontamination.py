@@ -20,6 +20,7 @@ GRAM = 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 POSITION_BITS = 30  # no string holds more words
 NO_KEY = 1 << 40  # fingerprints are below
+BROADCAST_DOCUMENTS = 500_000  # keys of 16 bytes, some 30 MB in a hash table
 
 
 def words_of(text: Column) -> Column:
@@ -110,7 +111,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int
 
 
 def extend_hits(docs: DataFrame, items: DataFrame, hits: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, _text, at, width, item_id): the windows of items that really occur in documents."""
+    """(doc_id, _text, at, width, items): the windows of items that really occur in documents, with all their items."""
     reach = window - gram
 
     def around(n: Column, hit: Column) -> Column:
@@ -118,8 +119,8 @@ def extend_hits(docs: DataFrame, items: DataFrame, hits: DataFrame, window: int
         ats = F.when(hit["width"] == window, wide).otherwise(F.array(hit["at"]))
         return F.transform(ats, lambda i: F.struct(i.alias("at"), hit["width"].alias("width")))
 
-    some = hits.where(F.size("hits") > 0).select("doc_id", "_text", "hits")
-    both = _join_back(docs, some)
+    some = stored(hits.where(F.size("hits") > 0).select("doc_id", "_text", "hits"), "hit-documents")
+    both = _join_back(_met(docs, some), some)
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: around(F.size("_w"), h))))
     run = F.transform(
         places,
@@ -132,8 +133,19 @@ def extend_hits(docs: DataFrame, items: DataFrame, hits: DataFrame, window: int
     of_items = F.transform(
         _upto(F.greatest(size - window, F.lit(0))), lambda i: F.array_join(_slice(F.col("_w"), i, window), " ")
     )
-    of_items = items.where(size > 0).select("item_id", F.explode(of_items).alias("run")).distinct()
-    return of_docs.join(of_items, "run").select("doc_id", "_text", "at", "width", "item_id")
+    of_items = items.where(size > 0).select("item_id", F.explode(of_items).alias("run"))
+    of_items = of_items.groupBy("run").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    return of_docs.join(of_items, "run").select("doc_id", "_text", "at", "width", "items")
+
+
+def _met(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """The documents in `some`, found where they lie: up to BROADCAST_DOCUMENTS keys go to every task.
+
+    Beyond that number all documents stay in, and the join moves them.
+    """
+    if some.count() > BROADCAST_DOCUMENTS:
+        return docs
+    return matching(docs, F.broadcast(some.select("doc_id", F.col("_text").alias("text_key")).distinct()), "left_semi")
 
 
 def _join_back(docs: DataFrame, some: DataFrame) -> DataFrame:
@@ -169,7 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     found = extend_hits(docs, items, hits, window, gram)
     found = found.groupBy("doc_id", "_text").agg(
         covered(F.sort_array(F.collect_set(F.struct("at", "width")))).alias("n_hit"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     right = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "n_hit", "items")
     joined = hits.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left")

@@ -1,6 +1,7 @@
 """The numbered operators against brute force, with nulls, empty texts, repeated rows and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -123,6 +124,40 @@ def test_suffix_removal(spark, monkeypatch, hot):
     assert sorted(map(tuple, found.collect()), key=str) == removed_by_brute_force(docs)
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(3)
+    for letters, span in ((2, 3), (2, 9), (4, 4), (1, 5)):
+        size = rng.integers(span, 30, 60)
+        bounds = np.append(0, np.cumsum(size))
+        data = rng.integers(0, letters, bounds[-1]).astype(np.uint8)
+        anchor, doc = rng.integers(0, 3, 60), rng.integers(0, 12, 60)
+        row = np.repeat(np.arange(60), size - span + 1)
+        at = np.concatenate([np.arange(n - span + 1) for n in size])
+        got = suffixes.longest_earlier(data, bounds[row] + at, size[row] - at, anchor[row], doc[row], span)
+        whole = [data[bounds[r] + a : bounds[r + 1]].tobytes() for r, a in zip(row, at)]
+        for i, text in enumerate(whole):
+            earlier = [whole[j] for j in np.flatnonzero((anchor[row] == anchor[row[i]]) & (doc[row] < doc[row[i]]))]
+            most = max((len(os.path.commonprefix([text, other])) for other in earlier), default=0)
+            assert got[i] == (most if most >= span else 0)
+
+
+def test_blocks_do_not_depend_on_chunks(monkeypatch):
+    rng = np.random.default_rng(8)
+    size = rng.integers(0, 400, 40)
+    bounds = np.append(0, np.cumsum(size))
+    data = rng.integers(0, 3, bounds[-1]).astype(np.uint8)
+    data[2000:2600] = 1
+
+    def windows():
+        found = suffixes.blocks_of(data, bounds, suffixes.SPAN, suffixes.GRAM)
+        return sorted((d, at + i, a) for part in found for d, at, n, a in zip(*(x.tolist() for x in part)) for i in range(n))
+
+    whole = windows()
+    assert len(whole) == sum(max(0, n - suffixes.SPAN + 1) for n in size.tolist())
+    monkeypatch.setattr(suffixes, "CHUNK", 200)
+    assert windows() == whole
+
+
 def test_suffix_removal_of_nothing(spark):
     assert suffixes.drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
