@@ -66,7 +66,9 @@ def contaminated_by_brute_force(docs, items):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_decontamination(spark, monkeypatch, few):
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCUMENTS", few)
     docs = [
         (1, "A b c d e f g h i j k l"), (2, "x the q z"), (3, None), (4, ""), (5, "q z q z q z"), (None, "q z"),
         (6, "zz " * 30 + "a b c d e f g h i j " * 3), (7, "b c d e f g h i j"), (8, "word " * 5000 + "Q-Z"),
