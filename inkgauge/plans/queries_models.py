@@ -102,7 +102,8 @@ def score_linear(v: Views) -> DataFrame:
 
 
 def _with_vectors(v: Views) -> DataFrame:
-    return models.frozen_encoder_features(v.feats(), v.table("embeddings"))
+    # a head reads vectors and features, so the texts need not meet the vectors
+    return models.frozen_encoder_features(v.feats().drop("text", "sentence_lengths"), v.table("embeddings"))
 
 
 @query(
