@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
@@ -66,38 +64,22 @@ def load_baseline(spark: SparkSession, path: str) -> tuple[LogisticRegressionMod
     return LogisticRegressionModel.load(f"{path}/classifier"), vocab
 
 
-_NGRAM_KEYS = {"bigrams": ["prev", "term"], "prefixes": ["prev"], "unigrams": ["term"]}
-_BUCKET_ROWS = 1 << 20  # rows of a bucket, about
+_NGRAM_TABLES = ("bigrams", "prefixes", "unigrams")
 
 
 def save_ngram(model: NgramModel, spark: SparkSession, path: str) -> None:
-    """The three count tables of a language model, bucketed and sorted by their keys, and their totals."""
-    columns, buckets = [], []
-    for name, keys in _NGRAM_KEYS.items():
-        table, entry = getattr(model, name), f"inkgauge_{uuid.uuid4().hex}"
-        n = max(1, -(-table.count() // _BUCKET_ROWS))
-        files = table.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys)
-        files.option("path", f"{path}/{name}").saveAsTable(entry)
-        spark.sql(f"DROP TABLE {entry}")  # only the entry of the catalog, the files stay
-        columns.append(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema))
-        buckets.append(n)
-    totals = [(model.distinct_pairs, model.tokens_by_fold, model.vocabulary, columns, buckets)]
-    schema = "distinct_pairs long, tokens_by_fold array<long>, vocabulary long, columns array<string>, buckets array<int>"
-    spark.createDataFrame(totals, schema).write.mode("overwrite").parquet(f"{path}/totals")
+    """The three count tables of a language model, written where they lie, and their totals."""
+    for name in _NGRAM_TABLES:
+        getattr(model, name).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    totals = [(model.distinct_pairs, model.tokens_by_fold, model.vocabulary)]
+    schema = "distinct_pairs long, tokens_by_fold array<long>, vocabulary long"
+    spark.createDataFrame(totals, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def load_ngram(spark: SparkSession, path: str) -> NgramModel:
-    """The saved language model; a missing one is an error. Joins by the keys read its buckets in place."""
+    """The saved language model; a missing one is an error."""
     totals = spark.read.parquet(f"{path}/totals").first()
-    tables = []
-    for (name, keys), columns, n in zip(_NGRAM_KEYS.items(), totals["columns"], totals["buckets"]):
-        entry, by = f"inkgauge_{uuid.uuid4().hex}", ", ".join(keys)
-        where = f"{path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
-        spark.sql(
-            f"CREATE TABLE {entry} ({columns}) USING parquet "
-            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{where}'"
-        )
-        tables.append(spark.table(entry))
+    tables = [spark.read.parquet(f"{path}/{name}") for name in _NGRAM_TABLES]
     return NgramModel(*tables, totals["distinct_pairs"], list(totals["tokens_by_fold"]), totals["vocabulary"])
 
 

@@ -1,5 +1,7 @@
 """Metrics, splits, decisions and models against hand-computed or brute-force results."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -214,6 +216,18 @@ def test_saved_language_model(spark):
     assert {k: r.perplexity for k, r in edited.items()} == {r.doc_id: r.perplexity for r in direct.collect()}
 
 
+def test_a_language_model_is_saved_where_it_lies(spark):
+    docs = spark.createDataFrame([(i, i % 2, f"a b w{i}") for i in range(40)], "doc_id long, fold int, text string")
+    model, path = ngram_model.fit(docs, folds=2), work_path(spark, "saved")
+    spread = replace(model, bigrams=model.bigrams.repartitionByRange(5, "prev", "term"))
+    sinks.save_ngram(spread, spark, path)
+    again = sinks.load_ngram(spark, path)
+    assert again.bigrams.select(F.input_file_name()).distinct().count() == 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("inkgauge_")]
+    for name in ("bigrams", "prefixes", "unigrams"):
+        assert sorted(getattr(again, name).collect()) == sorted(getattr(model, name).collect())
+
+
 def test_regular_ids_reach_all_folds(spark):
     ids = spark.range(200).selectExpr("id * 5 AS doc_id")
     assert ngram_model.assign_fold(ids).select("fold").distinct().count() == 5
