@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions import text as T
 from inkgauge.functions.columns import run_lengths
+from inkgauge.operators import term_blocks
 from inkgauge.session import stored
 
 VOCABULARY_SIZE = 10_000
@@ -25,14 +26,19 @@ def term_doc_counts(df: DataFrame, key: str = "doc_id", terms: Column | None = N
     )
 
 
-def term_stats(df: DataFrame, by: list[str] | None = None, terms: Column | None = None) -> DataFrame:
-    """(by, term, total, df): occurrences and documents per term."""
+def term_stats(
+    df: DataFrame, by: list[str] | None = None, terms: Column | None = None, words: Column | None = None
+) -> DataFrame:
+    """(by, term, total, df): occurrences and documents per term.
+
+    Without `terms` they are the words and pairs of `words`, the tokens of the text if not given.
+    """
     by = by or []
-    terms = T.terms(F.col("text")) if terms is None else terms
-    counted = df.select(*by, F.explode(run_lengths(terms, "term", "tf")).alias("_t"))
-    return counted.groupBy(*by, F.col("_t.term").alias("term")).agg(
-        F.sum("_t.tf").alias("total"), F.count("*").alias("df")
-    )
+    if terms is None:
+        counted = term_blocks.count_terms(df, by, T.tokens(F.col("text")) if words is None else words, pairs=True)
+    else:
+        counted = term_blocks.count_terms(df, by, terms)
+    return counted.groupBy(*by, "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def vocabulary(stats: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:
