@@ -27,7 +27,9 @@ MAX_CELLS = 1 << 24  # coefficients of all folds together; they go to every task
 BLOCK = 2048  # rows of a block
 SLICE = 1 << 16  # coefficients whose sums meet in one group
 FAN_IN = 64  # partial sums that one group adds up
-MEMORY = 10  # steps that L-BFGS looks back
+MEMORY = 100  # steps that L-BFGS looks back; fewer if they are more than HISTORY numbers, but 10 at least
+HISTORY = 1 << 24
+NORMS = 32  # folds up to which a block holds the norms of its rows
 ROUNDING = 1e-12  # of the loss: an increase this small is no increase
 
 
@@ -71,14 +73,20 @@ class Block:
     terms: np.ndarray
     counts: np.ndarray
     ready: bool = False
+    norms: np.ndarray | None = None  # of the rows' vectors, by fold
 
-    def vectors(self, idf: np.ndarray) -> np.ndarray:
-        """Entries of the normalised tf-idf vectors under the weights of one fold."""
+    def norm(self, fold: int, idf: np.ndarray) -> np.ndarray:
+        """Lengths of the tf-idf vectors under the weights of one fold; 1 for an empty one."""
         if self.ready:
-            return self.counts
-        value = self.counts * idf[self.terms]
-        norm = np.sqrt(self.sums(value**2))
-        return value / np.repeat(np.where(norm > 0, norm, 1.0), np.diff(self.start))
+            return np.ones(len(self.label))
+        if self.norms is not None:
+            return self.norms[fold]
+        norm = np.sqrt(self.sums((self.counts * idf[self.terms]) ** 2))
+        return np.where(norm > 0, norm, 1.0)
+
+    def spread(self, by_row: np.ndarray) -> np.ndarray:
+        """The value of its row for each entry."""
+        return np.repeat(by_row, np.diff(self.start))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Of the entries, by row."""
@@ -88,10 +96,9 @@ class Block:
             out[filled] = np.add.reduceat(values, self.start[filled])
         return out
 
-    def scores(self, idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, linear scores) under one fold."""
-        entry = self.vectors(idf)
-        return entry, self.sums(entry * w[self.terms]) + self.stats @ w[-3:-1] + w[-1]
+    def scores(self, fold: int, idf: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Linear scores under one fold."""
+        return self.sums(self.counts * (idf * w[:-3])[self.terms]) / self.norm(fold, idf) + self.stats @ w[-3:-1] + w[-1]
 
 
 def vector_blocks(rows: DataFrame, features: str, label: str, size: int = BLOCK) -> tuple[DataFrame, Folds]:
@@ -105,7 +112,8 @@ def vector_blocks(rows: DataFrame, features: str, label: str, size: int = BLOCK)
         F.lit(-1).alias("fold"), F.lit(False).alias("test"), F.col(label).cast("double").alias("label"),
         F.lit(0.0).alias("perplexity"), F.lit(0.0).alias("burstiness"), entries.alias("terms"), vector["values"].alias("counts"),
     )
-    return _stored_blocks(plain, size, ready=True), Folds(["all"], [str(i) for i in range(d)], np.ones((1, d)))
+    folds = Folds(["all"], [str(i) for i in range(d)], np.ones((1, d)))
+    return _stored_blocks(plain, size, folds, ready=True), folds
 
 
 def blocks(rows: DataFrame, folds: Folds, by: str, terms: Column, size: int = BLOCK) -> DataFrame:
@@ -123,11 +131,12 @@ def blocks(rows: DataFrame, folds: Folds, by: str, terms: Column, size: int = BL
         F.col("_v.indices").alias("terms"),
         F.col("_v.values").alias("counts"),
     )
-    return _stored_blocks(plain, size, ready=False)
+    return _stored_blocks(plain, size, folds, ready=False)
 
 
-def _stored_blocks(plain: DataFrame, size: int, ready: bool) -> DataFrame:
+def _stored_blocks(plain: DataFrame, size: int, folds: Folds, ready: bool) -> DataFrame:
     ship(plain.sparkSession)
+    sent = plain.sparkSession.sparkContext.broadcast(folds.idf) if not ready and len(folds.names) <= NORMS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +149,8 @@ def _stored_blocks(plain: DataFrame, size: int, ready: bool) -> DataFrame:
                     np.column_stack([number("perplexity"), number("burstiness")]), np.r_[0, np.cumsum(lengths)],
                     part.column("terms").flatten().to_numpy(), part.column("counts").flatten().to_numpy(), ready,
                 )
+                if sent is not None:
+                    made.norms = np.array([made.norm(f, idf) for f, idf in enumerate(sent.value)])
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(made))], pa.binary())], names=["block"])
 
     return stored(plain.mapInArrow(run, "block binary"), "fold-blocks")
@@ -202,11 +213,12 @@ def losses(table: DataFrame, folds: Folds, points: np.ndarray, active: np.ndarra
         gradient, loss = total[: len(on) * d].reshape(len(on), d), total[len(on) * d :]
         for i, f in enumerate(on):
             use = ~block.test & (block.fold != f)
-            entry, z = block.scores(idf[i], w[i])
+            z = block.scores(f, idf[i], w[i])
             sign = 2 * block.label - 1
             loss[i] += np.logaddexp(0.0, -sign * z)[use].sum()
             residual = np.where(use, 1 / (1 + np.exp(-np.clip(z, -700, 700))) - block.label, 0.0)
-            gradient[i, : d - 3] += np.bincount(block.terms, entry * np.repeat(residual, np.diff(block.start)), d - 3)
+            by_term = np.bincount(block.terms, block.counts * block.spread(residual / block.norm(f, idf[i])), d - 3)
+            gradient[i, : d - 3] += idf[i] * by_term
             gradient[i, -3:-1] += residual @ block.stats
             gradient[i, -1] += residual.sum()
 
@@ -228,7 +240,8 @@ def curvatures(table: DataFrame, folds: Folds, c: float) -> np.ndarray:
         squares = total.reshape(len(idf), d)
         for f in range(len(idf)):
             use = (~block.test & (block.fold != f)).astype(float)
-            squares[f, : d - 3] += np.bincount(block.terms, block.vectors(idf[f]) ** 2 * np.repeat(use, np.diff(block.start)), d - 3)
+            by_term = np.bincount(block.terms, block.counts**2 * block.spread(use / block.norm(f, idf[f]) ** 2), d - 3)
+            squares[f, : d - 3] += idf[f] ** 2 * by_term
             squares[f, -3:-1] += use @ block.stats**2
             squares[f, -1] += use.sum()
 
@@ -241,9 +254,9 @@ def curvatures(table: DataFrame, folds: Folds, c: float) -> np.ndarray:
 class _Fold:
     """L-BFGS of one fold, asked for trial points and told what was found there."""
 
-    def __init__(self, point: np.ndarray, loss: float, gradient: np.ndarray, curvature: np.ndarray, tol: float):
+    def __init__(self, point: np.ndarray, loss: float, gradient: np.ndarray, curvature: np.ndarray, tol: float, memory: int = 10):
         self.point, self.loss, self.gradient, self.curvature, self.tol = point, loss, gradient, curvature, tol
-        self.steps: deque = deque(maxlen=MEMORY)
+        self.steps: deque = deque(maxlen=memory)
         self.stuck = False
         self._turn()
 
@@ -318,7 +331,8 @@ def fit_folds(table: DataFrame, folds: Folds, c: float = 1.0, tol: float = 1e-6,
         return Fitted(folds, points, np.zeros(0), 0)
     curvature = curvatures(table, folds, c)
     loss, gradient = losses(table, folds, points, every, c)
-    states = [_Fold(points[f], loss[f], gradient[f], curvature[f], tol) for f in range(k)]
+    memory = max(10, min(MEMORY, HISTORY // (k * d)))
+    states = [_Fold(points[f], loss[f], gradient[f], curvature[f], tol, memory) for f in range(k)]
     scans = 1
     while scans < max_iter and any(active := np.array([not s.done for s in states])):
         points = np.array([s.trial() for s in states])
@@ -337,7 +351,7 @@ def held_out_counts(table: DataFrame, fitted: Fitted) -> np.ndarray:
         idf, w = shared
         for f in np.unique(block.fold[block.test & (block.fold >= 0)]):
             use = block.test & (block.fold == f)
-            positive = block.scores(idf[f], w[f])[1] > 0
+            positive = block.scores(f, idf[f], w[f]) > 0
             total[4 * f : 4 * f + 4] += np.bincount((2 * block.label + positive)[use].astype(int), minlength=4)
 
     found = sum_over_blocks(table, (folds.idf, fitted.coefficients), add, 4 * len(folds.names))

@@ -115,3 +115,42 @@ def test_too_many_folds_are_refused(spark, monkeypatch):
     monkeypatch.setattr(fold_fit, "MAX_CELLS", 50)
     with pytest.raises(ValueError, match="coefficients"):
         fitted(corpus(spark))
+
+
+def test_norms_in_blocks_change_nothing(spark, monkeypatch):
+    df = corpus(spark, 80)
+    rows, held = fitted(df)
+    monkeypatch.setattr(fold_fit, "NORMS", 0)
+    plain, again = fitted(df)
+    kept = [[b.norms is not None for b in fold_fit._unpacked([x.select("block").toArrow()], fold_fit.Block)] for x in (rows, plain)]
+    assert all(kept[0]) and not any(kept[1])
+    assert np.abs(held.coefficients - again.coefficients).max() < 1e-8
+    assert (fold_fit.held_out_counts(rows, held) == fold_fit.held_out_counts(plain, again)).all()
+
+
+def test_a_long_memory_needs_fewer_steps():
+    rng = np.random.default_rng(5)
+    q = np.linalg.qr(rng.standard_normal((80, 80)))[0]
+    a, b = q * np.logspace(0, 3, 80) @ q.T, rng.standard_normal(80)
+
+    def steps(memory):
+        state, n = fold_fit._Fold(np.zeros(80), 0.0, -b, np.ones(80), 1e-6, memory), 0
+        while not state.done:
+            w, n = state.trial(), n + 1
+            state.tell(w @ a @ w / 2 - b @ w, a @ w - b)
+        assert np.abs(a @ state.point - b).max() <= 1e-6
+        return n
+
+    assert steps(fold_fit.MEMORY) < 0.8 * steps(10)
+
+
+def test_the_memory_is_bounded_in_numbers(spark, monkeypatch):
+    seen = []
+    fold = fold_fit._Fold
+    monkeypatch.setattr(fold_fit, "_Fold", lambda *args: seen.append(args[-1]) or fold(*args))
+    rows, result = fitted(corpus(spark, 40))
+    monkeypatch.setattr(fold_fit, "HISTORY", 20 * result.coefficients.size)
+    fold_fit.fit_folds(rows, result.folds)
+    monkeypatch.setattr(fold_fit, "HISTORY", 0)
+    fold_fit.fit_folds(rows, result.folds, max_iter=1)
+    assert set(seen) == {fold_fit.MEMORY, 20, 10}
