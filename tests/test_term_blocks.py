@@ -40,3 +40,16 @@ def test_keys_beyond_64_bits_are_numbered():
     key = np.array([1 << 60, 5, 1 << 60, 5, 7])
     found = term_blocks._counted(key, np.array([0, 0, 0, 9, 9]), 10)
     assert [x.tolist() for x in found] == [[5, 7, 1 << 60], [2, 1, 2], [2, 1, 1]]
+
+
+def test_held_out_vocabulary_stores_own_counts_only(spark, monkeypatch):
+    names, stored = [], tfidf.stored
+    monkeypatch.setattr(tfidf, "stored", lambda df, name: names.append(name) or stored(df, name))
+    df = spark.createDataFrame([*[r for r in ROWS if r[2]], (8, "b", "blue fox red")], "doc_id long, source string, text string")
+    found = {tuple(r) for r in tfidf.held_out_vocab(tfidf.term_stats(df, ["source"]), "source", 3).collect()}
+    assert names == ["own-terms"]
+    wanted = set()
+    for source in ("a", "b"):  # a row without a source is in every fold
+        rest = df.where(~F.col("source").eqNullSafe(source))
+        wanted |= {(source, r.term, r.total, r.df) for r in tfidf.vocabulary(tfidf.term_stats(rest), 3).collect()}
+    assert found == wanted
