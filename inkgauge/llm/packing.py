@@ -69,6 +69,7 @@ class Availability:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
 
+BATCH_BYTES = 4 << 20  # of texts that a task holds at once, about
 BROADCAST_ROWS = 500_000  # of three numbers each
 Plan = list[tuple[list[tuple[int, int]], int]]
 
@@ -165,7 +166,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool) -> DataF
         wide = 4 * capacity
         for batch in batches:
             names = batch.column(0)
-            for begin, texts in texts_of(batch):
+            for begin, texts in texts_of(batch, chars=1 << 20):
                 at, piece, start, length, crc, number, ids = [], [], [], [], [], [], []
                 for i, text in enumerate(texts, begin):
                     tokens = encode(text or "") + END
@@ -202,7 +203,7 @@ def pack_documents(
     each for itself, an empty table gives no rows. Only `doc_id` and `text` are read of `docs`.
     """
     docs = take(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    pieces = stored(cut(docs, tokenizer or default_path(), capacity, keep_ids), "pieces")
+    pieces = stored(cut(docs, tokenizer or default_path(), capacity, keep_ids), "pieces", BATCH_BYTES)
     by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     totals = by_task.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect()
     counts = {r["length"]: r["n"] for r in totals}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from inkgauge.llm import licenses, neardup, toxicity
+from inkgauge.llm import encoding, licenses, neardup, toxicity
 from inkgauge.llm.encoding import WordEncoder, default_path
 
 DOCS = "doc_id long, text string"
@@ -119,3 +119,14 @@ def test_mixed_tricks_reach_the_lattice(spark):
     }
     assert [t for t, word in tricks.items() if word not in restorer.words(f"you {t}, they say")] == []
     assert restorer.words("1 2 3 4 5") == set()
+
+
+def test_encoder_with_a_full_table(monkeypatch):
+    own, rng = Tokenizer.from_file(default_path()), random.Random(6)
+    monkeypatch.setattr(encoding, "KEPT_CHUNKS", 20)
+    encoder = WordEncoder(default_path())
+    pool = ["house", "House,", "don't", "'s'", "x1y2", "été", "STRASSE", "ſo", "...", "a-b", "€5", "œuvre", "andthesering", "\t", "\x0b", "\n"]
+    texts = [" ".join(rng.choice(pool) + rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(500)]
+    for text in texts:
+        assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids), text
+    assert 0 < len(encoder.known) <= 20
