@@ -6,10 +6,12 @@ import re._parser as parser
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkgauge.llm import encoding, licenses, neardup, toxicity
+from inkgauge.llm import common, encoding, licenses, neardup, packing, toxicity
 from inkgauge.llm.encoding import WordEncoder, default_path
 
 DOCS = "doc_id long, text string"
@@ -130,3 +132,18 @@ def test_encoder_with_a_full_table(monkeypatch):
     for text in texts:
         assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in own.encode(text, add_special_tokens=False).ids), text
     assert 0 < len(encoder.known) <= 20
+
+
+# memory of a task that packs
+
+
+def test_batches_are_bounded_while_a_table_is_stored(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    docs = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("a"), 10_000).alias("text"))
+    bounded = common.stored(docs.mapInArrow(sizes, "n long"), "sizes", 1 << 20).collect()
+    assert sum(r.n for r in bounded) == 900 and max(r.n for r in bounded) < 200
+    assert spark.conf.get(common.BATCH_BYTES, None) is None
+    assert packing.BATCH_BYTES <= 8 << 20
