@@ -5,6 +5,9 @@ its own vocabulary and inverse document frequencies, so its vector is made from
 is read. A step evaluates the loss and gradient of all folds at their trial points in one scan: a task
 adds up its rows' gradients, the sums meet in a tree, and the driver moves every fold by its own L-BFGS
 step. The scans needed are those of the slowest fold, whatever the number of folds.
+
+The steps of a single fold are preconditioned with the curvature of a bounded sample of its rows. That only
+chooses where to look: losses, gradients and the end of the search are those of all rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,9 @@ FAN_IN = 64  # partial sums that one group adds up
 MEMORY = 100  # steps that L-BFGS looks back; fewer if they are more than HISTORY numbers, but 10 at least
 HISTORY = 1 << 24
 NORMS = 32  # folds up to which a block holds the norms of its rows
+AT_ONCE = 1 << 21  # numbers of all partial sums that the driver adds up itself, without a shuffle
+SAMPLE = 1024  # rows, about, whose curvature preconditions the steps
+UNSEEN = 0.01  # share of the bound of the curvature that the sample is taken to miss
 ROUNDING = 1e-12  # of the loss: an increase this small is no increase
 
 
@@ -178,13 +185,52 @@ def _tree_sum(partial: DataFrame, partitions: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(v) for _, v in found]) if found else np.empty(0)
 
 
+def _held(table: DataFrame, cells: int) -> RDD | None:
+    """The blocks where the executors keep them, on disk if they have to, when the partial sums are few numbers.
+
+    A scan of them is one stage without a plan, which for blocks is most of its time.
+    """
+    rows = table.rdd
+    if rows.getNumPartitions() * cells > AT_ONCE:
+        return None
+    return rows.map(lambda r: r["block"]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _plain_sum(held: RDD, sent, add: Callable[[object, object, np.ndarray], None], cells: int, kind: type) -> np.ndarray:
+    """Sums of the tasks, added up in their order."""
+
+    def run(packed: Iterator[bytes]) -> Iterator[bytes]:
+        total = np.zeros(cells)
+        for cell in packed:
+            add(kind(**pickle.loads(cell)), sent.value, total)
+        yield total.tobytes()
+
+    total = np.zeros(cells)
+    for part in held.mapPartitions(run).collect():  # at most AT_ONCE numbers
+        total += np.frombuffer(part)
+    return total
+
+
 def sum_over_blocks(
-    table: DataFrame, shared, add: Callable[[object, object, np.ndarray], None], cells: int, kind: type = Block
+    table: DataFrame,
+    shared,
+    add: Callable[[object, object, np.ndarray], None],
+    cells: int,
+    kind: type = Block,
+    held: RDD | None = None,
 ) -> np.ndarray:
-    """`add(block, shared, total)` for every block, totals of all tasks added up; `shared` goes to every task."""
+    """`add(block, shared, total)` for every block, totals of all tasks added up; `shared` goes to every task.
+
+    `held` are the blocks of `table` as `_held` keeps them.
+    """
     ship(table.sparkSession)
     sc = table.sparkSession.sparkContext
     sent = sc.broadcast(shared)  # at most MAX_CELLS numbers, see `fit_folds`
+    if held is not None:
+        try:
+            return _plain_sum(held, sent, add, cells, kind)
+        finally:
+            sent.destroy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,7 +250,9 @@ def sum_over_blocks(
     return total if len(total) else np.zeros(cells)
 
 
-def losses(table: DataFrame, folds: Folds, points: np.ndarray, active: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
+def losses(
+    table: DataFrame, folds: Folds, points: np.ndarray, active: np.ndarray, c: float, held: RDD | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(loss, gradient) of the active folds at `points`: |w|^2 / 2 + c * sum of log losses, in one scan."""
     idf, d = folds.idf, folds.dimension
 
@@ -223,7 +271,7 @@ def losses(table: DataFrame, folds: Folds, points: np.ndarray, active: np.ndarra
             gradient[i, -1] += residual.sum()
 
     on = np.flatnonzero(active)
-    total = sum_over_blocks(table, (idf[on], points[on], on), add, len(on) * (d + 1))
+    total = sum_over_blocks(table, (idf[on], points[on], on), add, len(on) * (d + 1), held=held)
     loss, gradient = np.full(len(active), np.nan), np.full(points.shape, np.nan)
     w = points[on].copy()
     w[:, -1] = 0.0  # the intercept is not penalised
@@ -232,7 +280,7 @@ def losses(table: DataFrame, folds: Folds, points: np.ndarray, active: np.ndarra
     return loss, gradient
 
 
-def curvatures(table: DataFrame, folds: Folds, c: float) -> np.ndarray:
+def curvatures(table: DataFrame, folds: Folds, c: float, held: RDD | None = None) -> np.ndarray:
     """Per fold and coefficient a bound of the second derivative."""
     d = folds.dimension
 
@@ -245,21 +293,92 @@ def curvatures(table: DataFrame, folds: Folds, c: float) -> np.ndarray:
             squares[f, -3:-1] += use @ block.stats**2
             squares[f, -1] += use.sum()
 
-    squares = sum_over_blocks(table, folds.idf, add, len(folds.names) * d).reshape(len(folds.names), d)
+    squares = sum_over_blocks(table, folds.idf, add, len(folds.names) * d, held=held).reshape(len(folds.names), d)
     bound = c * squares / 4
     bound[:, :-1] += 1.0
     return np.maximum(bound, 1e-12)
 
 
+class _Sampled:
+    """Second derivatives of one fold's loss as a sample of its rows has them, solved for a vector.
+
+    They are a diagonal plus rows^T weights rows, so a system as large as the sample is solved. The
+    diagonal is the penalty and the share UNSEEN of the bound.
+    """
+
+    def __init__(self, rows: Block, idf: np.ndarray, bound: np.ndarray, weight: float):
+        n, d = len(rows.label), len(bound)
+        lengths = np.diff(rows.start)
+        values = rows.counts * idf[rows.terms] / rows.spread(rows.norm(0, idf))
+        own = np.column_stack([rows.stats, np.ones(n)])
+        self.row = np.r_[np.repeat(np.arange(n), lengths), np.repeat(np.arange(n), 3)]
+        self.column = np.r_[rows.terms, np.tile(np.arange(d - 3, d), n)].astype(np.int64)
+        self.value = np.r_[values, own.ravel()]
+        self.weight = weight
+        penalty = np.r_[np.ones(d - 1), 0.0]
+        self.diagonal = np.maximum(penalty + UNSEEN * (bound - penalty), 1e-12)
+        order = np.argsort(self.column, kind="stable")
+        ends = np.searchsorted(self.column[order], np.arange(0, d + SAMPLE, SAMPLE))
+        self.products = np.zeros((n, n))
+        for i, lo in enumerate(range(0, d, SAMPLE)):
+            at = order[ends[i] : ends[i + 1]]
+            part = np.zeros((n, min(SAMPLE, d - lo)))
+            np.add.at(part, (self.row[at], self.column[at] - lo), self.value[at])
+            self.products += (part / self.diagonal[lo : lo + SAMPLE]) @ part.T
+
+    def _times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], len(self.products))
+
+    def move(self, point: np.ndarray) -> None:
+        """Weights of the rows at a point."""
+        p = 1 / (1 + np.exp(-np.clip(self._times(point), -700, 700)))
+        self.root = np.sqrt(self.weight * np.maximum(p * (1 - p), 1e-6))
+        self.inverse = np.linalg.inv(np.eye(len(p)) + self.products * np.outer(self.root, self.root))
+
+    def solve(self, q: np.ndarray) -> np.ndarray:
+        u = q / self.diagonal
+        inner = self.root * (self.inverse @ (self.root * self._times(u)))
+        return u - np.bincount(self.column, self.value * inner[self.row], len(q)) / self.diagonal
+
+
+def _sample(held: RDD, rows: float, size: int) -> Block | None:
+    """About `size` of the training rows of a single fold, any rows of all blocks."""
+    share = min(1.0, size / max(rows, 1.0))
+
+    def take(part: int, packed: Iterator[bytes]) -> Iterator[dict]:
+        chosen = np.random.default_rng(part)
+        for cell in packed:
+            block = Block(**pickle.loads(cell))
+            for i in np.flatnonzero((chosen.random(len(block.label)) < share) & ~block.test & (block.fold != 0)):
+                at = slice(block.start[i], block.start[i + 1])
+                yield block.terms[at], block.counts[at], block.stats[i], block.label[i], block.ready
+
+    found = held.mapPartitionsWithIndex(take).collect()
+    if not found:
+        return None
+    terms, counts, stats, label, ready = zip(*found)
+    none = np.full(len(found), -1)
+    start = np.r_[0, np.cumsum([len(t) for t in terms])]
+    return Block(none, none >= 0, np.array(label), np.array(stats), start, np.concatenate(terms), np.concatenate(counts), ready[0])
+
+
 class _Fold:
     """L-BFGS of one fold, asked for trial points and told what was found there."""
 
     def __init__(self, point: np.ndarray, loss: float, gradient: np.ndarray, curvature: np.ndarray, tol: float, memory: int = 10):
         self.point, self.loss, self.gradient, self.curvature, self.tol = point, loss, gradient, curvature, tol
         self.steps: deque = deque(maxlen=memory)
-        self.stuck = False
+        self.stuck, self.sampled = False, None
         self._turn()
 
+    def use(self, sampled: _Sampled) -> None:
+        """Precondition the steps from here on."""
+        self.sampled = sampled
+        self._turn()
+
+    def _solve(self, q: np.ndarray) -> np.ndarray:
+        return q / self.curvature if self.sampled is None else self.sampled.solve(q)
+
     @property
     def residual(self) -> float:
         """Largest gradient in units of the root of the curvature; bounds the distance to the optimum."""
@@ -270,15 +389,17 @@ class _Fold:
         return self.stuck or self.residual <= self.tol
 
     def _turn(self) -> None:
+        if self.sampled is not None:
+            self.sampled.move(self.point)
         q, used = self.gradient.copy(), []
         for s, y, sy in reversed(self.steps):
             a = (s @ q) / sy
             q -= a * y
             used.append(a)
-        q /= self.curvature
+        q = self._solve(q)
         if self.steps:
             s, y, sy = self.steps[-1]
-            q *= sy / (y @ (y / self.curvature))
+            q *= sy / (y @ self._solve(y))
         for (s, y, sy), a in zip(self.steps, reversed(used)):
             q += (a - (y @ q) / sy) * s
         self.direction, self.size = -q, 1.0
@@ -329,17 +450,26 @@ def fit_folds(table: DataFrame, folds: Folds, c: float = 1.0, tol: float = 1e-6,
     points, every = np.zeros((k, d)), np.ones(k, bool)
     if not k:
         return Fitted(folds, points, np.zeros(0), 0)
-    curvature = curvatures(table, folds, c)
-    loss, gradient = losses(table, folds, points, every, c)
-    memory = max(10, min(MEMORY, HISTORY // (k * d)))
-    states = [_Fold(points[f], loss[f], gradient[f], curvature[f], tol, memory) for f in range(k)]
-    scans = 1
-    while scans < max_iter and any(active := np.array([not s.done for s in states])):
-        points = np.array([s.trial() for s in states])
-        loss, gradient = losses(table, folds, points, active, c)
-        for f in np.flatnonzero(active):
-            states[f].tell(float(loss[f]), gradient[f])
-        scans += 1
+    ship(table.sparkSession)
+    held = _held(table, k * (d + 1))
+    try:
+        curvature = curvatures(table, folds, c, held)
+        loss, gradient = losses(table, folds, points, every, c, held)
+        memory = max(10, min(MEMORY, HISTORY // (k * d)))
+        states = [_Fold(points[f], loss[f], gradient[f], curvature[f], tol, memory) for f in range(k)]
+        rows = 4 * curvature[0][-1] / c if c > 0 else 0.0
+        if k == 1 and held is not None and rows >= 1 and (sample := _sample(held, rows, SAMPLE)) is not None:
+            states[0].use(_Sampled(sample, folds.idf[0], curvature[0], c * rows / len(sample.label)))
+        scans = 1
+        while scans < max_iter and any(active := np.array([not s.done for s in states])):
+            points = np.array([s.trial() for s in states])
+            loss, gradient = losses(table, folds, points, active, c, held)
+            for f in np.flatnonzero(active):
+                states[f].tell(float(loss[f]), gradient[f])
+            scans += 1
+    finally:
+        if held is not None:
+            held.unpersist()
     return Fitted(folds, np.array([s.point for s in states]), np.array([s.residual for s in states]), scans)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from inkgauge.operators import fold_fit, metrics, models, splits, tfidf
@@ -154,3 +155,46 @@ def test_the_memory_is_bounded_in_numbers(spark, monkeypatch):
     monkeypatch.setattr(fold_fit, "HISTORY", 0)
     fold_fit.fit_folds(rows, result.folds, max_iter=1)
     assert set(seen) == {fold_fit.MEMORY, 20, 10}
+
+
+def test_a_sample_of_the_rows_shortens_a_fit():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 40)) @ (np.linalg.qr(rng.standard_normal((40, 40)))[0] * np.logspace(1, -2, 40)).T
+    y = (x @ rng.standard_normal(40) + rng.logistic(size=600) > 0).astype(float)
+    some, bound = np.arange(0, 600, 3), np.r_[(x**2).sum(axis=0) / 4 + 1, 1, 1, 150]
+    rows = fold_fit.Block(
+        np.full(200, -1), np.zeros(200, bool), y[some], np.zeros((200, 2)), 40 * np.arange(201), np.tile(np.arange(40), 200), x[some].ravel(), True
+    )
+
+    def steps(sampled):
+        def found(w):
+            z, own = x @ w[:40] + w[-1], np.r_[w[:-1], 0]
+            error = 1 / (1 + np.exp(-z)) - y
+            return np.logaddexp(0, (1 - 2 * y) * z).sum() + own @ own / 2, np.r_[x.T @ error, 0, 0, error.sum()] + own
+
+        state, n = fold_fit._Fold(np.zeros(43), *found(np.zeros(43)), bound, 1e-6, fold_fit.MEMORY), 0
+        if sampled:
+            state.use(fold_fit._Sampled(rows, np.ones(40), bound, 3.0))
+        while not state.done and n < 500:
+            state.tell(*found(state.trial()))
+            n += 1
+        assert state.residual <= 1e-6
+        return n, state.point
+
+    (short, near), (plain, there) = steps(True), steps(False)
+    assert 2 * short < plain
+    assert np.abs(near - there).max() < 1e-4
+
+
+def test_kept_blocks_give_the_same_sums(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(rng.standard_normal(4).tolist(), i % 2) for i in range(90)], "v array<double>, label int")
+    rows, folds = fold_fit.vector_blocks(df.select("label", array_to_vector("v").alias("features")), "features", "label", size=10)
+    point, on = rng.standard_normal((1, 7)), np.ones(1, bool)
+    kept = fold_fit._held(rows, 8)
+    near, there = fold_fit.losses(rows, folds, point, on, 1.0, kept), fold_fit.losses(rows, folds, point, on, 1.0)
+    assert near[0] == pytest.approx(there[0]) and near[1] == pytest.approx(there[1])
+    assert len(fold_fit._sample(kept, 90, 1000).label) == 90
+    assert fold_fit._held(rows, fold_fit.AT_ONCE) is None or rows.rdd.getNumPartitions() == 1
+    kept.unpersist()
+    assert fold_fit.fit_folds(rows, folds).residuals[0] <= 1e-6
