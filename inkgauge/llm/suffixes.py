@@ -4,7 +4,9 @@ A byte goes if a string of `span` bytes round it also starts in a document with
 suffixes of a corpus can't meet in one place, so they are dealt by content: a window of `span`
 bytes is assigned to the smallest hash among its runs of `gram` bytes (its anchor). Equal windows
 have equal anchors wherever they stand, and an anchor that occurs in one document only needs no
-further look. Neighbouring windows of one anchor form a block; the blocks of an anchor are brought
+further look. Shared anchors that are too many for one filter, or whose blocks are most of the corpus,
+are worked off in slices.
+Neighbouring windows of one anchor form a block; the blocks of an anchor are brought
 together and the suffixes of their windows, each up to the end of its block, are sorted. The common
 prefixes of neighbours in that order and, for each suffix, the nearest positions before and after it
 that belong to a smaller document give its longest previous factor: the longest prefix that starts
@@ -15,7 +17,9 @@ are settled by its first document without sorting.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,14 @@ SPAN = 50
 GRAM = 20
 RUN = 128  # windows of a block at most, for texts that repeat themselves
 CHUNK = 1 << 21  # bytes worked on at once
+CACHED = 1 << 15  # windows hashed at once, few enough for the processor's cache
 SETTLED = 400_000  # bytes of blocks sorted at once, if their groups allow
 HOT_BLOCKS = 4096  # blocks of an anchor from which its windows are dealt one by one
 FILTER_BITS = 27  # size of the filter of shared anchors, whatever the data
+FILLED = 4  # bits of the filter per shared anchor of a slice, at least
+SHARE = 0.4  # of all blocks that a slice works on, about, if they are more than FEW
+FEW = 1 << 24
+SLICES = 1 << 10  # slices at most
 LAST = (1 << 63) - 1  # place of documents without an id in the order
 BASE = 0x9E3779B97F4A7C15
 
@@ -67,13 +76,21 @@ def sliding_min(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
+def least_hashes(data: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Smallest hash of each window of `span` bytes."""
+    out = np.empty(len(data) - span + 1, dtype=np.uint64)
+    for lo in range(0, len(out), CACHED):
+        out[lo : lo + CACHED] = sliding_min(gram_hashes(data[lo : lo + CACHED + span - 1], gram), span - gram + 1)
+    return out
+
+
 def blocks_of(data: np.ndarray, bounds: np.ndarray, span: int, gram: int):
     """(document number, first byte in `data`, windows, anchor) of the blocks of documents at `bounds`."""
     for begin in range(0, max(len(data) - span + 1, 0), CHUNK):
         part = data[begin : begin + CHUNK + span - 1]
         if len(part) < span:
             return
-        least = sliding_min(gram_hashes(part, gram), span - gram + 1)
+        least = least_hashes(part, span, gram)
         first_doc, last_doc = np.searchsorted(bounds, [begin, begin + len(least) - 1], side="right") - 1
         docs = np.arange(first_doc, last_doc + 1)
         lo = np.maximum(bounds[docs] - begin, 0)
@@ -110,7 +127,7 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(anchor, doc): of each anchor the smallest and largest document of a batch."""
+    """(anchor, doc, n): of each anchor the smallest and largest document of a batch; n adds up to its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +140,11 @@ def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
                 new = np.append(True, anchor[1:] != anchor[:-1])
                 last = np.append(new[1:], True)
                 keep = new | (last & (own != np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(own[keep])], names=["anchor", "doc"])
+                n = np.zeros(len(new), dtype=np.int32)
+                n[new] = np.diff(np.flatnonzero(new), append=len(new))
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, own, n)], names=["anchor", "doc", "n"])
 
-    return map_arrow(docs.select("doc", "bytes"), run, "anchor long, doc long")
+    return map_arrow(docs.select("doc", "bytes"), run, "anchor long, doc long, n int")
 
 
 def bit_places(anchor: Column, bits: int) -> Column:
@@ -155,8 +174,18 @@ def passes(table: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
     return found
 
 
-def shared_blocks(docs: DataFrame, table, span: int, gram: int, bits: int) -> DataFrame:
-    """(anchor, doc, text_key, at, block): the blocks of anchors that pass the filter."""
+def slice_of(anchor: Column, slices: int) -> Column:
+    """Slice of an anchor, from bits of the hash that a filter of FILTER_BITS does not use."""
+    return F.shiftrightunsigned(anchor, FILTER_BITS).bitwiseAND(F.lit(SLICES - 1).cast("long")) % slices
+
+
+def shared_blocks(
+    docs: DataFrame, table, span: int, gram: int, bits: int, slices: int = 1, number: int = 0, once: bool = False
+) -> DataFrame:
+    """(anchor, doc, text_key, at, block): the blocks of a slice's anchors that pass the filter.
+
+    With `once` equal blocks of the bytes that are worked on at once are given once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +194,14 @@ def shared_blocks(docs: DataFrame, table, span: int, gram: int, bits: int) -> Da
             whole = data.tobytes()
             for doc, at, n, anchor in blocks_of(data, bounds, span, gram):
                 keep = passes(table.value, anchor, bits)
+                if slices > 1:
+                    keep &= (anchor.view(np.uint64) >> np.uint64(FILTER_BITS)) % np.uint64(SLICES) % np.uint64(slices) == number
                 doc, at, n, anchor = doc[keep], at[keep], n[keep], anchor[keep]
                 block = [whole[a:b] for a, b in zip(at.tolist(), (at + n + span - 1).tolist())]
+                if once:
+                    first = {b: i for i, b in zip(range(len(block) - 1, -1, -1), reversed(block))}
+                    some = np.fromiter(first.values(), np.int64, len(first))
+                    doc, at, anchor, block = doc[some], at[some], anchor[some], list(first)
                 columns = [pa.array(x) for x in (anchor, ids[doc], keys[doc], at - bounds[doc])]
                 names = ["anchor", "doc", "text_key", "at", "block"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(block, pa.binary())], names=names)
@@ -304,23 +339,49 @@ def removed_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bits: int
     """(doc, text_key, marks): bytes of each document to be removed, as an unmerged array of (lo, hi).
 
     `docs` has (doc, text_key, bytes) without nulls. Blocks travel as hashes; only those of anchors
-    with several different blocks are fetched as bytes.
+    with several different blocks are fetched as bytes. Slices of the shared anchors are worked off
+    one after the other, so that neither the filter fills up nor the blocks of all meet on disk.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast
     seen = anchors(docs, span, gram)
-    shared = seen.repartition("anchor").groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    shared = stored(shared.where("lo < hi").select("anchor"), "shared-anchors")
+    shared = seen.repartition("anchor").groupBy("anchor")
+    shared = shared.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("n"))
+    shared = stored(shared.where("lo < hi").select("anchor", "n"), "shared-anchors")
+    size = shared.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("blocks")).first()
+    most = FEW
+    if size["blocks"] > FEW:
+        # the smallest of the hashes of a window changes every (runs of a window + 1) / 2 bytes
+        every = docs.agg(F.sum(F.octet_length("bytes"))).first()[0] / ((span - gram + 2) / 2)
+        most = max(FEW, SHARE * every)
+    slices = min(SLICES, max(1, math.ceil(size["blocks"] / most), math.ceil(size["anchors"] * FILLED / (1 << bits))))
+    marks = [_marks(docs, shared, span, gram, bits, slices, number) for number in range(slices)]
+    spent(shared)
+    if slices == 1:
+        return marks[0]
+    together = reduce(DataFrame.unionByName, marks).groupBy("doc", "text_key")
+    out = stored(together.agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+    spent(*marks)
+    return out
+
+
+def _marks(docs: DataFrame, shared: DataFrame, span: int, gram: int, bits: int, slices: int, number: int) -> DataFrame:
+    """(doc, text_key, marks) by the blocks of one slice of the shared anchors, stored."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    own = shared.where(slice_of(F.col("anchor"), slices) == number)
     code = F.xxhash64("block").alias("code")
-    rows = shared_blocks(docs, broadcast(anchor_filter(shared, bits)), span, gram, bits)
+    table = broadcast(anchor_filter(own, bits))
+    rows = shared_blocks(docs, table, span, gram, bits, slices, number)
     rows = stored(rows.select("anchor", code, "doc", "text_key", "at", F.octet_length("block").alias("size")), "blocks")
-    spent(shared)
+    table.destroy()
     kinds = rows.groupBy("anchor", "code").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     kinds = stored(kinds.select("anchor", "code", "first", (F.col("first") < F.col("last")).alias("again")), "kinds")
     counts = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     several = stored(kinds.join(counts, "anchor").select("anchor", "code", "first", "n"), "several")
 
-    found = shared_blocks(docs, broadcast(anchor_filter(several.select("anchor").distinct(), bits)), span, gram, bits)
-    found = found.select("anchor", "block").distinct().select("anchor", "block", code).join(several, ["anchor", "code"])
+    table = broadcast(anchor_filter(several.select("anchor").distinct(), bits))
+    found = shared_blocks(docs, table, span, gram, bits, slices, number, once=True)
+    # dealt once for the join and for equal blocks
+    found = found.select("anchor", code, "block").repartition("anchor", "code").groupBy("anchor", "code")
+    found = found.agg(F.first("block").alias("block")).join(several, ["anchor", "code"])
     hot = F.col("n") > HOT_BLOCKS
     windows = F.octet_length("block") - span + 1
     cuts = F.when(hot, F.sequence(F.lit(0), windows - 1)).otherwise(F.array(F.lit(0)))
@@ -333,6 +394,8 @@ def removed_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bits: int
     dealt = pieces.withColumn("part", part).drop("hot").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     settled = settle(dealt, span).groupBy("anchor", "code").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     settled = stored(settled, "settled")
+    table.destroy()
+    spent(several)
 
     verdict = kinds.join(settled, ["anchor", "code"], "left").where(F.col("again") | F.col("spans").isNotNull())
     marked = rows.join(verdict.drop("again"), ["anchor", "code"])
@@ -341,7 +404,7 @@ def removed_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bits: int
     spans = F.when(F.col("doc") > F.col("first"), whole).otherwise(some)
     marks = marked.select("doc", "text_key", F.explode(spans).alias("s")).groupBy("doc", "text_key")
     marks = stored(marks.agg(F.collect_list("s").alias("marks")), "marks")
-    spent(rows, kinds, several, settled)
+    spent(rows, kinds, settled)
     return marks
 
 

@@ -126,6 +126,37 @@ def test_suffix_removal(spark, monkeypatch, hot):
     assert sorted(map(tuple, found.collect()), key=str) == removed_by_brute_force(docs)
 
 
+def test_suffix_removal_in_slices(spark, monkeypatch):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 200))) for _ in range(12)]
+    docs = [(rng.randint(0, 60), "".join(rng.choice(pool) for _ in range(rng.randint(0, 5)))) for _ in range(60)]
+    df = spark.createDataFrame(docs, DOCS)
+    blocks, kept = [], suffixes.stored
+
+    def counting(table, name):
+        out = kept(table, name)
+        if name == "blocks":
+            blocks.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", counting)
+
+    def found():
+        blocks.clear()
+        rows = suffixes.drop_repeats(df).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256").collect()
+        assert sorted(map(tuple, rows), key=str) == removed_by_brute_force(docs)
+        return list(blocks)
+
+    (whole,) = found()
+    monkeypatch.setattr(suffixes, "FEW", 1)  # most blocks are shared, so they are worked off in parts
+    parts = found()
+    assert len(parts) > 1 and max(parts) < 0.75 * whole and sum(parts) == whole
+    monkeypatch.setattr(suffixes, "FEW", whole)
+    monkeypatch.setattr(suffixes, "FILLED", (1 << suffixes.FILTER_BITS) // 50)  # more anchors than a filter holds
+    parts = found()
+    assert len(parts) > 1 and max(parts) < 0.75 * whole and sum(parts) == whole
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(3)
     for letters, span in ((2, 3), (2, 9), (4, 4), (1, 5)):
