@@ -1,4 +1,4 @@
-"""Counting terms in blocks of texts: words meet as codes, only different terms of a block become rows."""
+"""Counting terms in blocks of texts: words meet as codes, only different terms of a block travel, packed by part."""
 
 from __future__ import annotations
 
@@ -14,6 +14,11 @@ from inkgauge.functions.stopwords import ENGLISH_STOP_WORDS
 from inkgauge.operators import ngram_blocks
 from inkgauge.session import ship
 
+BLOCK_TOKENS = 1 << 20  # tokens of a block
+PARTS = 1024  # parts that terms are dealt to, by hash
+CELL_BYTES = 1 << 22  # packed terms, about, that are added up at once
+ROWS = 1 << 16  # terms given back at once
+
 
 def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row, code, words) of the tokens, nulls left out."""
@@ -52,44 +57,127 @@ def _counted(key: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return key if keys is None else keys[key], total, df
 
 
+def _cells(p: np.ndarray, text: pa.Array, total: np.ndarray, has: np.ndarray, group: np.ndarray | None) -> Iterator[tuple]:
+    """(part, packed terms, groups of them) of terms with their parts."""
+    order = np.argsort(p, kind="stable")
+    p, total, has = p[order], total[order], has[order]
+    text = text.take(pa.array(order)).cast(pa.large_binary())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    letters = np.frombuffer(text.buffers()[2], np.uint8) if len(text) and text.buffers()[2] else np.empty(0, np.uint8)
+    sizes = np.diff(ends)
+    for part, at in ngram_blocks._slices(p):
+        own = {} if group is None else dict(zip(("groups", "group"), np.unique(group[order[at]], return_inverse=True)))
+        groups = own.pop("groups", None)
+        planes = {"letters": letters[ends[at.start] : ends[at.stop]], "sizes": sizes[at], "total": total[at], "df": has[at], **own}
+        yield part, ngram_blocks._packed(**planes), groups
+
+
+def _added(rows: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """(by, term, total, df) of the cells of whole parts."""
+    found = [ngram_blocks._unpacked(cell.as_py()) for cell in rows.column("cell")]
+    sizes = np.concatenate([x["sizes"] for x in found])
+    letters = np.concatenate([x["letters"] for x in found])
+    ends = np.r_[np.int64(0), np.cumsum(sizes)].astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
+    key, first, values = coded.indices.to_numpy().astype(np.int64), np.zeros(1, np.int64), None
+    if keys:
+        # the groups of all cells, one after the other
+        values = pa.table({k: pa.chunked_array([c.flatten() for c in rows.column(k).chunks]) for k in keys})
+        base = np.cumsum([0, *(len(x) for x in rows.column(keys[0]))])
+        number, first = _groups(values, keys)
+        key = key * len(first) + number[np.concatenate([x["group"] + base[i] for i, x in enumerate(found)])]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(ngram_blocks._new(key))
+    total, has = (np.add.reduceat(np.concatenate([x[c] for x in found])[order], at) for c in ("total", "df"))
+    term, group = key[at] // len(first), first[key[at] % len(first)]
+    for lo in range(0, len(at), ROWS):
+        part = slice(lo, lo + ROWS)
+        own = [values.column(k).take(pa.array(group[part])).combine_chunks() for k in keys]
+        own = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own]
+        text = coded.dictionary.take(pa.array(term[part])).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([*own, text, pa.array(total[part]), pa.array(has[part])], names=[*keys, "term", "total", "df"])
+
+
 def count_terms(df: DataFrame, by: list[str], terms: Column, pairs: bool = False) -> DataFrame:
-    """(by, term, total, df) by block: occurrences and rows of each term.
+    """(by, term, total, df): occurrences and rows of each term.
 
     With `pairs`, `terms` are words; stop words are left out, and pairs of adjacent ones are terms too.
+    A block sends its different terms, packed, to the part where the hash of their words puts them.
     """
     ship(df.sparkSession)
-    size = ngram_blocks.BLOCK_TOKENS
+    size = min(BLOCK_TOKENS, ngram_blocks.BLOCK_TOKENS)
     stop = pa.array(sorted(ENGLISH_STOP_WORDS))
     keys = [f"_by{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], terms.alias("tokens"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in ngram_blocks._batches(batches, size):
-            row, code, words = _flat(part)
-            group, first = _groups(part, keys)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in ngram_blocks._batches(batches, size):
+            row, code, words = _flat(block)
+            group, first = _groups(block, keys)
             if pairs:
                 use = ~pc.is_in(words, value_set=stop.cast(words.type)).to_numpy(zero_copy_only=False)[code]
                 row, code = row[use], code[use]
             n, v = len(first), len(words)
-            found = [(words, *_counted(code * n + group[row], row, part.num_rows))]
+            hashes = ngram_blocks._word_hashes(words)
+            found = [(False, *_counted(code * n + group[row], row, block.num_rows))]
             if pairs:
                 same = np.flatnonzero(row[1:] == row[:-1])
                 key = (code[same] * v + code[same + 1]) * n + group[row[same]]
-                found.append((None, *_counted(key, row[same], part.num_rows)))
-            for single, key, total, has in found:
+                found.append((True, *_counted(key, row[same], block.num_rows)))
+            for two, key, total, has in found:
                 if not len(key):
                     continue
-                at, g = key // n, first[key % n]
-                if single is None:
-                    text = pc.binary_join_element_wise(words.take(pa.array(at // v)), words.take(pa.array(at % v)), " ")
+                at = key // n
+                if two:
+                    a, b = at // v, at % v
+                    part = ngram_blocks._part(ngram_blocks._pair_keys(hashes[a], hashes[b]), PARTS)
+                    text = pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), " ")
                 else:
+                    part = ngram_blocks._part(ngram_blocks._mixed(hashes[at]), PARTS)
                     text = words.take(pa.array(at))
-                own = [part.column(k).take(pa.array(g)).combine_chunks() for k in keys]
-                own = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, text.cast(pa.string()), pa.array(total), pa.array(has.astype(np.int64))], names=[*keys, "term", "total", "df"]
-                )
-
-    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
-    counted = rows.mapInArrow(run, ", ".join([*kinds, "term string", "total long", "df long"]))
+                part, cells, groups = zip(*_cells(part, text, total, has.astype(np.int64), key % n if keys else None))
+                arrays = [pa.array(part, pa.int32()), pa.array(cells, pa.binary())]
+                if keys:
+                    ends, of = np.r_[0, np.cumsum([len(g) for g in groups])], pa.array(first[np.concatenate(groups)])
+                    for k in keys:
+                        own = block.column(k).take(of).combine_chunks()
+                        own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+                        arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), own))
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "cell", *keys])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come part by part; some whole parts are added up at once."""
+        held, held_bytes = [], 0
+        for batch in batches:
+            held.append(batch)
+            held_bytes += batch.nbytes
+            part = batch.column("part").to_numpy()
+            if held_bytes < CELL_BYTES or not len(part):
+                continue
+            table = pa.Table.from_batches(held)
+            ready = int(np.searchsorted(table.column("part").to_numpy(), part[-1]))
+            yield from _in_turn(table.slice(0, ready), keys)
+            held = [b for b in table.slice(ready).to_batches() if len(b)]
+            held_bytes = sum(b.nbytes for b in held)
+        if any(len(b) for b in held):
+            yield from _in_turn(pa.Table.from_batches(held), keys)
+
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
+    lists = "".join(f", {k} array<{t}>" for k, t in kinds.items())
+    cells = rows.mapInArrow(split, "part int, cell binary" + lists).repartition("part").sortWithinPartitions("part")
+    counted = cells.mapInArrow(add, ", ".join([*(f"{k} {t}" for k, t in kinds.items()), "term string, total long, df long"]))
     return counted.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "term", "total", "df")
+
+
+def _in_turn(table: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sums of cells in the order of their parts, as many whole parts at once as are about CELL_BYTES."""
+    if not len(table):
+        return
+    size = np.cumsum(pc.binary_length(table.column("cell")).to_numpy().astype(np.int64))
+    part, lo = table.column("part").to_numpy(), 0
+    while lo < len(part):
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CELL_BYTES))
+        hi = int(np.searchsorted(part, part[min(hi, len(part) - 1)], side="right"))
+        yield from _added(table.slice(lo, hi - lo), keys)
+        lo = hi

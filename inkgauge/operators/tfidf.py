@@ -35,10 +35,8 @@ def term_stats(
     """
     by = by or []
     if terms is None:
-        counted = term_blocks.count_terms(df, by, T.tokens(F.col("text")) if words is None else words, pairs=True)
-    else:
-        counted = term_blocks.count_terms(df, by, terms)
-    return counted.groupBy(*by, "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+        return term_blocks.count_terms(df, by, T.tokens(F.col("text")) if words is None else words, pairs=True)
+    return term_blocks.count_terms(df, by, terms)
 
 
 def vocabulary(stats: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:

@@ -34,6 +34,33 @@ def test_a_block_gives_each_term_once(spark):
     assert rows == [("fox", 6000, 3000), ("fox red", 3000, 3000), ("red", 6000, 3000), ("red fox", 6000, 3000)]
 
 
+def test_terms_of_many_blocks_come_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_blocks, "BLOCK_TOKENS", 8)
+    df = spark.range(300).select(F.split(F.lit("red fox red fox"), " ").alias("w")).repartition(3)
+    rows = sorted(map(tuple, term_blocks.count_terms(df, [], F.col("w"), pairs=True).collect()))
+    assert rows == [("fox", 600, 300), ("fox red", 300, 300), ("red", 600, 300), ("red fox", 600, 300)]
+
+
+@pytest.mark.parametrize("size", [1, 150, 1 << 22])
+def test_packed_terms_add_up_by_whole_parts(monkeypatch, size):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(term_blocks, "CELL_BYTES", size)
+    monkeypatch.setattr(term_blocks, "ROWS", 2)
+    words = pa.array(["é", "", "a b", "c", "dd"])
+    rows, wanted = [], Counter()
+    for i in range(3):
+        total, group = np.arange(5) + i, np.array([0, 1, 1, 0, 1])
+        cells = term_blocks._cells(np.array([7, 3, 3, 5, 7]), words, total, total * 0 + 1, group)
+        rows += [{"part": p, "cell": c, "_by0": [("x", None)[g] for g in groups]} for p, c, groups in cells]
+        for w, t, g in zip(words.to_pylist(), total.tolist(), group):
+            wanted[("x", None)[g], w] += t
+    table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["part"]))
+    found = [(r["_by0"], r["term"], r["total"], r["df"]) for b in term_blocks._in_turn(table, ["_by0"]) for r in b.to_pylist()]
+    assert sorted(found, key=str) == sorted(((g, w, n, 3) for (g, w), n in wanted.items()), key=str)
+
+
 def test_keys_beyond_64_bits_are_numbered():
     import numpy as np
 
