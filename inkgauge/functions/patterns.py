@@ -13,6 +13,8 @@ URL = r"https?://" + NON_SPACE + "+"
 HANDLE = "@" + WORD + "+"
 HASHTAG = "#" + WORD + "+"
 SPACE_RUN = SPACE + "+"
+# the same without runs of one plain space, which most are
+SPACE_RUN_NOT_PLAIN = r"[\t-\r\x1c-\x1f\x85\p{Z}&&[^ ]]" + SPACE + "*| " + SPACE + "+"
 SENTENCE_END = r"[.!?]+"
 LM_TOKEN = WORD + "+"
 TERM_TOKEN = WORD + "{2,}"

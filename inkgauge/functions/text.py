@@ -10,24 +10,29 @@ from inkgauge.functions.columns import let
 from inkgauge.functions.stopwords import ENGLISH_STOP_WORDS
 
 
+def _without(text: Column, pattern: str, part: str) -> Column:
+    """`text` without matches of a pattern, which all contain `part`; texts that lack it are not searched."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(part)), F.regexp_replace(t, pattern, "")).otherwise(t))
+
+
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, P.HTML_TAG, "")
+    return _without(text, P.HTML_TAG, "<")
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, P.URL, "")
+    return _without(text, P.URL, "://")
 
 
 def strip_handles(text: Column) -> Column:
-    return F.regexp_replace(text, P.HANDLE, "")
+    return _without(text, P.HANDLE, "@")
 
 
 def strip_hashtags(text: Column) -> Column:
-    return F.regexp_replace(text, P.HASHTAG, "")
+    return _without(text, P.HASHTAG, "#")
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, P.SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(text, P.SPACE_RUN_NOT_PLAIN, " "))
 
 
 def clean_text(text: Column) -> Column:

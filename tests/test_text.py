@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgauge.functions import edits
+from inkgauge.functions import patterns as P
 from inkgauge.functions import text as T
 from inkgauge.functions.columns import run_lengths
 from inkgauge.operators import cleaning, style
@@ -32,6 +33,23 @@ def test_clean_text(spark, text, expected):
     assert value(spark, lambda t: T.clean_text(t), text) == expected
 
 
+def test_searches_are_spared_where_nothing_is_found(spark):
+    import random
+
+    rng = random.Random(2)
+    pieces = [" ", "  ", "\t", "\x1c", "\x85", "\u3000", "\u00a0 ", "a", "é", "<", "b>", "<i>", "@x", "@", "#t", "#", "http", "https://x", "://"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, ""]
+    plain = F.coalesce("text", F.lit(""))
+    for pattern in (P.HTML_TAG, P.URL, P.HANDLE, P.HASHTAG):
+        plain = F.regexp_replace(plain, pattern, "")
+    plain = F.trim(F.regexp_replace(plain, P.SPACE_RUN, " "))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(~plain.eqNullSafe(T.clean_text(F.col("text")))).collect() == []
+    # a single space is no match, so words with one space between them are copied at once
+    one, more = df.select(F.regexp_count(F.lit(" a b c "), F.lit(P.SPACE_RUN_NOT_PLAIN)), F.regexp_count(F.lit(" \ta  b"), F.lit(P.SPACE_RUN_NOT_PLAIN))).first()
+    assert (one, more) == (0, 2)
+
+
 def test_strip_html_takes_anything_between_angles(spark):
     assert value(spark, lambda t: T.strip_html(t), "if a<b and c>d then") == "if ad then"
 
