@@ -198,3 +198,17 @@ def test_kept_blocks_give_the_same_sums(spark):
     assert fold_fit._held(rows, fold_fit.AT_ONCE) is None or rows.rdd.getNumPartitions() == 1
     kept.unpersist()
     assert fold_fit.fit_folds(rows, folds).residuals[0] <= 1e-6
+
+
+def test_blocks_of_many_parts_are_kept_in_fewer(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(rng.standard_normal(4).tolist(), i % 2) for i in range(60)], "v array<double>, label int")
+    rows, _ = fold_fit.vector_blocks(df.select("label", array_to_vector("v").alias("features")).repartition(40), "features", "label")
+    cores = spark.sparkContext.defaultParallelism
+    many = rows.repartition(4 * cores)
+    monkeypatch.setattr(fold_fit, "AT_ONCE", 8 * cores)  # sums of as many tasks as there are cores
+    kept = fold_fit._held(many, 8)
+    assert kept is not None and kept.getNumPartitions() == cores
+    assert len(fold_fit._sample(kept, 60, 1000).label) == 60
+    kept.unpersist()
+    assert fold_fit._held(many, 9) is None
