@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions.columns import let
+from inkgauge.llm import license_rules
 from inkgauge.llm.common import take
 from inkgauge.llm.decontamination import words_of
-from inkgauge.llm.license_rules import ADDRESSES, BODIES, DENIALS, GRANTED, NAMES, TAGS
+from inkgauge.llm.license_rules import ADDRESSES, BODIES, DENIALS, GRANTED, TAGS
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # on text in any case
@@ -38,6 +39,8 @@ CONTEXTS = (
     (r"{name} (?:applies|terms|notice|agreement|header)", 4, 0.7),
     (r"{name}", 5, 0.6),
 )
+# (keyword, pattern) of each name by label and pattern
+NAMES = {(label, name): (keyword, name) for label, keyword, name in license_rules.NAMES}
 OPEN, CLOSE = "\x01", "\x02"  # no word has them
 
 
@@ -50,7 +53,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         *((label, keyword, pattern, 1, 0.85) for label, keyword, pattern in ADDRESSES),
         *(
             (label, keyword, context.format(name=f"(?:{name})"), priority, confidence)
-            for label, keyword, name in NAMES
+            for (label, *_), (keyword, name) in NAMES.items()
             for context, priority, confidence in CONTEXTS
         ),
     ]
