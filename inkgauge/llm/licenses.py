@@ -61,7 +61,9 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 def hint() -> str:
     """A pattern that occurs in ' ' + text in lower case if any keyword but those of denials does: by first letter, at word starts."""
-    words = sorted({max(r[1].split(), key=len) for r in rules() if r[0]})
+    words = sorted({max(r[1].split(), key=len, default="") for r in rules() if r[0]})
+    if "" in words:  # a keyword without words is in every text
+        return ""
     short = [w for w in words if not any(w != v and w.startswith(v) for v in words)]
     by_letter = {c: [w[1:] for w in short if w[0] == c] for c in sorted({w[0] for w in short})}
     return SEPARATOR + "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
