@@ -91,7 +91,7 @@ def detections(line: Column) -> Column:
         rule = F.struct(
             F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence")
         )
-        by_keyword.setdefault(keyword, []).append(rule)
+        by_keyword.setdefault(keyword.lstrip(), []).append(rule)
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()])
     tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(line, F.concat(F.lit(" "), t["keyword"]))), lambda t: t["rules"]))
     matches = F.transform(
